@@ -1 +1,8 @@
 """Spark-native interval, positional-signal and training-corpus analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with the job; nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
