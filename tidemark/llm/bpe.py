@@ -12,7 +12,6 @@ ids give a row each; other columns are not read."""
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +30,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def _splitter(pattern: str):
-    import regex
-
-    return regex.compile(pattern)
-
-
-@lru_cache(maxsize=2)
 def _encoding(pattern: str, ranks: tuple):
     import tiktoken
 
@@ -46,8 +37,12 @@ def _encoding(pattern: str, ranks: tuple):
 
 
 def split_text(pattern: str):
+    """A function that gives a text's pre-tokens."""
+    import regex
+
+    found = regex.compile(pattern)
+
     def split(text: str | None):
-        found = _splitter(pattern)
         if not text:
             return ()
         return found.findall(text) if len(text) < LONG else (m.group() for m in found.finditer(text))

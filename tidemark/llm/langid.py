@@ -195,12 +195,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' columns plus lang_pred and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample parameters
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.codes, model.symbols, model.table, model.roots, model.bits))  # bounded by the sample parameters
     names = docs.columns
     schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), has_letter(F.col(f"`{text_col}`")).alias("_letter"))
 
     def predict(batches):
-        m = held.value
+        m = Model(*held.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)

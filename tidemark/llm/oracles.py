@@ -6,6 +6,17 @@ from tidemark.llm.urls import KINDS
 
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+LINES = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (SELECT *, {LOWERED.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT k.*, first IS NOT NULL AND doc_id > first AS dropped FROM keyed k LEFT JOIN firsts f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 EXACT = f"""
 WITH d AS (SELECT doc_id, sha256({LOWERED.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -76,4 +87,4 @@ SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN l >= {min_label
 FROM parsed u JOIN p{depth} p ON u.host = p.host AND u.segs = p.segs JOIN judged j ON p.host = j.host AND p.template = j.template"""
 
 
-SQL = {"op3_exact_dedup": EXACT, "op9_mixing": mixing(), "op10_url_filter": url_filter()}
+SQL = {"op1_line_dedup": LINES, "op3_exact_dedup": EXACT, "op9_mixing": mixing(), "op10_url_filter": url_filter()}

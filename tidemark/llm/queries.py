@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, langid, mixing, urls
+from tidemark.llm import bpe, exact, langid, lines, mixing, urls
 from tidemark.llm.common import table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -14,6 +14,11 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_line_dedup(spark, sf_dir):
+    cut = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_bpe(spark, sf_dir):
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
