@@ -7,8 +7,9 @@ numbers the distinct words of a block of its documents in order of appearance an
 * kind 1, *words*: the block's words that fall into hash part ``part``, with their numbers.
 
 Both are compressed. The rows go to a table in the shared folder, so every text is split once and a lost
-executor costs no more than the rows it was making. A block is bounded in tokens and in words; a document is
-never divided."""
+executor costs no more than the rows it was making. The table is bucketed by block: what comes back to a block
+meets its tokens without shuffling them again. A block is bounded in tokens and in words; a document is never
+divided."""
 
 from __future__ import annotations
 
@@ -24,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import new_path, partitions
 
-CHUNK, BLOCK_TOKENS, BLOCK_WORDS = 1 << 20, 4 << 20, 600_000
+CHUNK, BLOCK_TOKENS, BLOCK_WORDS = 1 << 18, 4 << 20, 500_000
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -40,6 +41,28 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def pack_ascending(numbers: np.ndarray) -> bytes:
+    return pack(np.diff(numbers.astype(np.int64), prepend=0))
+
+
+def unpack_ascending(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.int64)
+
+
+def pack_tokens(numbers: np.ndarray, known: int) -> bytes:
+    """Word numbers in order of first appearance, after ``known`` words: a first appearance is written as 0."""
+    numbers = numbers.astype(np.int64)
+    top = np.maximum.accumulate(np.concatenate([[known - 1], numbers]))
+    return known.to_bytes(4, "little") + pack(np.where(numbers > top[:-1], 0, numbers + 1))
+
+
+def unpack_tokens(blob: bytes) -> np.ndarray:
+    numbers = unpack(blob[4:]).astype(np.int64) - 1
+    new = numbers < 0
+    numbers[new] = int.from_bytes(blob[:4], "little") + np.arange(int(new.sum()))
+    return numbers
+
+
 def pack_words(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
 
@@ -64,7 +87,7 @@ class _Block:
         self.clear_chunk()
 
     def clear_chunk(self) -> None:
-        self.ids, self.lens, self.arrays, self.held = [], [], [], 0
+        self.ids, self.lens, self.arrays, self.held, self.known = [], [], [], 0, len(self.numbers)
 
     def add(self, doc_id, words: Iterator) -> None:
         n, words = 0, iter(words)
@@ -90,20 +113,19 @@ class _Block:
     def chunk(self) -> Iterator[pa.RecordBatch]:
         if self.ids:
             numbers = np.concatenate(self.arrays) if self.arrays else np.zeros(0, np.uint32)
-            yield self.rows([(0, self.name(), -1, self.ids, self.lens, pack(numbers), None)])
+            yield self.rows([(0, self.name(), -1, self.ids, self.lens, pack_tokens(numbers, self.known), None)])
             self.clear_chunk()
 
     def finish(self, encode: Callable[[object], bytes]) -> Iterator[pa.RecordBatch]:
         yield from self.chunk()
-        by_part: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for word, number in self.numbers.items():
-            raw = encode(word)
-            words, numbers = by_part[crc32(raw) % self.parts]
-            words.append(raw)
-            numbers.append(number)
-        rows = [(1, self.name(), part, None, None, pack_words(w), pack(np.array(k, np.uint32))) for part, (w, k) in by_part.items()]
-        for at in range(0, len(rows), 256):
-            yield self.rows(rows[at : at + 256])
+        words = [encode(word) for word in self.numbers]
+        self.numbers.clear()
+        part = np.fromiter(map(crc32, words), np.int64, len(words)) % self.parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        for at, to in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            own = order[at:to]
+            yield self.rows([(1, self.name(), int(part[own[0]]), None, None, pack_words([words[k] for k in own.tolist()]), pack_ascending(own))])
         self.serial += 1
         self.clear()
 
@@ -132,8 +154,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, split: Callable[[str | b
             yield from block.finish(encode)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return written(rows.mapInArrow(cut, f"kind int, block long, part int, ids array<{id_type}>, lens array<int>, blob binary, numbers binary"), name)
-
-
-def chunk_slices(lens: list[int]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(np.asarray(lens, np.int64))])
+    made = rows.mapInArrow(cut, f"kind int, block long, part int, ids array<{id_type}>, lens array<int>, blob binary, numbers binary")
+    path = new_path(docs.sparkSession, name)
+    stored = path.rpartition("/")[2].replace("-", "_")
+    made.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(partitions(docs.sparkSession), "block").saveAsTable(stored)
+    table = docs.sparkSession.table(stored)
+    table.schema  # resolved: the catalogue entry is needed no longer, the files stay
+    docs.sparkSession.sql(f"DROP TABLE {stored}")
+    return table

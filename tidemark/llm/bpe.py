@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tidemark.llm.blocks import blocks, chunk_slices, pack, unpack, unpack_words
+from tidemark.llm.blocks import blocks, pack, unpack, unpack_ascending, unpack_tokens, unpack_words
 from tidemark.llm.common import partitions
 
 LONG = 1 << 22  # characters from which a text's pre-tokens are not held all at once
@@ -85,21 +85,19 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     merged = words.mapInArrow(merge, "block long, numbers binary, counts binary, ids binary")
 
     def assemble(chunks: pa.Table, words: pa.Table) -> pa.Table:
-        numbers, counts, ids = ([unpack(x) for x in words[c].to_pylist()] for c in ("numbers", "counts", "ids"))
-        flat_numbers, flat_counts, flat = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (numbers, counts, ids))
-        size = np.zeros(len(flat_numbers), np.int64)
-        size[flat_numbers] = flat_counts
-        start = np.zeros(len(flat_numbers), np.int64)
-        start[flat_numbers] = np.cumsum(flat_counts, dtype=np.int64) - flat_counts
+        numbers = np.concatenate([np.zeros(0, np.int64), *map(unpack_ascending, words["numbers"].to_pylist())])
+        counts = np.concatenate([np.zeros(0, np.uint32), *map(unpack, words["counts"].to_pylist())])
+        flat = np.concatenate([np.zeros(0, np.uint32), *map(unpack, words["ids"].to_pylist())])
+        size, start = np.zeros(len(numbers), np.int32), np.zeros(len(numbers), np.int64)
+        size[numbers] = counts
+        start[numbers] = np.cumsum(counts, dtype=np.int64) - counts
         out = []
         for doc_ids, lens, blob in zip(*(chunks[c].to_pylist() for c in ("doc_ids", "lens", "blob")), strict=True):
-            tokens = unpack(blob)
-            n = size[tokens]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            where = np.repeat(start[tokens] - ends[:-1], n) + np.arange(ends[-1])
-            doc_ends = ends[chunk_slices(lens)]
-            data = pa.py_buffer(flat[where].astype("<u4").tobytes())
-            binary = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer((doc_ends * 4).astype(np.int64).tobytes()), data])
+            tokens = unpack_tokens(blob)
+            ends = np.concatenate([[0], np.cumsum(size[tokens], dtype=np.int64)])
+            where = np.repeat(start[tokens] - ends[:-1], size[tokens]) + np.arange(ends[-1])
+            doc_ends = ends[np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])]
+            binary = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(doc_ends * 4), pa.py_buffer(flat[where].astype("<u4"))])
             out.append(pa.table({"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}))
         return pa.concat_tables(out)
 
