@@ -82,6 +82,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = lines.select("doc", "version", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc", "version", "pos")
     parts = parts or partitions(docs.sparkSession)
+    hashed = written(hashed, "line-hashes")  # the range partitioner reads its input twice
     ordered = hashed.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     found = written(ordered.mapInArrow(_stream, STREAMED), "lines")
     starts = found.filter("kind = 2").groupBy("h1", "h2").agg(F.min("doc").alias("first"))
@@ -128,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = {"text": names.index(text_col), "bitmap": len(joined.columns) - 1}
 
     def restore(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = [kept_text(t, b) for t, b in zip(batch.column(index["text"]).to_pylist(), batch.column(index["bitmap"]).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_cut"])
 
