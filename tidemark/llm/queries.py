@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, jaccard, langid, lines, mixing, urls, warc
+from tidemark.llm import bpe, exact, forest, jaccard, langid, lines, mixing, urls, warc
 from tidemark.llm.common import table
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -29,6 +29,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark, sf_dir):
+    return forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark, sf_dir):
     index = warc.write_bundles(table(spark, sf_dir, "pages"))
     page = F.col("page").cast("long").alias("page_id")
