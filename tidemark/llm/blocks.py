@@ -76,8 +76,8 @@ def unpack_words(blob: bytes) -> list[bytes]:
 
 
 class _Block:
-    def __init__(self, parts: int, id_type: pa.DataType):
-        self.parts, self.id_type, self.serial = parts, id_type, 0
+    def __init__(self, parts: int, id_type: pa.DataType, most: int):
+        self.parts, self.id_type, self.most, self.serial = parts, id_type, most, 0
         self.clear()
 
     def clear(self) -> None:
@@ -101,7 +101,7 @@ class _Block:
 
     @property
     def full(self) -> bool:
-        return self.tokens >= BLOCK_TOKENS or len(self.numbers) >= BLOCK_WORDS
+        return self.tokens >= self.most or len(self.numbers) >= BLOCK_WORDS
 
     @property
     def chunk_full(self) -> bool:
@@ -134,14 +134,14 @@ class _Block:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "block", "part", "ids", "lens", "blob", "numbers"])
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, split: Callable[[str | bytes | None], Iterator], parts: int, name: str, encode: Callable[[object], bytes] = bytes) -> DataFrame:
+def blocks(docs: DataFrame, id_col: str, text_col: str, split: Callable[[str | bytes | None], Iterator], parts: int, name: str, encode: Callable[[object], bytes] = bytes, most: int = BLOCK_TOKENS) -> DataFrame:
     """The written table of blocks. split gives a text's words, encode a word's bytes; null texts come as None."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         block = None
         for batch in batches:
-            block = block or _Block(parts, batch.schema.field(0).type)
+            block = block or _Block(parts, batch.schema.field(0).type, most)
             for at in range(0, batch.num_rows, 512):  # few texts are Python strings at a time
                 ids, texts = batch.slice(at, 512).columns
                 for doc_id, text in zip(ids.to_pylist(), texts.to_pylist(), strict=True):

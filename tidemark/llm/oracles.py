@@ -25,6 +25,31 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+LM = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS w3, generate_subscripts(w, 1) AS p FROM docs),
+grams AS (SELECT doc_id, n, p, w3, lag(w3) OVER d AS w2, lag(w3, 2) OVER d AS w1 FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+c1 AS (SELECT w3, count(*) AS c FROM grams GROUP BY ALL), o1 AS (SELECT doc_id, w3, count(*) AS c FROM grams GROUP BY ALL),
+c2 AS (SELECT w2, w3, count(*) AS c FROM grams WHERE w2 IS NOT NULL GROUP BY ALL), o2 AS (SELECT doc_id, w2, w3, count(*) AS c FROM grams WHERE w2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT w1, w2, w3, count(*) AS c FROM grams WHERE w1 IS NOT NULL GROUP BY ALL), o3 AS (SELECT doc_id, w1, w2, w3, count(*) AS c FROM grams WHERE w1 IS NOT NULL GROUP BY ALL),
+l1 AS (SELECT doc_id, w3, c1.c - o1.c AS c FROM o1 JOIN c1 USING (w3)),
+l2 AS (SELECT doc_id, w2, w3, c2.c - o2.c AS c FROM o2 JOIN c2 USING (w2, w3)),
+l3 AS (SELECT doc_id, w1, w2, w3, c3.c - o3.c AS c FROM o3 JOIN c3 USING (w1, w2, w3)),
+looked AS (
+  SELECT g.doc_id, p, greatest(1, (SELECT count(*) FROM words) - n) AS others, a.c AS u, b.c AS bi, t.c AS tri, x.c AS ctx1, y.c AS ctx2
+  FROM grams g JOIN l1 a ON a.doc_id = g.doc_id AND a.w3 = g.w3
+  LEFT JOIN l2 b ON b.doc_id = g.doc_id AND b.w2 = g.w2 AND b.w3 = g.w3
+  LEFT JOIN l3 t ON t.doc_id = g.doc_id AND t.w1 = g.w1 AND t.w2 = g.w2 AND t.w3 = g.w3
+  LEFT JOIN l1 x ON x.doc_id = g.doc_id AND x.w3 = g.w2
+  LEFT JOIN l2 y ON y.doc_id = g.doc_id AND y.w2 = g.w1 AND y.w3 = g.w2),
+s1 AS (SELECT *, CASE WHEN u > 0 THEN u ELSE 0.4::DOUBLE END / others::DOUBLE AS v1 FROM looked),
+s2 AS (SELECT *, CASE WHEN bi > 0 THEN bi / ctx1::DOUBLE WHEN p >= 2 THEN 0.4::DOUBLE * v1 ELSE v1 END AS v2 FROM s1),
+s3 AS (SELECT *, CASE WHEN tri > 0 THEN tri / ctx2::DOUBLE WHEN p >= 3 THEN 0.4::DOUBLE * v2 ELSE v2 END AS v3 FROM s2),
+sums AS (SELECT doc_id, sum(ln(v3)) AS s FROM s3 GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(s, 0), 4) AS log_score, round(s / len(w), 6) AS mean_log_score FROM docs d LEFT JOIN sums USING (doc_id)
+"""
+
+
 def mixing(rounds: int = 3, seed: int = 7) -> str:
     out = rf"""
 WITH sizes AS (
@@ -87,4 +112,4 @@ SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN l >= {min_label
 FROM parsed u JOIN p{depth} p ON u.host = p.host AND u.segs = p.segs JOIN judged j ON p.host = j.host AND p.template = j.template"""
 
 
-SQL = {"op1_line_dedup": LINES, "op3_exact_dedup": EXACT, "op9_mixing": mixing(), "op10_url_filter": url_filter()}
+SQL = {"op1_line_dedup": LINES, "op3_exact_dedup": EXACT, "op7_lm_score": LM, "op9_mixing": mixing(), "op10_url_filter": url_filter()}
