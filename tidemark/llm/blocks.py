@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, partitions
+from tidemark.llm.common import new_path, partitions, release
 
 CHUNK, BLOCK_TOKENS, BLOCK_WORDS = 1 << 18, 4 << 20, 500_000
 
@@ -152,6 +152,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, split: Callable[[str | b
                         yield from block.chunk()
         if block and block.tokens + len(block.ids):
             yield from block.finish(encode)
+        del block
+        release()
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     made = rows.mapInArrow(cut, f"kind int, block long, part int, ids array<{id_type}>, lens array<int>, blob binary, numbers binary")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidemark.llm.blocks import blocks, pack, unpack, unpack_ascending, unpack_tokens, unpack_words
-from tidemark.llm.common import partitions
+from tidemark.llm.common import partitions, release
 
 LONG = 1 << 22  # characters from which a text's pre-tokens are not held all at once
 
@@ -77,6 +77,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                     out = []
             if out:
                 yield _rows(out)
+        del known
+        release()
 
     def _rows(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "counts", "ids"])
@@ -99,6 +101,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             doc_ends = ends[np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])]
             binary = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(doc_ends * 4), pa.py_buffer(flat[where].astype("<u4"))])
             out.append(pa.table({"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}))
+        del numbers, counts, flat, size, start
+        release()
         return pa.concat_tables(out)
 
     chunks = made.filter("kind = 0").select("block", F.col("ids").alias("doc_ids"), "lens", "blob")
@@ -115,9 +119,10 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
 
     def look_up(batches):
         pieces = table.value
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids = batch.column(batch.schema.get_field_index(ids_col))
             out = [None if x is None else b"".join([pieces[k] for k in np.frombuffer(x, "<u4").tolist()]) for x in (v.as_py() for v in ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+        release()
 
     return encoded.mapInArrow(look_up, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))

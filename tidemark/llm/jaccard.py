@@ -7,13 +7,15 @@ Documents become sets of word n-gram hashes; two link when 100 * |A and B| >= th
    fixed size over all documents; any order gives the same links, a good one short lists.
 3. *Index.* Each set posts the n-grams of its prefix (two linked sets share one of them) with set size and
    position. Lists of a single set go at once.
-4. *Leaders.* For a few rounds every set is compared with one leader of the lists it shares, if they are not yet
-   connected. In a group of near copies this connects nearly all with as many comparisons as there are sets.
+4. *Leaders.* For a few rounds every set is compared with a few leaders of the lists it shares, if they are not
+   yet connected. A list's first leader is the set with the fewest n-grams of its own, so in a group of near copies
+   this connects nearly all that can be with a few comparisons a set.
 5. *Completion.* Lists that still hold several components are joined in full between components. A list is
    ordered by size and position, and blocks of equal size and position whose bound is too low are skipped whole
    (index-level skipping). A pair whose members were compared with the same leader L gets bounds from those two
    overlaps: |A and B| >= oA + oB - |L| and <= min(oA, oB) + min(|A| - oA, |B| - oB). If a bound decides, the
-   sets themselves are not compared (answer-level skipping). The rest is verified.
+   sets themselves are not compared (answer-level skipping). Of the rest, hashes counted by range (a tenth of a
+   set) rule out most; what is left is verified.
 
 Comparing needs whole sets, which are computed again for sets of shared lists only and written once, bucketed by
 fingerprint. No step groups a component's sets in one task or sends links to the driver; what the driver sees is
@@ -25,7 +27,7 @@ a row with an id; other columns are not read."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,49 +37,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import pack, unpack
-from tidemark.llm.common import new_path, partitions, written
+from tidemark.llm.common import new_path, partitions, release, written
 from tidemark.llm.components import components
 
-SKETCH_BITS, CHUNK_BITS, MERGE_SALTS = 20, 16, 256
+SKETCH_BITS, CHUNK_BITS, MERGE_SALTS = 22, 16, 256
 BITMAP = 32768
 CACHE = 1_000_000
 
 
-def set_maker(n: int) -> Callable[[str | None], np.ndarray]:
-    """A function from a text to its sorted distinct n-gram hashes."""
-    import xxhash
-
-    class Words(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = h = xxhash.xxh64_intdigest(word)
-            return h
-
-    known = Words()
-    factors = [np.uint64(xxhash.xxh64_intdigest(f"factor {k}") | 1) for k in range(n)]
-
-    def make(text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < n:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=1)], np.uint64)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        total = h[: len(h) - n + 1] * factors[0]
-        for k in range(1, n):
-            total += h[k : len(h) - n + 1 + k] * factors[k]
-        return np.unique(_mix(total))
-
-    return make
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
+def _random(n: int, salt: int) -> np.ndarray:
+    """n fixed 64-bit numbers."""
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
+
+
+def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of concatenated texts (ASCII white space between them, A-Z lower-cased), and
+    where each text's words end."""
+    low = np.arange(256)
+    low[65:91] += 32
+    value, blank = _random(256, 1)[low], np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+    gap = blank[data]
+    opens = ~gap
+    opens[1:] &= gap[:-1]
+    begins = ends[:-1][ends[:-1] < len(data)]
+    opens[begins] = ~gap[begins]
+    letters = np.flatnonzero(~gap)
+    starts = np.flatnonzero(opens)
+    first = np.searchsorted(letters, starts)
+    size = np.diff(np.append(first, len(letters)))
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    factor = _random(int(size.max(initial=0)), 2) | np.uint64(1)
+    sums = np.add.reduceat(value[data[letters]] * factor[place], first) if len(first) else np.zeros(0, np.uint64)
+    return _mix(sums + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, ends)
+
+
+def _sets(data: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sorted distinct n-gram hashes of each text; of a text of fewer than n words, one hash of all of them."""
+    words, word_ends = _words(data, ends)
+    factor = _random(n + 1, 3) | np.uint64(1)
+    grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n):
+        grams += words[k : k + len(grams)] * factor[k]
+    grams, out, at = _mix(grams), [], 0
+    for to in word_ends.tolist():
+        if to - at >= n:
+            s = grams[at : to - n + 1]
+            s.sort()
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
+        else:
+            w = words[at:to]
+            out.append(_mix((w * factor[: len(w)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(w))) if len(w) else w)
+        at = to
+    return out
+
+
 def fingerprint(s: np.ndarray) -> int:
     """A signed 64-bit hash of a set."""
     import xxhash
@@ -85,11 +106,19 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def _texts(batches, size: int = 512) -> Iterator[tuple[pa.Array, list]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part.column(0), part.column(1).to_pylist()
+def _set_batches(batches, n: int, most: int = 1 << 20) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, sets) of runs of texts of about ``most`` bytes; batches have columns id and text (binary)."""
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
+        texts = pa.compute.fill_null(texts, b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            to = min(len(texts), max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
+            yield ids.slice(at, to - at), _sets(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at], n)
+            at = to
+    release()
 
 
 def _nodes(docs: DataFrame, n: int) -> DataFrame:
@@ -97,13 +126,10 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def count(batches):
-        make, counts = set_maker(n), np.zeros(1 << SKETCH_BITS, np.int64)
-        ids_type, names = None, ["kind", "id", "size", "f", "chunk", "salt", "counts"]
-        for ids, texts in _texts(batches):
-            ids_type, sets = ids.type, [make(t) for t in texts]
-            for s in sets:
-                counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] += 1
-            k = len(sets)
+        counts, ids_type, names = np.zeros(1 << SKETCH_BITS, np.int32), None, ["kind", "id", "size", "f", "chunk", "salt", "counts"]
+        for ids, sets in _set_batches(batches, n):
+            ids_type, k = ids.type, len(sets)
+            np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             prints = [fingerprint(s) if len(s) else None for s in sets]
             none = pa.nulls(k, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), none, none, pa.nulls(k, pa.binary())], names=names)
@@ -116,7 +142,8 @@ def _nodes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _levels(nodes: DataFrame) -> np.ndarray:
-    """Commonness of each sketch cell: 0 up to four times the mean, then its logarithm. Fixed size."""
+    """Commonness of each sketch cell: 0 within four standard deviations of the mean, then twice the logarithm of
+    what is above it. Fixed size."""
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.minimum(sum(unpack(x).astype(np.int64) for x in rows["counts"].to_pylist()), 0xFFFFFFFF)
@@ -128,8 +155,8 @@ def _levels(nodes: DataFrame) -> np.ndarray:
     counts = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS))
     for r in parts.collect():
         counts[r["chunk"]] = unpack(r["counts"])
-    ratio = counts.ravel() / max(1.0, counts.mean())
-    return np.where(ratio <= 4, 0, np.log2(np.maximum(ratio, 1)).astype(np.int64) * 2).astype(np.uint8)
+    over = (counts.ravel() - counts.mean()) / (4 * max(1.0, counts.mean()) ** 0.5)
+    return np.where(over <= 1, 0, 1 + (2 * np.log2(np.maximum(over, 1))).astype(np.int64)).astype(np.uint8)
 
 
 def _least(size, threshold: int):
@@ -148,11 +175,10 @@ def _shared_lists(docs: DataFrame, n: int, threshold: int, levels: np.ndarray) -
     held = spark.sparkContext.broadcast(levels)
 
     def post(batches):
-        make, rank, seen = set_maker(n), held.value, set()
-        for _, texts in _texts(batches, 256):
+        rank, seen = held.value, set()
+        for _, sets in _set_batches(batches, n):
             out: list[tuple] = []
-            for text in texts:
-                s = make(text)
+            for s in sets:
                 if not len(s) or (f := fingerprint(s)) in seen:
                     continue
                 if len(seen) >= CACHE:
@@ -160,7 +186,7 @@ def _shared_lists(docs: DataFrame, n: int, threshold: int, levels: np.ndarray) -
                 seen.add(f)
                 take = len(s) - int(_least(len(s), threshold)) + 1
                 level = rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                out.append((f, len(s), s[np.lexsort((s, level))[:take]]))
+                out.append((f, len(s), s[np.argsort(level, kind="stable")[:take]]))
             if out:
                 k = [len(x[2]) for x in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[2] for x in out]).view(np.int64)), pa.array(np.repeat([x[1] for x in out], k)), pa.array(np.concatenate([np.arange(x) for x in k])), pa.array(np.repeat(np.array([x[0] for x in out], np.int64), k))], names=["token", "size", "pos", "f"])
@@ -203,17 +229,16 @@ def _bloom(keys: DataFrame, max_bits: int) -> np.ndarray:
 
 
 def _write_sets(docs: DataFrame, n: int, lists: DataFrame, max_bits: int) -> DataFrame:
-    """(f, size, tokens) once for each set of the lists (and some more), in a table bucketed by f."""
+    """(f, size, tokens, signature) once for each set of the lists (and some more), in a table bucketed by f."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(_bloom(lists.select("f").distinct(), max_bits))
 
     def collect(batches):
-        make, bits, seen = set_maker(n), held.value, set()
+        bits, seen = held.value, set()
         mask, press = len(bits) * 8 - 1, zstandard.ZstdCompressor(level=1)
-        for _, texts in _texts(batches, 256):
+        for _, sets in _set_batches(batches, n):
             out = []
-            for text in texts:
-                s = make(text)
+            for s in sets:
                 if not len(s):
                     continue
                 f = fingerprint(s)
@@ -223,11 +248,11 @@ def _write_sets(docs: DataFrame, n: int, lists: DataFrame, max_bits: int) -> Dat
                 if len(seen) >= CACHE:
                     seen.clear()
                 seen.add(f)
-                out.append((f, len(s), press.compress(np.diff(s, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())))
+                out.append((f, len(s), press.compress(np.diff(s, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()), signature(s)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["f", "size", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["f", "size", "tokens", "signature"])
 
-    once = docs.mapInArrow(collect, "f long, size long, tokens binary").groupBy("f").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    once = docs.mapInArrow(collect, "f long, size long, tokens binary, signature binary").groupBy("f").agg(*[F.first(c).alias(c) for c in ("size", "tokens", "signature")])
     path = new_path(spark, "tokens")
     name = path.rpartition("/")[2].replace("-", "_")
     once.write.format("parquet").option("path", path).bucketBy(partitions(spark), "f").saveAsTable(name)
@@ -237,6 +262,36 @@ def _write_sets(docs: DataFrame, n: int, lists: DataFrame, max_bits: int) -> Dat
     return table
 
 
+def signature(s: np.ndarray) -> bytes:
+    """How many hashes fall into each of about len(s) / 2 even ranges, a byte each; empty where one holds more."""
+    bits = max(3, min(30, len(s).bit_length() - 2))
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _most(x: bytes, y: bytes) -> int:
+    """No two sets with these signatures overlap in more hashes."""
+    if not x or not y:
+        return 1 << 62
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    ranges = min(len(a), len(b))
+    return int(np.minimum(a.reshape(ranges, -1).sum(axis=1), b.reshape(ranges, -1).sum(axis=1)).sum())
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that signatures do not rule out; they are a tenth of the sets' size."""
+
+    def test(batches):
+        for batch in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
+            column = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("both", "x", "y")}
+            keep = [_most(x, y) >= _pair_least(both, 0, threshold) for both, x, y in zip(*column.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    side = lambda k, c: sets.select(F.col("f").alias(k), F.col("size").alias(f"size_{k}"), F.col("signature").alias(c))
+    both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("both"), "x", "y")
+    return both.mapInArrow(test, "a long, b long")
+
+
 def _unpress(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
@@ -270,14 +325,20 @@ def _connected(lists: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.join(split, "token"), "open")
 
 
-def _to_leaders(rows: DataFrame, threshold: int, turn: int) -> DataFrame:
-    """For each set of the lists one leader to compare it with: the one that most of its lists name."""
-    leader = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("f", F.lit(turn)).alias("h"), F.col("f").alias("lf"), F.col("size").alias("ls"), F.col("pos").alias("lp"), F.col("comp").alias("lc"))).alias("l")).select("token", "l.lf", "l.ls", "l.lp", "l.lc")
+def _to_leaders(rows: DataFrame, threshold: int, turn: int, most: int) -> DataFrame:
+    """For each set of the lists up to ``most`` leaders to compare it with, those that most of its lists name.
+
+    A list's leader is first the set with the fewest n-grams before this one: of a group of near copies, the one
+    with the fewest of its own. Later turns choose more and more freely."""
+    h = F.xxhash64("f", F.lit(turn))
+    place = {0: F.col("pos"), 1: F.floor(F.col("pos") / 4)}.get(turn, F.lit(0).cast("long"))
+    leader = rows.groupBy("token").agg(F.min(F.struct(place.alias("place"), h.alias("h"), F.col("f").alias("lf"), F.col("size").alias("ls"), F.col("pos").alias("lp"), F.col("comp").alias("lc"))).alias("l")).select("token", "l.lf", "l.ls", "l.lp", "l.lc")
     both = rows.join(leader, "token").filter("comp != lc")
     low, high = F.least("size", "ls"), F.greatest("size", "ls")
     could = (low * 100 >= high * threshold) & (F.least(F.col("size") - F.col("pos"), F.col("ls") - F.col("lp")) * (100 + threshold) >= (low + high) * threshold)
     votes = both.filter(could).groupBy("f", "lf").agg(F.count("*").alias("n"))
-    best = votes.groupBy("f").agg(F.max(F.struct("n", "lf")).alias("best")).select("f", F.col("best.lf").alias("lf"))
+    best = votes.groupBy("f").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "lf")), asc=False), 1, most).alias("best"))
+    best = best.select("f", F.explode("best.lf").alias("lf"))
     return best.select(F.least("f", "lf").alias("a"), F.greatest("f", "lf").alias("b")).distinct()
 
 
@@ -328,39 +389,41 @@ def _list_pairs(held: list, threshold: int, seen: set) -> Iterator[pa.RecordBatc
 
 
 def _derived(pairs: DataFrame, compared: DataFrame, threshold: int) -> DataFrame:
-    """pairs plus ``low`` and ``high``, what overlaps with a common leader say of theirs (null: nothing), and need."""
-    ways = compared.select(F.col("a").alias("x"), F.col("b").alias("l"), F.col("size_a").alias("sx"), F.col("size_b").alias("sl"), F.col("overlap").alias("o"))
-    ways = ways.unionByName(compared.select(F.col("b").alias("x"), F.col("a").alias("l"), F.col("size_b").alias("sx"), F.col("size_a").alias("sl"), F.col("overlap").alias("o")))
-    side = lambda k: ways.select(F.col("x").alias(k), F.col("l").alias(f"l{k}"), F.col("sx").alias(f"s{k}"), F.col("sl").alias(f"sl{k}"), F.col("o").alias(f"o{k}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter("la = lb")
-    low = F.max(F.col("oa") + F.col("ob") - F.col("sla"))
-    high = F.min(F.least("oa", "ob") + F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob")))
-    bounds = near.groupBy("a", "b").agg(low.alias("low"), high.alias("high"), F.first(F.col("sa") + F.col("sb")).alias("both"))
-    need = F.ceil(F.col("both") * threshold / (100 + threshold))
-    return pairs.join(bounds, ["a", "b"], "left").withColumn("need", need)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80, rounds: int = 3, max_bits: int = 1 << 27) -> DataFrame:
+    """pairs plus ``low`` and ``high``, what overlaps with the leader both are closest to say of theirs (null:
+    nothing), and the least overlap that links them."""
+    ways = compared.select(F.col("a").alias("x"), F.struct("overlap", F.col("b").alias("l"), F.col("size_b").alias("sl"), F.col("size_a").alias("s")).alias("w"))
+    ways = ways.unionByName(compared.select(F.col("b").alias("x"), F.struct("overlap", F.col("a").alias("l"), F.col("size_a").alias("sl"), F.col("size_b").alias("s")).alias("w")))
+    home = ways.groupBy("x").agg(F.max("w").alias("w"))
+    side = lambda k: home.select(F.col("x").alias(k), F.col("w.l").alias(f"l{k}"), F.col("w.s").alias(f"s{k}"), F.col("w.sl").alias(f"sl{k}"), F.col("w.overlap").alias(f"o{k}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    same = F.col("la") == F.col("lb")
+    low = F.when(same, F.col("oa") + F.col("ob") - F.col("sla"))
+    high = F.when(same, F.least("oa", "ob") + F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob")))
+    return both.select("a", "b", low.alias("low"), high.alias("high"), F.ceil((F.col("sa") + F.col("sb")) * threshold / (100 + threshold)).alias("need"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80, rounds: int = 3, leaders: int = 3, max_bits: int = 1 << 27) -> DataFrame:
     """Per row of docs: its id, n_shingles, component_id (smallest id of its component)."""
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     nodes = _nodes(docs, n)
     lists = _shared_lists(docs, n, threshold, _levels(nodes))
     sets = _write_sets(docs, n, lists, max_bits)
-    compared = None
+    tried = compared = None
     rows = lists.withColumn("comp", F.col("f"))
     for turn in range(rounds):
-        pairs = _to_leaders(rows, threshold, turn)
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(_overlaps(pairs, sets), "compared")
-        compared = new if compared is None else written(compared.unionByName(new), "compared")
+        pairs = _to_leaders(rows, threshold, turn, leaders)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        new = written(_overlaps(_possible(pairs, sets, threshold), sets), "compared")
+        tried, compared = (pairs, new) if tried is None else (tried.unionByName(pairs), compared.unionByName(new))
         links = _links(compared, threshold)
         rows = _connected(lists, links)
-    rest = written(_in_full(rows, threshold).join(compared.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = written(_in_full(rows, threshold).join(tried, ["a", "b"], "left_anti"), "rest")
     rest = written(_derived(rest, compared, threshold), "derived")
     sure = rest.filter("low >= need").select("a", "b")
     unsure = rest.filter("low IS NULL OR low < need AND high >= need").select("a", "b")
-    links = links.select("a", "b").unionByName(sure).unionByName(_links(_overlaps(unsure, sets), threshold).select("a", "b"))
+    links = links.select("a", "b").unionByName(sure).unionByName(_links(_overlaps(_possible(unsure, sets, threshold), sets), threshold).select("a", "b"))
     roots = components(links, "a", "b").select(F.col("node").alias("f"), "root")
     nodes = nodes.filter("kind = 0").select("id", "size", "f")
     rooted = written(nodes.join(roots, "f", "left").select("id", "size", F.coalesce("root", "f").alias("root")), "rooted")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import release
+
 SEGMENT, BATCH_BYTES = 512, 4 << 20
 
 
@@ -201,7 +203,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def predict(batches):
         m = Model(*held.value)
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             column = batch.column(batch.schema.get_field_index(text_col))
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             if m.languages:
@@ -211,6 +213,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             else:
                 name, score = np.full(len(column), "und", object), np.zeros(len(column))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(name, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+        release()
 
     rows = docs.select(*[F.col(f"`{c}`") for c in names], has_letter(F.col(f"`{text_col}`")).alias("_letter"))
     return rows.mapInArrow(predict, schema.drop("_letter").schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, partitions, written
+from tidemark.llm.common import ascii_lower, partitions, release, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
@@ -132,6 +132,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = [kept_text(t, b) for t, b in zip(batch.column(index["text"]).to_pylist(), batch.column(index["bitmap"]).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_cut"])
+        release()
 
     partly = partly.mapInArrow(restore, whole.schema)
     out = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]

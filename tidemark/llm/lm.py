@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import blocks, pack, unpack, unpack_ascending, unpack_tokens, unpack_words
-from tidemark.llm.common import partitions
+from tidemark.llm.common import partitions, release
 
 BLOCK, PER_PART = 2 << 20, 4_000_000
 
@@ -101,6 +101,8 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
             part = _part(keys, parts)
             cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
             out += [(int(part[at]), n, rows["block"][0].as_py(), _pack64(keys[at:to]), pack(counts[at:to])) for at, to in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+        del text, keys, counts, part
+        release()
         columns = zip(*out, strict=True) if out else ([],) * 5
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "n", "block", "keys", "counts"])
 
@@ -136,6 +138,8 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
             seen = left[n - 1] > 0
             value = np.where(seen, left[n - 1] / np.maximum(context, 1), np.where(text.place >= n - 1, backoff * value, value))
         sums = np.bincount(text.doc, np.log(value), len(text.lens)) if size else np.zeros(len(text.lens))
+        del left, value, keys, where, totals, own_key, own_at, own, full
+        release()
         return pa.table({"id": pa.array(text.ids, rows.schema.field("ids").type.value_type), "n_words": text.lens, "log_score": sums})
 
     counted = made.groupBy("block").applyInArrow(count, "part int, n int, block long, keys binary, counts binary")
