@@ -18,7 +18,7 @@ def flag(flags: Column, name: str) -> Column:
 def parse_cigar(text: Column) -> Column:
     """'5S90M' -> array of struct(op int, len int); null for a missing CIGAR."""
     parts = F.regexp_extract_all(text, F.lit(r"([0-9]+[MIDNSHP=X])"), 1)
-    parsed = F.transform(parts, lambda p: F.struct(F.charindex(F.right(p, F.lit(1)), F.lit(CIGAR_OPS)).alias("at"), F.left(p, F.length(p) - 1).cast("int").alias("len")))
+    parsed = F.transform(parts, lambda p: F.struct(F.position(F.right(p, F.lit(1)), F.lit(CIGAR_OPS)).alias("at"), F.left(p, F.length(p) - 1).cast("int").alias("len")))
     shifted = F.transform(parsed, lambda p: F.struct((p["at"] - 1).cast("int").alias("op"), p["len"].alias("len")))
     return F.when(text.isNotNull() & (text != "*"), shifted)
 

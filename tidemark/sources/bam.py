@@ -1,4 +1,4 @@
-"""BAM as a Spark data source: ``spark.dataSource.register(BamSource)``, ``spark.read.format("bam").load(path)``.
+"""BAM as a Spark data source: ``register(spark)``, then ``spark.read.format("bam").load(path)``.
 
 Each file is a partition (give many files, as sequencing runs do); BGZF blocks are inflated one at a time, so memory
 does not grow with the file. Filters on ``chrom`` by equality are applied while decoding."""
@@ -145,3 +145,9 @@ class BamReader(DataSourceReader):
         files, _ = fs.FileSystem.from_uri(self.path)
         with files.open_input_stream(partition.value, compression=None) as stream:
             yield from records(stream, self.chrom)
+
+
+def register(spark) -> None:
+    """Makes the format known to the session and lets Spark hand it filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BamSource)
