@@ -99,7 +99,7 @@ p0 AS (
         out += f""",
 b{d} AS (SELECT host, template, segs[{d}] AS seg, sum(n) AS n, sum(labels)::DOUBLE AS labels, sum(blocked)::DOUBLE AS blocked FROM p{d - 1} WHERE len(segs) >= {d} GROUP BY ALL),
 n{d} AS (SELECT host, template, count(*) AS kids, sum(n) AS all_n, sum(labels) AS al, sum(blocked) AS ab FROM b{d} WHERE NOT starts_with(seg, '{{') GROUP BY ALL),
-t{d} AS (SELECT b.host, b.template, seg, CASE WHEN starts_with(seg, '{{') THEN seg WHEN kids > {fanout} AND n * kids < all_n THEN '{{var}}' WHEN labels = 0 THEN '{{new}}'
+t{d} AS (SELECT b.host, b.template, seg, CASE WHEN starts_with(seg, '{{') THEN seg WHEN kids > {fanout} AND n * kids <= all_n THEN '{{var}}' WHEN labels = 0 THEN '{{new}}'
          WHEN al > labels AND (blocked / labels - (ab - blocked) / (al - labels)) * (blocked / labels - (ab - blocked) / (al - labels)) > 4 * (ab / al * (1 - ab / al) * (1 / labels + 1 / (al - labels))) THEN seg
          ELSE '{{any}}' END AS token FROM b{d} b LEFT JOIN n{d} k ON b.host = k.host AND b.template = k.template),
 p{d} AS (SELECT p.host, p.segs, p.n, p.labels, p.blocked, CASE WHEN token IS NULL THEN p.template ELSE p.template || '/' || token END AS template

@@ -5,7 +5,7 @@ wins. URLs that a rule decides are the labelled examples for the rest. Per host,
 built level by level from counts alone:
 
 1. numbers, hexadecimal strings and other machine-made segments become ``{num}``, ``{hex}``, ``{id}``;
-2. where a node has more than ``fanout`` literal children, those rarer than an even share become ``{var}``;
+2. where a node has more than ``fanout`` literal children, those no commoner than an even share become ``{var}``;
 3. of the other literal children, those without labels become ``{new}``; those whose share of blocked labels
    is statistically like that of their siblings (two-proportion z of at most 2) merge into ``{any}``; the
    rest keep their name.
@@ -73,7 +73,7 @@ def _level(paths: DataFrame, at: int, fanout: int) -> DataFrame:
     noise = pooled * (1 - pooled) * (1 / F.col("labels") + 1 / rest)
     token = (
         F.when(~literal, F.col("seg"))
-        .when((F.col("kids") > fanout) & (F.col("n") * F.col("kids") < F.col("all_n")), F.lit("{var}"))
+        .when((F.col("kids") > fanout) & (F.col("n") * F.col("kids") <= F.col("all_n")), F.lit("{var}"))
         .when(F.col("labels") == 0, F.lit("{new}"))
         .when((rest > 0) & (gap * gap > 4 * noise), F.col("seg"))
         .otherwise(F.lit("{any}"))
