@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import bound_batches, written
 from tidemark.llm.components import components
 
 
@@ -49,7 +49,7 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     twins = keys.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(16))).join(salted, ["h", "g", "k"]).select("id", "rep", "copies")
     single = same.filter("copies = 1").select(F.col("rep").alias("id"), "rep", "copies")
     first = rows.join(same.select("h", "g", "rep", "copies"), (rows.h == same.h) & (rows.g == same.g) & (rows.id == same.rep)).select("rep", "label", "v", "copies")
-    return twins.unionByName(single), written(first.dropDuplicates(["rep", "label", "v"]), "vectors"), dim
+    return twins.unionByName(single).distinct(), written(first.dropDuplicates(["rep", "label", "v"]), "vectors"), dim
 
 
 def _project(nodes: DataFrame, dim: int, trees: int, depth: int, seed: int) -> DataFrame:
@@ -122,6 +122,7 @@ def _pairs(leaves: DataFrame, nodes: DataFrame, dim: int, leaf: int, threshold:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, trees: int = 6, leaf: int = 1000, depth: int = 24, seed: int = 11) -> DataFrame:
     """Per row: its id, n_links, component_id (smallest id reachable by links), kept."""
+    bound_batches(vectors.sparkSession)
     members, nodes, dim = _nodes(vectors, id_col, vector_col, label_col)
     difference = math.sqrt((2 - 2 * threshold) / dim)
     leaves = _leaves(_project(nodes, dim, trees, depth, seed), trees, depth, leaf, difference)
