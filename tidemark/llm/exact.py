@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, written
+from tidemark.llm.common import ascii_lower, fields_of_row, whole_row, written
 
+SALTS = 16
 CHUNK = 32768  # bits in one bitmap of bitmap_construct_agg
 
 
@@ -66,23 +67,29 @@ def _passes(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_
     return digests, written(repeated_bits(digests, bits), "bloom"), bits
 
 
+def _with_group(some: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with their group's columns. Groups come in SALTS copies and rows pick one by id, so the rows of a huge
+    group are dealt to as many tasks."""
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return some.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["text_sha256", "_salt"])
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """Per row: its id, keep_id (largest id with an equal text), group_size, kept, text_sha256."""
     digests, bitmaps, bits = _passes(docs, id_col, text_col, bits_per_row, max_bits)
     flagged = may_repeat(digests, bitmaps, bits)
     alone = flagged.filter(~F.col("maybe")).select(F.col("doc_id"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = flagged.filter("maybe").select("doc_id", "text_sha256")
-    groups = some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    some = flagged.filter("maybe").select(F.col("doc_id").alias("_id"), "text_sha256")
+    groups = some.groupBy("text_sha256").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    joined = _with_group(some, groups).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(joined).withColumnRenamed("doc_id", id_col)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """docs with one row of each normalised text, that with the largest id; columns as they were."""
     _, bitmaps, bits = _passes(docs, id_col, text_col, bits_per_row, max_bits)
-    wrapped = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), digest(docs[f"`{text_col}`"]).alias("text_sha256"))
-    flagged = may_repeat(wrapped, bitmaps, bits)
-    some = flagged.filter("maybe").withColumn("_id", F.col("row").getField(id_col))
-    groups = some.groupBy("text_sha256").agg(F.max("_id").alias("_keep"))
-    stay = some.join(groups, "text_sha256").filter(F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["text_sha256"]).select("row")
-    return flagged.filter(~F.col("maybe")).select("row").unionByName(stay).select("row.*")
+    flagged = may_repeat(docs.select(whole_row(docs), docs[f"`{id_col}`"].alias("_id"), digest(docs[f"`{text_col}`"]).alias("text_sha256")), bitmaps, bits)
+    some = flagged.filter("maybe")
+    keep = some.groupBy("text_sha256").agg(F.max("_id").alias("_keep"))
+    stay = _with_group(some, keep).filter(F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["text_sha256"]).select("row")
+    return flagged.filter(~F.col("maybe")).select("row").unionByName(stay).select(*fields_of_row(docs.columns))
