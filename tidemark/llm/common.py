@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +45,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+_SCOPES: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those written with ``keep``, which the scope around
+    this one owns. Frames that read the others must not be used afterwards."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    owners = _SCOPES[:-1] if keep else _SCOPES
+    if owners:
+        owners[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,6 +84,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches to Python hold at most BATCH_BYTES (or one row): whole texts travel in them, and their
+    buffers are outside the heap of the executors. The session's own smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "67108864").rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct column, out of the way of working columns' names."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")
+
+
+def fields_of_row(df_columns: list[str], but: tuple[str, ...] = (), **instead: Column) -> list[Column]:
+    """The columns inside ``row`` again, without those that new columns replace; ``instead`` gives some anew."""
+    lower = {b.lower() for b in but}
+    return [instead[c].alias(c) if c in instead else F.col("row").getField(c).alias(c) for c in df_columns if c.lower() not in lower]
+
+
 def release() -> None:
     """Gives this Python worker's freed memory back to the system: workers are reused from stage to stage."""
     import ctypes

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import scratch, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,22 +17,23 @@ def _mark(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """(node, root) for every node that is not the smallest of its component; root is the smallest."""
-    found = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    found = written(found, "edges")
-    mark = _mark(found)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
-        both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        found = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = _mark(found)
-        if now == mark:
-            break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return found.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    with scratch(edges.sparkSession):
+        found = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        found = written(found, "edges")
+        mark = _mark(found)
+        for _ in range(max_rounds):
+            if not mark[0]:
+                break
+            both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+            large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            found = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+            now = _mark(found)
+            if now == mark:
+                break
+            mark = now
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        return written(found.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots", keep=True)

@@ -6,7 +6,7 @@ Documents become sets of word n-gram hashes; two link when 100 * |A and B| >= th
 2. *Order.* n-grams are ordered by how common they are, rare first. Commonness comes from a counting sketch of
    fixed size over all documents; any order gives the same links, a good one short lists.
 3. *Index.* Each set posts the n-grams of its prefix (two linked sets share one of them) with set size and
-   position. Lists of a single set go at once.
+   position. What has no set of a near enough size in its list goes at once.
 4. *Leaders.* For a few rounds every set is compared with a few leaders of the lists it shares, if they are not
    yet connected. A list's first leader is the set with the fewest n-grams of its own, so in a group of near copies
    this connects nearly all that can be with a few comparisons a set.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import pack, unpack
-from tidemark.llm.common import new_path, partitions, release, written
+from tidemark.llm.common import bound_batches, new_path, partitions, release, scratch, written
 from tidemark.llm.components import components
 
 SKETCH_BITS, CHUNK_BITS, MERGE_SALTS = 22, 16, 256
@@ -106,7 +106,7 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(s.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def _set_batches(batches, n: int, most: int = 1 << 20) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _set_batches(batches, n: int, most: int = 1 << 19) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """(ids, sets) of runs of texts of about ``most`` bytes; batches have columns id and text (binary)."""
     for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
@@ -170,7 +170,7 @@ def _pair_least(a, b, threshold: int):
 
 
 def _shared_lists(docs: DataFrame, n: int, threshold: int, levels: np.ndarray) -> DataFrame:
-    """(token, size, pos, f) of prefix n-grams that at least two different sets post."""
+    """(token, size, pos, f) of prefix n-grams, for sets with another set in the list that is near enough in size."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(levels)
 
@@ -202,13 +202,15 @@ def _shared_lists(docs: DataFrame, n: int, threshold: int, levels: np.ndarray) -
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (f[1:] != f[:-1])
             token, size, pos, f = token[fresh], size[fresh], pos[fresh], f[fresh]
-            like = np.concatenate([[bool(last and last[1])], token[1:] == token[:-1], [False]])
+            near = (token[1:] == token[:-1]) & (size[:-1] * 100 >= size[1:] * threshold)  # lists are sorted by size
+            like = np.concatenate([[bool(last and last[1])], near, [False]])
             keep = like[:-1] | like[1:]
             last = ((token[-1], size[-1], pos[-1], f[-1]), bool(like[-2]))
             keep[-1] = False
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, size, pos, f)], names=["token", "size", "pos", "f"])
         if last and last[1]:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[0]], names=["token", "size", "pos", "f"])
+        release()
 
     schema = "token long, size long, pos long, f long"
     posted = docs.mapInArrow(post, schema).repartition(2 * partitions(spark), "token").sortWithinPartitions("token", "size", "f")
@@ -286,6 +288,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             column = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("both", "x", "y")}
             keep = [_most(x, y) >= _pair_least(both, 0, threshold) for both, x, y in zip(*column.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+        release()
 
     side = lambda k, c: sets.select(F.col("f").alias(k), F.col("size").alias(f"size_{k}"), F.col("signature").alias(c))
     both = pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("both"), "x", "y")
@@ -307,6 +310,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             held = {x: _unpress(x) for x in {*blobs[0], *blobs[1]}}
             out = [len(np.intersect1d(held[x], held[y], assume_unique=True)) for x, y in zip(*blobs, strict=True)]
             yield pa.RecordBatch.from_arrays([*(column[c] for c in ("a", "b", "size_a", "size_b")), pa.array(out, pa.int64())], names=["a", "b", "size_a", "size_b", "overlap"])
+        release()
 
     side = lambda k: sets.select(F.col("f").alias(k), F.col("size").alias(f"size_{k}"), F.col("tokens").alias(f"tokens_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "tokens_a", "tokens_b")
@@ -404,35 +408,40 @@ def _derived(pairs: DataFrame, compared: DataFrame, threshold: int) -> DataFrame
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80, rounds: int = 3, leaders: int = 3, max_bits: int = 1 << 27) -> DataFrame:
     """Per row of docs: its id, n_shingles, component_id (smallest id of its component)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    nodes = _nodes(docs, n)
-    lists = _shared_lists(docs, n, threshold, _levels(nodes))
-    sets = _write_sets(docs, n, lists, max_bits)
-    tried = compared = None
-    rows = lists.withColumn("comp", F.col("f"))
-    for turn in range(rounds):
-        pairs = _to_leaders(rows, threshold, turn, leaders)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(_overlaps(_possible(pairs, sets, threshold), sets), "compared")
-        tried, compared = (pairs, new) if tried is None else (tried.unionByName(pairs), compared.unionByName(new))
-        links = _links(compared, threshold)
-        rows = _connected(lists, links)
-    rest = written(_in_full(rows, threshold).join(tried, ["a", "b"], "left_anti"), "rest")
-    rest = written(_derived(rest, compared, threshold), "derived")
-    sure = rest.filter("low >= need").select("a", "b")
-    unsure = rest.filter("low IS NULL OR low < need AND high >= need").select("a", "b")
-    links = links.select("a", "b").unionByName(sure).unionByName(_links(_overlaps(_possible(unsure, sets, threshold), sets), threshold).select("a", "b"))
-    roots = components(links, "a", "b").select(F.col("node").alias("f"), "root")
-    nodes = nodes.filter("kind = 0").select("id", "size", "f")
-    rooted = written(nodes.join(roots, "f", "left").select("id", "size", F.coalesce("root", "f").alias("root")), "rooted")
+    with scratch(docs.sparkSession):
+        nodes = _nodes(docs, n)
+        lists = _shared_lists(docs, n, threshold, _levels(nodes))
+        sets = _write_sets(docs, n, lists, max_bits)
+        tried = compared = None
+        rows = lists.withColumn("comp", F.col("f"))
+        for turn in range(rounds):
+            pairs = _to_leaders(rows, threshold, turn, leaders)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = written(pairs, "pairs")
+            new = written(_overlaps(_possible(pairs, sets, threshold), sets), "compared")
+            tried, compared = (pairs, new) if tried is None else (tried.unionByName(pairs), compared.unionByName(new))
+            links = _links(compared, threshold)
+            rows = _connected(lists, links)
+        rest = written(_in_full(rows, threshold).join(tried, ["a", "b"], "left_anti"), "rest")
+        rest = written(_derived(rest, compared, threshold), "derived")
+        sure = rest.filter("low >= need").select("a", "b")
+        unsure = rest.filter("low IS NULL OR low < need AND high >= need").select("a", "b")
+        links = links.select("a", "b").unionByName(sure).unionByName(_links(_overlaps(_possible(unsure, sets, threshold), sets), threshold).select("a", "b"))
+        roots = components(links, "a", "b").select(F.col("node").alias("f"), "root")
+        nodes = nodes.filter("kind = 0").select("id", "size", "f")
+        rooted = written(nodes.join(roots, "f", "left").select("id", "size", F.coalesce("root", "f").alias("root")), "rooted", keep=True)
     first = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("first"))
     return rooted.join(first, "root", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
-    """docs with one document of each component, that with the smallest id; columns as they were."""
-    found = jaccard_components(docs, id_col, text_col, n, threshold)
-    stay = written(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct(), "stay")
-    return docs.join(stay, docs[f"`{id_col}`"].eqNullSafe(F.col("_stay")), "left_semi")
+    """docs with one document of each component, that with the smallest id; columns as they were. Rows with equal
+    ids share a verdict: they stay if one of them does. Rows without an id stay."""
+    with scratch(docs.sparkSession):
+        found = jaccard_components(docs, id_col, text_col, n, threshold).select(F.col(id_col).alias("gone"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("stays"))
+        gone = found.filter("gone IS NOT NULL").groupBy("gone").agg(F.max("stays").alias("stays")).filter("NOT stays").select("gone")
+        gone = written(gone, "gone", keep=True)
+    return docs.join(gone, docs[f"`{id_col}`"] == gone["gone"], "left_anti")
