@@ -50,6 +50,32 @@ SELECT d.doc_id, len(w) AS n_words, round(coalesce(s, 0), 4) AS log_score, round
 """
 
 
+REACH = """
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN ways e ON r.b = e.a),
+roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)"""
+
+JACCARD = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * o >= 80 * (p.n + q.n - o)),{REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(coalesce(root, d.doc_id), d.doc_id) AS component_id FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN roots ON a = d.doc_id
+"""
+
+VECTORS = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.98),{REACH},
+counts AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(coalesce(root, vec_id), vec_id) AS component_id, vec_id <= coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN roots r ON r.a = vec_id LEFT JOIN counts c ON c.a = vec_id
+"""
+
+
 def mixing(rounds: int = 3, seed: int = 7) -> str:
     out = rf"""
 WITH sizes AS (
@@ -112,4 +138,4 @@ SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN l >= {min_label
 FROM parsed u JOIN p{depth} p ON u.host = p.host AND u.segs = p.segs JOIN judged j ON p.host = j.host AND p.template = j.template"""
 
 
-SQL = {"op1_line_dedup": LINES, "op3_exact_dedup": EXACT, "op7_lm_score": LM, "op9_mixing": mixing(), "op10_url_filter": url_filter()}
+SQL = {"op1_line_dedup": LINES, "op3_exact_dedup": EXACT, "op4_embedding_dedup": VECTORS, "op7_lm_score": LM, "op8_jaccard": JACCARD, "op9_mixing": mixing(), "op10_url_filter": url_filter()}
