@@ -39,30 +39,39 @@ def running_median(track: DataFrame, value: str, block: list[str], size: int = 1
     instead, which sorts every frame anew."""
     half = size // 2
     rows = placed(track, block, pos).filter(F.col("n") >= size)
-    spread = tiled(rows, half, half - 1, tile)
-    part = [*block, "tile"]
-    if native:
-        order = Window.partitionBy(*part).orderBy("rn")
-        frame = order.rowsBetween(-half, half - 1)
-        full = spread.withColumn("_m", F.when(F.count("*").over(frame) == size, F.percentile(F.col(value), F.lit(0.5)).over(frame)))
-    else:
-        schema = spread.withColumn("_m", F.lit(None).cast("double")).schema
-
-        def median(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("rn", kind="stable")
-            rolled = pdf[value].astype("float64").rolling(size).median().to_numpy()
-            return pdf.assign(_m=np.append(rolled[half - 1 :], np.full(min(half - 1, len(rolled)), np.nan))[: len(pdf)])
-
-        full = spread.groupBy(*part).applyInPandas(median, schema)
-        full = full.withColumn("_m", F.when(~F.isnan("_m"), F.col("_m")))
+    joined = _native_medians(rows, value, block, size, tile, out) if native else _arrow_medians(rows, value, block, size, tile, out)
+    return joined.filter(~((F.col("n") == size) & (F.col("rn") == 1)))
+
+
+def _arrow_medians(rows: DataFrame, value: str, block: list[str], size: int, tile: int, out: str) -> DataFrame:
+    """One pass: the halo is a frame on either side, so each tile holds every frame of its rows, clamped ones too."""
+    half = size // 2
+    spread = tiled(rows, size, size, tile)
+    schema = rows.withColumn(out, F.lit(None).cast("double")).schema
+
+    def median(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn", kind="stable")
+        rolled = pdf[value].astype("float64").rolling(size).median().to_numpy()
+        core = pdf[pdf["core"]]
+        centre = np.clip(core["rn"], half + 1, core["n"] - half + 1)
+        ends = (centre + half - 1 - pdf["rn"].iloc[0]).to_numpy()
+        return core.drop(columns=["tile", "core"]).assign(**{out: rolled[ends]})
+
+    return spread.groupBy(*block, "tile").applyInPandas(median, schema)
+
+
+def _native_medians(rows: DataFrame, value: str, block: list[str], size: int, tile: int, out: str) -> DataFrame:
+    half = size // 2
+    order = Window.partitionBy(*block, "tile").orderBy("rn")
+    frame = order.rowsBetween(-half, half - 1)
+    full = tiled(rows, half, half - 1, tile).withColumn("_m", F.when(F.count("*").over(frame) == size, F.percentile(F.col(value), F.lit(0.5)).over(frame)))
     full = full.filter("core").drop("tile", "core")
     first, last = F.lit(half + 1), F.col("n") - half + 1
     edge = full.filter((F.col("rn") == first) | (F.col("rn") == last)).groupBy(*block).agg(
         F.max(F.when(F.col("rn") == first, F.col("_m"))).alias("_left"), F.max(F.when(F.col("rn") == last, F.col("_m"))).alias("_right")
     )
     out_value = F.when(F.col("rn") < first, F.col("_left")).when(F.col("rn") > last, F.col("_right")).otherwise(F.col("_m"))
-    joined = full.join(edge, block).withColumn(out, out_value).drop("_m", "_left", "_right")
-    return joined.filter(~((F.col("n") == size) & (F.col("rn") == 1)))
+    return full.join(edge, block).withColumn(out, out_value).drop("_m", "_left", "_right")
 
 
 def savgol_weights(half: int = 10) -> list[float]:
