@@ -27,6 +27,11 @@ def test_same_as_the_library_and_back(docs, clashing, rows, reference):
     assert run(clashing) == sorted(expected, key=repr)
 
 
+def test_round_trip_is_decode(docs):
+    both = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN, round_trip=True).withColumnRenamed("decoded", "own"), PATH).collect()
+    assert all(r["own"] == r["decoded"] for r in both) and len(both) == docs.count()
+
+
 def test_small_blocks(docs, rows, reference, monkeypatch):
     from tidemark.llm import blocks
 

@@ -25,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, partitions, release
+from tidemark.llm.common import bound_batches, new_path, partitions, release
 
-CHUNK, BLOCK_TOKENS, BLOCK_WORDS = 1 << 18, 4 << 20, 500_000
+CHUNK, BLOCK_TOKENS, BLOCK_WORDS = 1 << 18, 2 << 20, 300_000
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -136,6 +136,7 @@ class _Block:
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, split: Callable[[str | bytes | None], Iterator], parts: int, name: str, encode: Callable[[object], bytes] = bytes, most: int = BLOCK_TOKENS) -> DataFrame:
     """The written table of blocks. split gives a text's words, encode a word's bytes; null texts come as None."""
+    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):

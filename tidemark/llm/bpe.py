@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tidemark.llm.blocks import blocks, pack, unpack, unpack_ascending, unpack_tokens, unpack_words
-from tidemark.llm.common import partitions, release
+from tidemark.llm.common import bound_batches, fields_of_row, partitions, release, whole_row
 
 LONG = 1 << 22  # characters from which a text's pre-tokens are not held all at once
 
@@ -50,13 +50,35 @@ def split_text(pattern: str):
     return split
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Per row of docs: its id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+def _by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    if sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError("token ids must run from 0 without gaps")
+    return [piece for _, piece in sorted((rank, piece) for piece, rank in ranks.items())]
+
+
+def _token_bytes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all bytes, where each token's start, how many they are."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size, size
+
+
+def _look_up(ids: np.ndarray, doc_ends: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of documents whose ids end at doc_ends."""
+    ends = np.concatenate([[0], np.cumsum(size[ids])])
+    where = np.repeat(start[ids] - ends[:-1], size[ids]) + np.arange(ends[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(doc_ends) - 1, [None, pa.py_buffer(ends[doc_ends]), pa.py_buffer(data[where])]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, round_trip: bool = False) -> DataFrame:
+    """Per row of docs: its id, n_tokens, ids (little-endian unsigned 32-bit integers). round_trip adds ``decoded``,
+    what ``decode`` would give for the ids, in the same pass over them."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = parts or 2 * partitions(spark)
     made = blocks(docs, id_col, text_col, split_text(pattern), parts, "bpe-blocks", str.encode)
-    ranks = spark.sparkContext.broadcast(tuple(read_ranks(vocabulary).items()))  # the vocabulary's size
+    known = read_ranks(vocabulary)
+    ranks = spark.sparkContext.broadcast(tuple(known.items()))  # the vocabulary's size
+    pieces = spark.sparkContext.broadcast(_by_id(known))
 
     def merge(batches):
         coder, held, known = _encoding(pattern, ranks.value), None, {}
@@ -100,29 +122,36 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             where = np.repeat(start[tokens] - ends[:-1], size[tokens]) + np.arange(ends[-1])
             doc_ends = ends[np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])]
             binary = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(doc_ends * 4), pa.py_buffer(flat[where].astype("<u4"))])
-            out.append(pa.table({"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}))
+            columns = {"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}
+            if round_trip:
+                columns["decoded"] = _look_up(flat[where], doc_ends, *_token_bytes(pieces.value))
+            out.append(pa.table(columns))
         del numbers, counts, flat, size, start
         release()
         return pa.concat_tables(out)
 
     chunks = made.filter("kind = 0").select("block", F.col("ids").alias("doc_ids"), "lens", "blob")
-    return chunks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(assemble, f"id {id_type}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return chunks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(assemble, f"id {id_type}, n_tokens long, ids binary" + ", decoded binary" * round_trip).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """encoded plus ``decoded``, the bytes that the ids stand for; null ids decode to null."""
+    """encoded plus ``decoded`` (which replaces a column of this name), the bytes that the ids stand for; null ids
+    decode to null."""
     spark = encoded.sparkSession
-    ranks = read_ranks(vocabulary)
-    table = spark.sparkContext.broadcast([x for _, x in sorted((rank, piece) for piece, rank in ranks.items())])
-    if sorted(ranks.values()) != list(range(len(ranks))):
-        raise ValueError("token ids must run from 0 without gaps")
+    bound_batches(spark)
+    pieces = spark.sparkContext.broadcast(_by_id(read_ranks(vocabulary)))
 
     def look_up(batches):
-        pieces = table.value
+        table = _token_bytes(pieces.value)
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            ids = batch.column(batch.schema.get_field_index(ids_col))
-            out = [None if x is None else b"".join([pieces[k] for k in np.frombuffer(x, "<u4").tolist()]) for x in (v.as_py() for v in ids)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            ids = batch.column(0).field(at_ids)
+            full = [x or b"" for x in ids.to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in full], dtype=np.int64)])
+            decoded = _look_up(np.frombuffer(b"".join(full), "<u4"), ends, *table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.compute.if_else(ids.is_valid(), decoded, None)], names=["row", "decoded"])
         release()
 
-    return encoded.mapInArrow(look_up, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
+    at_ids = encoded.columns.index(ids_col)
+    rows = encoded.select(whole_row(encoded))
+    schema = StructType([rows.schema["row"], StructField("decoded", BinaryType())])
+    return rows.mapInArrow(look_up, schema).select(*fields_of_row(encoded.columns, ("decoded",)), "decoded")
