@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, written
+from tidemark.llm.common import bound_batches, scratch, written
 from tidemark.llm.components import components
 
 
@@ -123,16 +123,18 @@ def _pairs(leaves: DataFrame, nodes: DataFrame, dim: int, leaf: int, threshold:
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, trees: int = 6, leaf: int = 1000, depth: int = 24, seed: int = 11) -> DataFrame:
     """Per row: its id, n_links, component_id (smallest id reachable by links), kept."""
     bound_batches(vectors.sparkSession)
-    members, nodes, dim = _nodes(vectors, id_col, vector_col, label_col)
-    difference = math.sqrt((2 - 2 * threshold) / dim)
-    leaves = _leaves(_project(nodes, dim, trees, depth, seed), trees, depth, leaf, difference)
-    pairs = _pairs(leaves, nodes, dim, leaf, threshold)
-    both = pairs.select(F.col("a").alias("rep"), F.col("copies_b").alias("n")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("copies_a").alias("n")))
-    links = both.groupBy("rep").agg(F.sum("n").alias("others"))
-    roots = components(pairs, "a", "b").select(F.col("node").alias("rep"), "root")
-    per = members.join(links, "rep", "left").join(roots, "rep", "left")
-    per = per.groupBy("id").agg(F.sum(F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.min(F.coalesce("root", "rep")).alias("component"))
-    ids = vectors.select(F.col(f"`{id_col}`").alias("_id"))
-    out = ids.join(per, F.col("_id") == F.col("id"), "left")
-    component = F.coalesce("component", "_id")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+    with scratch(vectors.sparkSession):
+        members, nodes, dim = _nodes(vectors, id_col, vector_col, label_col)
+        difference = math.sqrt((2 - 2 * threshold) / dim)
+        leaves = _leaves(_project(nodes, dim, trees, depth, seed), trees, depth, leaf, difference)
+        pairs = _pairs(leaves, nodes, dim, leaf, threshold)
+        both = pairs.select(F.col("a").alias("rep"), F.col("copies_b").alias("n")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("copies_a").alias("n")))
+        links = both.groupBy("rep").agg(F.sum("n").alias("others"))
+        roots = components(pairs, "a", "b").select(F.col("node").alias("rep"), "root")
+        per = members.join(links, "rep", "left").join(roots, "rep", "left")
+        per = per.groupBy("id").agg(F.sum(F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.min(F.coalesce("root", "rep")).alias("component"))
+        ids = vectors.select(F.col(f"`{id_col}`").alias("_id"))
+        out = ids.join(per, F.col("_id") == F.col("id"), "left")
+        component = F.coalesce("component", "_id")
+        out = out.select(F.col("_id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
+        return written(out, "vector-links", keep=True)

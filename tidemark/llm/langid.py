@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidemark.llm.common import release
+from tidemark.llm.common import bound_batches, fields_of_row, release, whole_row
 
 SEGMENT, BATCH_BYTES = 512, 4 << 20
 
@@ -196,24 +197,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns plus lang_pred and score."""
+    """docs' columns plus lang_pred and score (which replace columns of these names)."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.codes, model.symbols, model.table, model.roots, model.bits))  # bounded by the sample parameters
-    names = docs.columns
-    schema = docs.select(*[F.col(f"`{c}`") for c in names], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), has_letter(F.col(f"`{text_col}`")).alias("_letter"))
 
     def predict(batches):
         m = Model(*held.value)
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-            column = batch.column(batch.schema.get_field_index(text_col))
-            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            letter = batch.column(1).to_numpy(zero_copy_only=False)
             if m.languages:
-                best, score = classify(m, column)
+                best, score = classify(m, batch.column(0).field(at_text))
                 name = np.array([*m.languages, "und"], object)[np.where(letter, best, len(m.languages))]
                 score = np.where(letter, score, 0.0)
             else:
-                name, score = np.full(len(column), "und", object), np.zeros(len(column))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(name, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+                name, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
         release()
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], has_letter(F.col(f"`{text_col}`")).alias("_letter"))
-    return rows.mapInArrow(predict, schema.drop("_letter").schema)
+    at_text = docs.columns.index(text_col)
+    rows = docs.select(whole_row(docs), has_letter(docs[f"`{text_col}`"]).alias("letter"))
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(predict, schema).select(*fields_of_row(docs.columns, ("lang_pred", "score")), "lang_pred", "score")

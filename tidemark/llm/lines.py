@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.llm.common import ascii_lower, partitions, release, written
+from tidemark.llm.common import ascii_lower, bound_batches, fields_of_row, partitions, release, scratch, whole_row, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
@@ -82,9 +83,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = lines.select("doc", "version", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc", "version", "pos")
     parts = parts or partitions(docs.sparkSession)
-    hashed = written(hashed, "line-hashes")  # the range partitioner reads its input twice
-    ordered = hashed.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    found = written(ordered.mapInArrow(_stream, STREAMED), "lines")
+    with scratch(docs.sparkSession):
+        hashed = written(hashed, "line-hashes")  # the range partitioner reads its input twice
+        ordered = hashed.repartitionByRange(parts, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
+        found = written(ordered.mapInArrow(_stream, STREAMED), "lines", keep=True)
     starts = found.filter("kind = 2").groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     waiting = found.filter("kind = 1").join(starts, ["h1", "h2"]).filter("first < doc")
     return found.filter("kind = 0").select("doc", "version", "pos").unionByName(waiting.select("doc", "version", "pos"))
@@ -118,22 +120,23 @@ def kept_text(text: str | None, bitmap: bytes | None) -> str:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, parts: int | None = None) -> DataFrame:
-    """docs' columns with the text of kept lines, plus n_lines (before) and n_dropped."""
-    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, parts).withColumnsRenamed({"doc": "_doc", "version": "_version", "n_dropped": "_n", "keep_bitmap": "_bitmap"})
-    joined = docs.join(bitmaps, (_doc(id_col) == F.col("_doc")) & (_version(text_col) == F.col("_version")), "left")
-    names = docs.columns
-
-    cut = F.when(F.col("_bitmap").isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(F.col("_cut"))
-    whole = joined.filter("_bitmap IS NULL").withColumn("_cut", F.lit(None).cast("string"))
-    partly = joined.filter("_bitmap IS NOT NULL")
-    index = {"text": names.index(text_col), "bitmap": len(joined.columns) - 1}
+    """docs' columns with the text of kept lines, plus n_lines (before) and n_dropped (which replace columns of
+    these names)."""
+    bound_batches(docs.sparkSession)
+    bitmaps = keep_bitmaps(docs, id_col, text_col, min_chars, parts).withColumnRenamed("doc", "doc2").withColumnRenamed("version", "version2")
+    at_text = docs.columns.index(text_col)
+    rows = docs.select(whole_row(docs), _doc(id_col).alias("doc"), _version(text_col).alias("version"))
+    joined = rows.join(bitmaps, (F.col("doc") == F.col("doc2")) & (F.col("version") == F.col("version2")), "left").select("row", "n_dropped", "keep_bitmap")
 
     def restore(batches):
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            texts = [kept_text(t, b) for t, b in zip(batch.column(index["text"]).to_pylist(), batch.column(index["bitmap"]).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "_cut"])
+            texts = [kept_text(t, b) for t, b in zip(batch.column(0).field(at_text).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["row", "n_dropped", "cut"])
         release()
 
-    partly = partly.mapInArrow(restore, whole.schema)
-    out = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
-    return whole.unionByName(partly).select(*out, n_lines(F.col(f"`{text_col}`")).alias("n_lines"), F.coalesce("_n", F.lit(0).cast("long")).alias("n_dropped"))
+    text = F.col("row").getField(text_col)
+    whole = joined.filter("keep_bitmap IS NULL").select("row", F.lit(0).cast("long").alias("n_dropped"), F.coalesce(text, F.lit("")).alias("cut"))
+    schema = StructType([*joined.schema.fields[:2], StructField("cut", StringType())])
+    out = whole.unionByName(joined.filter("keep_bitmap IS NOT NULL").mapInArrow(restore, schema))
+    fields = fields_of_row(docs.columns, ("n_lines", "n_dropped"), **{text_col: F.col("cut")})
+    return out.select(*fields, n_lines(text).alias("n_lines"), "n_dropped")

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, partitions, written
+from tidemark.llm.common import bound_batches, new_path, partitions, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -155,6 +155,7 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) ->
 def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, folder: str | None = None) -> DataFrame:
     """Writes the archives and returns the index: id, bundle, frame, offset, length."""
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = folder or new_path(spark, "warc")
     id_type = pages.schema[id_col].dataType.simpleString()
     payload = _payload(payload_col)
