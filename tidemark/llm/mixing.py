@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import fields_of_row, scratch, whole_row, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,8 +52,8 @@ def _uniform(key: Column, seed: int) -> Column:
     return (F.conv(high, 16, 10).cast("long") + F.lit(0.5)) / float(1 << 48)
 
 
-def _fill(rows: DataFrame, buckets: int) -> DataFrame:
-    """One round: extra = 1 for the ranking's prefix that fits into ``missing``, among documents that could."""
+def _fill(rows: DataFrame, buckets: int, turn: int) -> DataFrame:
+    """One round: extra = turn for the ranking's prefix that fits into ``missing``, among documents that could."""
     fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("missing"))
     want = F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumn("_want", want)
@@ -63,8 +63,8 @@ def _fill(rows: DataFrame, buckets: int) -> DataFrame:
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_end", F.col("_start") + F.sum("_want").over(inside))
-    rows = rows.withColumn("_won", (F.col("_want") > 0) & (F.col("_end") <= F.col("missing"))).withColumn("extra", F.when(F.col("_won"), 1).otherwise(F.col("extra")))
-    keep = ["doc_id", "source", "size", "source_size", "weight", "target", "copies", "rank", "bucket", "extra"]
+    rows = rows.withColumn("_won", (F.col("_want") > 0) & (F.col("_end") <= F.col("missing"))).withColumn("extra", F.when(F.col("_won"), turn).otherwise(F.col("extra")))
+    keep = ["doc_id", "source", "size", "source_size", "weight", "target", "copies", "u", "rank", "bucket", "extra"]
     rows = written(rows.select(*keep, "missing", "_won"), "mix")
     got = rows.groupBy("source").agg(F.sum(F.when(F.col("_won"), F.col("size")).otherwise(0)).alias("_got")).withColumnRenamed("source", "_s")
     return rows.join(got, F.col("source").eqNullSafe(F.col("_s"))).select(*keep, (F.col("missing") - F.col("_got")).alias("missing"))
@@ -72,25 +72,41 @@ def _fill(rows: DataFrame, buckets: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, buckets: int = 4096, rounds: int = 3) -> DataFrame:
     """Per document: doc_id, source, size, source_size, weight, target, copies (whole repeats the mix takes),
-    taken (words, repeats counted)."""
-    sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sizes")
-    per = targets(sizes, weights, max_repeats).withColumnRenamed("source", "_s")
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sizes.join(written(per, "targets"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("copies", F.floor(share).cast("int")).withColumn("_p", share - F.col("copies"))
-    rows = rows.withColumn("missing", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("extra", F.lit(0))
-    u = _uniform(F.col("doc_id"), seed)
-    odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-    rows = rows.withColumn("rank", F.when(F.col("_p") > 0, odds).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1) * buckets).cast("int")).drop("_p")
-    for _ in range(rounds):
-        rows = _fill(rows, buckets)
-    copies = F.col("copies") + F.col("extra")
-    return rows.select("doc_id", "source", "size", "source_size", "weight", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
-
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with each row repeated as often as the mix takes its id; columns as they were."""
-    per = mixed.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0")
-    joined = docs.join(per, docs[f"`{id_col}`"].eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).drop("_mix_id", "_mix_copies", "_mix_copy")
+    taken (words, repeats counted), certain (copies that every document of its source has), turn (the round that
+    drew it for one more, 0 for none), u (its number)."""
+    with scratch(docs.sparkSession):
+        sizes = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sizes")
+        per = targets(sizes, weights, max_repeats).withColumnRenamed("source", "_s")
+        share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        rows = sizes.join(written(per, "targets"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        rows = rows.withColumn("copies", F.floor(share).cast("int")).withColumn("_p", share - F.col("copies"))
+        rows = rows.withColumn("missing", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("extra", F.lit(0))
+        rows = rows.withColumn("u", _uniform(F.col("doc_id"), seed))
+        u = F.col("u")
+        odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
+        rows = rows.withColumn("rank", F.when(F.col("_p") > 0, odds).otherwise(F.lit(0.0)))
+        rows = rows.withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1) * buckets).cast("int")).drop("_p")
+        for turn in range(1, rounds + 1):
+            rows = _fill(rows, buckets, turn)
+        copies = F.col("copies") + F.when(F.col("extra") > 0, 1).otherwise(0)
+        out = rows.select("doc_id", "source", "size", "source_size", "weight", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.col("copies").alias("certain"), F.col("extra").alias("turn"), "u")
+        return written(out, "mixed", keep=True)
+
+
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """docs with each row repeated as often as the mix takes its id and source (of rows that share both, as often as
+    it takes the most repeated); columns as they were.
+
+    No text is shuffled for it: a source's first draw is all documents up to some u, so two numbers a source tell
+    the copies of nearly every document. The few others (drawn in later rounds, or too large for what was missing)
+    are listed by id."""
+    per = mixed.groupBy(F.col("source").alias("mix_source")).agg(F.max("certain").alias("certain"), F.coalesce(F.max(F.when(F.col("turn") == 1, F.col("u"))), F.lit(0.0)).alias("cut"))
+    per = written(per, "cuts", keep=True)
+    rule = F.col("certain") + F.when(F.col("u") <= F.col("cut"), 1).otherwise(0)
+    by_id = mixed.groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("id_source")).agg(F.max("copies").alias("listed"), F.first("u").alias("u"))
+    others = by_id.join(per, F.col("id_source").eqNullSafe(F.col("mix_source"))).filter(F.col("listed") != rule).select("mix_id", "id_source", "listed")
+    others = written(others, "others", keep=True)
+    rows = docs.select(whole_row(docs), docs[f"`{id_col}`"].alias("id"), docs[f"`{source_col}`"].alias("mix_of")).withColumn("u", _uniform(F.col("id"), seed))
+    joined = rows.join(per, F.col("mix_of").eqNullSafe(F.col("mix_source"))).join(others, F.col("id").eqNullSafe(F.col("mix_id")) & F.col("mix_of").eqNullSafe(F.col("id_source")), "left")
+    copies = joined.select("row", F.coalesce("listed", rule).alias("copies")).filter("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*fields_of_row(docs.columns))
