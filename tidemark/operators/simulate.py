@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequence import fetch
+
 Uniform = Callable[[int], Column]
 
 
@@ -54,6 +56,27 @@ def accepted(rows: DataFrame, rates: DataFrame, kmer: str, u: Column, factor: fl
     return rows.withColumn("_u", u).join(known, F.col(kmer) == F.col("_kmer")).filter(F.col("_u") <= F.col("rate") * factor).drop("_u", "_kmer", "rate")
 
 
+def fragments(positions: DataFrame, chunks: DataFrame, lengths: DataFrame, starts: DataFrame, stops: DataFrame, uniform: Uniform, per_position: int, strand_array: Column, correction: float = 1.0, left: int = 8, right: int = 5, chunk: int = 256) -> DataFrame:
+    """(chrom, pos, strand, trial, length): per position, strand and trial, a fragment if its start k-mer passes
+    (draw 0), with a length drawn by ``lengths`` (draw 1), if the k-mer at its other end passes too (draw 2).
+
+    chunks: (chrom, chunk_no, chunk_start, seq) of the genome, overlapping by max(left, right) bases at least.
+    starts, stops: (strand, kmer, rate) for the first ``left`` and the last ``right`` bases, strand being the
+    fragment's; k-mers as the plus strand reads. A k-mer without a rate, or beyond the contig, never passes."""
+    forward, reverse = corrections(correction, left, right)
+    plus, pos, length = F.col("strand") == "+", F.col("pos"), F.col("length")
+
+    def gate(rows, rates, low, k, draw, factor):
+        seen = fetch(rows.withColumn("_lo", low).withColumn("_hi", F.col("_lo") + k - 1), chunks, "chrom", "_lo", "_hi", chunk, "_kmer_at")
+        keyed = seen.withColumn("_key", F.concat("strand", "_kmer_at"))
+        return accepted(keyed, rates.select(F.concat("strand", "kmer").alias("kmer"), "rate"), "_key", uniform(draw), factor).drop("_lo", "_hi", "_kmer_at", "_key")
+
+    made = trials(positions, per_position, strand_array)
+    begun = gate(made, starts, F.when(plus, pos).otherwise(pos - left + 1), left, 0, forward)
+    drawn = draw_length(begun, lengths, uniform(1))
+    return gate(drawn, stops, F.when(plus, pos + length - right).otherwise(pos - length + 1), right, 2, reverse).select("chrom", "pos", "strand", "trial", "length")
+
+
 def emit(rows: DataFrame, pos: str, length: str, strand: str, read_length: int = 45) -> DataFrame:
     """Alignments of fragments: one merged read up to ``read_length``, else two mates. Columns of rows plus flag,
     start, read_len, mate_start, isize, name."""

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import reads as fn
-from tidemark.operators import duplicates, joins, simulate, stats, windows
+from tidemark.operators import duplicates, joins, sequence, simulate, stats, windows
 from tidemark.plans.registry import query
-from tidemark.plans.relations import cte, load, relation
+from tidemark.plans.relations import HI, LO, cte, load, relation
 
 BIT = {k: f"(flag & {v}) <> 0" for k, v in fn.FLAGS.items()}
 
@@ -118,10 +118,6 @@ def _draws(salt: int) -> str:
     return f"((pos * 7919 + trial * 104729 + chrom * 31 + {salt}) % 9973) / 9973.0"
 
 
-def _uniform(draw: int):
-    return F.expr(_draws(draw * 1009).replace("9973.0", "9973.0D"))
-
-
 SIMULATED = cte("fragments") + """,
 h AS (SELECT CAST(e - s + 1 AS INT) AS length, count(*) AS n FROM fragments GROUP BY ALL),
 cdf AS (SELECT length, sum(n) OVER (ORDER BY length) / CAST(sum(n) OVER () AS DOUBLE) AS cdf FROM h),
@@ -133,13 +129,33 @@ d AS (SELECT chrom, pos, strand, trial, (SELECT min(length) FROM cdf WHERE cdf >
 SELECT chrom, strand, length, count(*) AS n, min(pos) AS first FROM d GROUP BY ALL""".replace("{0}", _draws(0).replace("9973.0", "9973.0::DOUBLE")).replace("{1}", _draws(1009).replace("9973.0", "9973.0::DOUBLE"))
 
 
+def _genome(frags, chunk: int, overlap: int):
+    """Made-up contigs of LO..HI in chunks: the base at a position is a fixed function of contig and position."""
+    base = lambda p: F.element_at(F.array(*map(F.lit, "ACGT")), (F.pmod(F.xxhash64("chrom", p), F.lit(4)) + 1).cast("int"))
+    at = frags.select("chrom").distinct().select("chrom", F.posexplode(F.sequence(F.lit(LO), F.lit(HI), F.lit(chunk))).alias("chunk_no", "_at"))
+    last = F.least(F.col("_at") + chunk + overlap - 1, F.lit(HI))
+    return at.select("chrom", "chunk_no", F.col("_at").cast("long").alias("chunk_start"), F.array_join(F.transform(F.sequence(F.col("_at").cast("long"), last.cast("long")), base), "").alias("seq"))
+
+
+def _end_rates(frags, chunks, chunk: int, k: int, start: bool):
+    """(strand, kmer, rate) of the k-mers at the fragments' first bases (start) or last ones, against all of the genome."""
+    on_left = (F.col("strand") == "+") == F.lit(start)
+    ends = frags.select("chrom", "strand", F.when(on_left, F.col("s")).otherwise(F.col("e") - k + 1).alias("lo")).withColumn("hi", F.col("lo") + k - 1)
+    seen = sequence.fetch(ends, chunks, "chrom", "lo", "hi", chunk, "kmer").filter("kmer IS NOT NULL").groupBy("strand", "kmer").agg(F.count("*").alias("n"))
+    own = chunks.select(F.left("seq", F.lit(chunk + k - 1)).alias("seq"))
+    return sequence.acceptance(seen, sequence.kmer_counts(own, "seq", k), ["strand"])
+
+
 @query(SIMULATED)
-def op_simulate_fragments(spark, sf_dir):
-    frags = relation(spark, sf_dir, "fragments")
+def op_simulate_fragments(spark, sf_dir, chunk: int = 256):
+    """All positions LO..HI of the contigs; both ends accepted by the rates of the observed fragments' end k-mers."""
+    frags = relation(spark, sf_dir, "fragments").withColumn("strand", F.when(F.col("strand") == "F", "+").otherwise("-"))
     lengths = frags.groupBy((F.col("e") - F.col("s") + 1).cast("int").alias("length")).agg(F.count("*").alias("n"))
-    positions = frags.select("chrom", F.col("s").alias("pos")).filter("pos % 50 < 5").distinct()
-    made = simulate.trials(positions, 30, simulate.strands(F.col("pos") - 1, F.lit(20200) - F.col("pos"), 200))
-    drawn = simulate.draw_length(simulate.sample(made, 0.1000001, _uniform), lengths, _uniform(1))
+    positions = frags.select("chrom").distinct().select("chrom", F.explode(F.sequence(F.lit(LO).cast("long"), F.lit(HI).cast("long"))).alias("pos"))
+    chunks = _genome(frags, chunk, 8)
+    starts, stops = _end_rates(frags, chunks, chunk, 8, True), _end_rates(frags, chunks, chunk, 5, False)
+    strands = simulate.strands(F.col("pos") - LO, HI + 1 - F.col("pos"), 200)
+    drawn = simulate.fragments(positions, chunks, lengths, starts, stops, simulate.hashed("chrom", "pos", "strand", "trial"), 30, strands, chunk=chunk)
     return drawn.groupBy("chrom", "strand", "length").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
