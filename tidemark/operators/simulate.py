@@ -51,9 +51,9 @@ def draw_length(rows: DataFrame, lengths: DataFrame, u: Column, out: str = "leng
 
 
 def accepted(rows: DataFrame, rates: DataFrame, kmer: str, u: Column, factor: float) -> DataFrame:
-    """Rows whose k-mer passes: u <= rate * factor. rates: (kmer, rate)."""
+    """Rows whose k-mer passes: u <= rate * factor. rates: (kmer, rate), a row a k-mer, so it can be broadcast."""
     known = rates.select(F.col("kmer").alias("_kmer"), "rate")
-    return rows.withColumn("_u", u).join(known, F.col(kmer) == F.col("_kmer")).filter(F.col("_u") <= F.col("rate") * factor).drop("_u", "_kmer", "rate")
+    return rows.withColumn("_u", u).join(F.broadcast(known), F.col(kmer) == F.col("_kmer")).filter(F.col("_u") <= F.col("rate") * factor).drop("_u", "_kmer", "rate")
 
 
 def fragments(positions: DataFrame, chunks: DataFrame, lengths: DataFrame, starts: DataFrame, stops: DataFrame, uniform: Uniform, per_position: int, strand_array: Column, correction: float = 1.0, left: int = 8, right: int = 5, chunk: int = 256) -> DataFrame:
@@ -66,15 +66,18 @@ def fragments(positions: DataFrame, chunks: DataFrame, lengths: DataFrame, start
     forward, reverse = corrections(correction, left, right)
     plus, pos, length = F.col("strand") == "+", F.col("pos"), F.col("length")
 
-    def gate(rows, rates, low, k, draw, factor):
-        seen = fetch(rows.withColumn("_lo", low).withColumn("_hi", F.col("_lo") + k - 1), chunks, "chrom", "_lo", "_hi", chunk, "_kmer_at")
-        keyed = seen.withColumn("_key", F.concat("strand", "_kmer_at"))
-        return accepted(keyed, rates.select(F.concat("strand", "kmer").alias("kmer"), "rate"), "_key", uniform(draw), factor).drop("_lo", "_hi", "_kmer_at", "_key")
+    def at(rows, low, k, out):
+        return fetch(rows.withColumn("_lo", low).withColumn("_hi", F.col("_lo") + k - 1), chunks, "chrom", "_lo", "_hi", chunk, out).drop("_lo", "_hi")
 
-    made = trials(positions, per_position, strand_array)
-    begun = gate(made, starts, F.when(plus, pos).otherwise(pos - left + 1), left, 0, forward)
-    drawn = draw_length(begun, lengths, uniform(1))
-    return gate(drawn, stops, F.when(plus, pos + length - right).otherwise(pos - length + 1), right, 2, reverse).select("chrom", "pos", "strand", "trial", "length")
+    def gate(rows, rates, kmer, draw, factor):
+        keyed = rows.withColumn("_key", F.concat("strand", kmer))
+        return accepted(keyed, rates.select(F.concat("strand", "kmer").alias("kmer"), "rate"), "_key", uniform(draw), factor)
+
+    both = at(at(positions, pos, left, "_plus"), pos - left + 1, left, "_minus")
+    begun = gate(trials(both, per_position, strand_array), starts, F.when(plus, F.col("_plus")).otherwise(F.col("_minus")), 0, forward)
+    drawn = draw_length(begun.select("chrom", "pos", "strand", "trial"), lengths, uniform(1))
+    ended = at(drawn, F.when(plus, pos + length - right).otherwise(pos - length + 1), right, "_end")
+    return gate(ended, stops, F.col("_end"), 2, reverse).select("chrom", "pos", "strand", "trial", "length")
 
 
 def emit(rows: DataFrame, pos: str, length: str, strand: str, read_length: int = 45) -> DataFrame:
