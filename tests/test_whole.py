@@ -57,3 +57,9 @@ def test_simulation_runs_over_all_positions(spark, monkeypatch):
     contigs = relation(spark, SF, "fragments").select("chrom").distinct().count()
     assert seen[0].distinct().count() == contigs * (HI - LO + 1)
     assert len({r["length"] for r in out}) > 40 and {r["strand"] for r in out} == {"+", "-"}
+
+
+def test_every_position_is_scored_by_definition(spark):
+    track = registry.queries()["op_signal_wps_track"](spark, SF).select("chrom", "pos", "wps")
+    scored = registry.queries()["op_signal_wps_by_definition"](spark, SF).select("chrom", "pos", "wps")
+    assert scored.count() == 7 * (HI - LO + 1) and scored.exceptAll(track).count() == 0

@@ -33,7 +33,7 @@ SELECT p.chrom, p.pos, CAST(coalesce(sum(CASE WHEN s IS NULL THEN 0 WHEN s > pos
 FROM slice p LEFT JOIN fragments f ON f.chrom = p.chrom AND f.e > p.pos - 60 AND f.s < p.pos + 60 GROUP BY ALL""")
 def op_signal_wps_by_definition(spark, sf_dir):
     frags = relation(spark, sf_dir, "fragments")
-    positions = frags.select("chrom").distinct().withColumn("pos", F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(1599).cast("long"))))
+    positions = frags.select("chrom").distinct().withColumn("pos", F.explode(F.sequence(F.lit(LO).cast("long"), F.lit(HI).cast("long"))))
     return signal.score_literal(frags, positions)
 
 
