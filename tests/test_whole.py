@@ -1,11 +1,13 @@
 """Registered queries do the whole of their job: checked by brute force, without filters."""
 
 import bisect
+import statistics
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import simulate
+from tidemark.operators import joins, simulate, stats
 from tidemark.plans import registry
 from tidemark.plans.relations import HI, LO, relation
 
@@ -63,3 +65,42 @@ def test_every_position_is_scored_by_definition(spark):
     track = registry.queries()["op_signal_wps_track"](spark, SF).select("chrom", "pos", "wps")
     scored = registry.queries()["op_signal_wps_by_definition"](spark, SF).select("chrom", "pos", "wps")
     assert scored.count() == 7 * (HI - LO + 1) and scored.exceptAll(track).count() == 0
+
+
+def test_spacing_of_all_peaks(spark):
+    frags = relation(spark, SF, "fragments").collect()
+    peaks, length = {(r["chrom"], r["s"]) for r in frags if r["e"] - r["s"] >= 167}, {}
+    for r in frags:
+        length[r["chrom"]] = max(length.get(r["chrom"], 0), r["e"])
+    expected = {(c, at): None for c, n in length.items() for at in range(0, n, 1500)}
+    for c, at in expected:
+        inside = sorted(p for k, p in peaks if k == c and at < p <= at + 1500)
+        if gaps := [b - a for a, b in zip(inside, inside[1:]) if 120 <= b - a <= 280]:
+            expected[c, at] = statistics.median(gaps)
+    assert {(r["chrom"], r["start"]): r["median"] for r in run(spark, "op_stats_spacing_bins")} == expected
+
+
+def test_wig_has_every_position(spark):
+    counts = Counter((r["chrom"], r["s"]) for r in relation(spark, SF, "fragments").collect())
+    lines = {(r["chrom"], r["at"]): r["line"] for r in run(spark, "op_sinks_wig_lines") if not r["line"].startswith("fixedStep")}
+    assert lines == {k: str(n) for k, n in counts.items()}
+
+
+def test_length_histogram_counts_every_read(spark):
+    counts = Counter((r["rg"], min(110, abs(r["isize"]) or 110)) for r in relation(spark, SF, "reads").collect())
+    assert {(r["rg"], r["length"]): r["reads"] for r in run(spark, "op_reads_length_histogram") if r["reads"]} == dict(counts)
+
+
+def test_length_histogram_fills_gaps(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", 5), ("b", 4)], "rg string, length long")
+    filled = stats.fill_range(stats.length_histogram(rows, ["rg"], "length", F.lit(1)), ["rg"], "length", ["reads", "weighted"])
+    assert sorted((r["rg"], r["length"], r["reads"]) for r in filled.collect()) == [("a", 3, 1), ("a", 4, 0), ("a", 5, 1), ("b", 4, 1)]
+
+
+def test_lookup_uses_the_whole_table(spark):
+    assert all(r["library"] != "none" for r in run(spark, "op_joins_lookup"))
+
+
+def test_lookup_leaves_missing_keys_null(spark):
+    rows, names = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, name string")
+    assert sorted(tuple(r) for r in joins.look_up(rows, names, ["k"]).collect()) == [(1, "x"), (2, None)]

@@ -50,7 +50,7 @@ h AS (SELECT rg, CAST(CASE WHEN isize = 0 THEN 110 ELSE least(110, abs(isize)) E
 g AS (SELECT rg, unnest(range(min(length), max(length) + 1)) AS length FROM h GROUP BY rg)
 SELECT g.rg, g.length, coalesce(reads, 0) AS reads, coalesce(weighted, 0) AS weighted FROM g LEFT JOIN h ON g.rg = h.rg AND g.length = h.length""")
 def op_reads_length_histogram(spark, sf_dir):
-    rows = relation(spark, sf_dir, "reads").filter("isize % 3 <> 0").withColumn("length", fn.clamp_length(F.col("isize"), 110).cast("long"))
+    rows = relation(spark, sf_dir, "reads").withColumn("length", fn.clamp_length(F.col("isize"), 110).cast("long"))
     return stats.fill_range(stats.length_histogram(rows, ["rg"], "length", F.col("xp")), ["rg"], "length", ["reads", "weighted"])
 
 

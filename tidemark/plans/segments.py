@@ -35,7 +35,7 @@ m AS (SELECT chrom, start, median(d)::DOUBLE AS median FROM gaps WHERE d BETWEEN
 
 def _spacing(spark, sf_dir):
     frags = relation(spark, sf_dir, "fragments")
-    peaks = frags.filter("e - s >= 167 AND s % 3 = 0").selectExpr("chrom", "s AS pos").distinct()
+    peaks = frags.filter("e - s >= 167").selectExpr("chrom", "s AS pos").distinct()
     return stats.spacing_bins(peaks, frags.groupBy("chrom").agg(F.max("e").alias("length")), "chrom", "pos", "length", 1500)
 
 
@@ -72,7 +72,7 @@ b AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY pos) AS k FROM m)
 SELECT chrom, min(pos) OVER (PARTITION BY chrom, k) AS block, pos AS at, CAST(n AS VARCHAR) AS line FROM b
 UNION ALL SELECT chrom, min(pos), min(pos) - 1, 'fixedStep chrom=chr' || chrom || ' start=' || min(pos) || ' step=1' FROM b GROUP BY chrom, k""")
 def op_sinks_wig_lines(spark, sf_dir):
-    rows = relation(spark, sf_dir, "fragments").filter("s % 5 < 3").groupBy("chrom", F.col("s").alias("pos")).agg(F.count("*").alias("n"))
+    rows = relation(spark, sf_dir, "fragments").groupBy("chrom", F.col("s").alias("pos")).agg(F.count("*").alias("n"))
     return sinks.wig_lines(rows, "n")
 
 
