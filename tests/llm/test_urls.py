@@ -68,3 +68,20 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert run(spark.createDataFrame([], SCHEMA)) == []
+
+
+@pytest.mark.parametrize("above", [4, 7])
+def test_branches_below_the_fourth_segment(spark, above):
+    """A blocked branch and a clean one that differ in a deep segment only, and then a varying one each."""
+    top = "http://h.com/" + "/".join("abcdefg"[:above])
+    rows = [f"{top}/{kind}/{part}/{k}" for kind in ("spam", "news") for part in ("x", "y") for k in ("p", "q", "r", "s", "t")]
+    rules = [("block", "h.com", f"{r[12:]}") for r in rows if "spam" in r] + [("allow", "h.com", f"{r[12:]}") for r in rows if "news" in r]
+    new = [f"{top}/spam/x/p2/z", f"{top}/news/x/p2/z", f"{top}/spam/y/t/z"]
+    rules = [r for r in rules if not r[2].endswith("/t")]
+    got = {r[0]: r[4] for r in run(spark.createDataFrame(list(enumerate(rows + new)), SCHEMA), rules, min_labels=2, reject=0.7)}
+    told = {r: got[k] for k, r in enumerate(rows + new)}
+    assert {told[r] for r in rows if "news" in r} == {"allow"} and told[new[1]] == "allow"
+    out = urls.judge_urls(spark.createDataFrame(list(enumerate(rows + new)), SCHEMA), rules, min_labels=2, reject=0.7).collect()
+    spam = {r["template"] for r in out if "/spam/" in r["path"]}
+    news = {r["template"] for r in out if "/news/" in r["path"]}
+    assert not spam & news and max(r["purity"] for r in out if "/spam/" in r["path"]) > 0.7

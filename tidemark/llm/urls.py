@@ -11,8 +11,9 @@ built level by level from counts alone:
    rest keep their name.
 
 A template is rejected when it has at least ``min_labels`` labels and its share of blocked ones, smoothed by
-``prior_weight`` labels at the overall share, is at least ``reject``; everything else is allowed. Levels
-beyond ``depth`` do not split a template further.
+``prior_weight`` labels at the overall share, is at least ``reject``; everything else is allowed. The
+first ``depth`` levels add a token to every path. Below them a node grows only while it holds different paths: what
+its paths still have in common is passed over, and the next segment splits it, down to the deepest path.
 
 Everything is built from DataFrame functions. URLs are counted per host and generalised path before anything
 is shuffled, so one host with a third of all rows is some rows of counts.
@@ -55,15 +56,15 @@ def _kind(segment: Column) -> Column:
     return reduce(lambda rest, k: F.when(segment.rlike(k[0]), F.lit(k[1])).otherwise(rest), reversed(KINDS), segment)
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The first ``depth`` segments that are not empty, machine-made ones by their kind."""
-    return F.transform(F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, depth), _kind)
+def segments(path: Column) -> Column:
+    """The segments that are not empty, machine-made ones by their kind."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _kind)
 
 
-def _level(paths: DataFrame, at: int, fanout: int) -> DataFrame:
-    """paths (host, segs, n, labels, blocked, template) with the template grown by segment number ``at``."""
-    here = paths.filter(F.size("segs") >= at)
-    branch = here.groupBy("host", "template", F.element_at("segs", at).alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "labels", "blocked")])
+def _level(paths: DataFrame, fanout: int) -> DataFrame:
+    """paths (host, segs, n, labels, blocked, template, rest) with the template grown by the first segment of ``rest``."""
+    here = paths.filter(F.size("rest") > 0)
+    branch = here.groupBy("host", "template", F.element_at("rest", 1).alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "labels", "blocked")])
     literal = ~F.col("seg").startswith("{")
     node = branch.filter(literal).groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
     both = branch.join(node, ["host", "template"], "left")
@@ -79,15 +80,33 @@ def _level(paths: DataFrame, at: int, fanout: int) -> DataFrame:
         .otherwise(F.lit("{any}"))
     )
     tokens = both.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), token.alias("_token"))
-    grown = paths.join(tokens, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.try_element_at("segs", F.lit(at)) == F.col("_s")), "left")
-    return grown.withColumn("template", F.when(F.col("_token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_token"))).drop("_h", "_t", "_s", "_token")
+    grown = paths.join(tokens, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.try_element_at("rest", F.lit(1)) == F.col("_s")), "left")
+    return grown.withColumn("template", F.when(F.col("_token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_token"))).withColumn("rest", _after("rest", 1)).drop("_h", "_t", "_s", "_token")
+
+
+def _after(segs: str, n: int | Column) -> Column:
+    """The segments after the first n."""
+    return F.slice(segs, F.lit(n) + 1, F.greatest(F.size(segs) - F.lit(n), F.lit(0)))
+
+
+def _open(paths: DataFrame) -> DataFrame:
+    """paths with the ``rest`` that can still split their node: without what all of the node's paths begin with, and
+    empty where they are all alike."""
+    node = paths.groupBy("host", "template").agg(F.min("rest").alias("_first"), F.max("rest").alias("_last"))
+    same = F.zip_with("_first", "_last", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    node = node.filter("_first != _last").select(F.col("host").alias("_h"), F.col("template").alias("_t"), (F.array_position(same, F.lit(False)) - 1).cast("int").alias("_common"))
+    joined = paths.join(node, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
+    rest = F.when(F.col("_h").isNull(), F.array().cast("array<string>")).otherwise(_after("rest", F.col("_common")))
+    return joined.withColumn("rest", rest).drop("_h", "_t", "_common")
 
 
 def templates(paths: DataFrame, depth: int, fanout: int, min_labels: int, prior_weight: float, reject: float) -> DataFrame:
     """(host, segs, template, purity, rejected) for paths (host, segs, n, labels, blocked)."""
-    paths = paths.withColumn("template", F.lit(""))
-    for at in range(1, depth + 1):
-        paths = written(_level(paths, at, fanout), f"paths{at}")
+    paths, at = paths.withColumns({"template": F.lit(""), "rest": F.col("segs")}), 0
+    while at < depth or not paths.filter(F.size("rest") > 0).isEmpty():
+        at += 1
+        grown = _level(paths, fanout)
+        paths = written(_open(grown) if at >= depth else grown, f"paths{at}")
     per = paths.groupBy("host", "template").agg(F.sum("labels").alias("_labels"), F.sum("blocked").alias("_blocked"))
     total = paths.agg(F.sum("labels").alias("_all"), F.sum("blocked").alias("_all_blocked"))
     prior = F.coalesce(F.try_divide(F.col("_all_blocked"), F.col("_all")), F.lit(0.0))
@@ -101,7 +120,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     fit = rule_for(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumn("_fit", fit).select(id_col, "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.action").alias("action"), segments(F.col("path"), depth).alias("segs"))
+    parsed = parsed.withColumn("_fit", fit).select(id_col, "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.action").alias("action"), segments(F.col("path")).alias("segs"))
     labelled, blocked = F.col("action").isNotNull().cast("long"), F.coalesce((F.col("action") == "block").cast("long"), F.lit(0).cast("long"))
     paths = written(parsed.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum(labelled).alias("labels"), F.sum(blocked).alias("blocked")), "paths")
     found = templates(paths, depth, fanout, min_labels, prior_weight, reject).select(F.col("host").alias("_host"), F.col("segs").alias("_segs"), "template", "purity", "rejected")
