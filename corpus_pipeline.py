@@ -16,9 +16,11 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language (no text, or no letter in it); names the language of unlabelled ones."""
-    found = langid.identify(docs, langid.fit(docs)).filter("lang_pred != 'und'")
-    return found.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    """Rejects documents in no language (no text, or no letter in it); names the language of unlabelled ones,
+    or leaves it null where no document is labelled."""
+    found = langid.identify(docs.filter(langid.has_letter(F.col("text"))), langid.fit(docs))
+    named = F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))
+    return found.select(*[named.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

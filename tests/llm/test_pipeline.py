@@ -69,3 +69,11 @@ def test_odd_rows_pass_or_go(spark, docs, empty):
     assert rows.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").collect() == []
+
+
+def test_documents_without_any_label_stay(spark, docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, bare, "").collect()
+    clean = [r for r in bare.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert len(kept) == len(clean) > 0 and {r["lang"] for r in kept} == {None}
+    assert sorted(r["text"] for r in kept) == sorted(r["text"] for r in clean)
