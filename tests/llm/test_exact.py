@@ -29,12 +29,36 @@ def test_brute_force(docs, clashing, rows):
     assert run(clashing) == brute(rows)
 
 
-def test_saturated_filter_loses_nothing(spark):
+def test_tables_grow_with_the_rows_by_ranges(spark):
     rows = [(k, f"text {k % 70_000}") for k in range(100_000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = exact.exact_groups(frame, max_bits=1 << 15)  # far too small: more rows shuffle
+    assert exact._tables(100_000, 16, 1 << 19) == (1 << 19, 4)
+    assert exact._tables(10**9, 16, 1 << 29) == (1 << 29, 30)
+    got = exact.exact_groups(frame, max_bits=1 << 19).cache()
     assert got.filter("kept").count() == 70_000
     assert got.filter("group_size = 2").count() == 60_000
+    kept = exact.drop_exact_duplicates(frame, max_bits=1 << 19)
+    assert kept.count() == 70_000 and kept.agg({"doc_id": "min"}).first()[0] == 30_000
+
+
+def test_ranges_give_the_same_rows(docs, clashing, rows):
+    for frame in (docs, clashing):
+        assert run(frame, bits_per_row=1 << 14, max_bits=1 << 16) == brute(rows)
+        kept = exact.drop_exact_duplicates(frame, bits_per_row=1 << 14, max_bits=1 << 16)
+        assert kept.columns == frame.columns and kept.count() == len({e[4] for e in brute(rows)})
+
+
+def test_filter_far_too_small_loses_nothing(spark):
+    frame = spark.createDataFrame([(k, f"text {k % 7_000}") for k in range(10_000)], "doc_id long, text string")
+    got = exact.exact_groups(frame, bits_per_row=1)
+    assert got.filter("kept").count() == 7_000 and got.filter("group_size = 2").count() == 6_000
+
+
+def test_large_group_is_dealt_to_many_tasks(spark):
+    rows = [(k, "the one text" if k % 3 == 0 else f"text {k}") for k in range(6_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact.exact_groups(frame).filter("group_size = 2000")
+    assert got.count() == 2_000 and got.filter("kept").first()["doc_id"] == 5_997
 
 
 def test_drop_keeps_one_whole_row(docs, clashing, rows):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,24 +46,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-_SCOPES: list[list[str]] = []
+class _Scopes(threading.local):
+    """Each thread's open scopes, innermost last."""
+
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_SCOPES = _Scopes()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end, but for those written with ``keep``, which the scope around
     this one owns. Frames that read the others must not be used afterwards."""
-    _SCOPES.append([])
+    _SCOPES.paths.append([])
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        for path in _SCOPES.paths.pop():
             _delete(spark, path)
 
 
 def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    owners = _SCOPES[:-1] if keep else _SCOPES
+    owners = _SCOPES.paths[:-1] if keep else _SCOPES.paths
     if owners:
         owners[-1].append(path)
     return path
@@ -84,12 +92,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, spread: list[str]) -> DataFrame:
+    """rows joined with the columns of their group, a row of ``groups`` for each value of ``keys`` (never null), which
+    has the number of its rows in ``size``. total: the rows of all groups.
+
+    A group of more than a task's share is dealt to as many tasks as it has shares, by a hash of the columns
+    ``spread``, and its row goes to each of them. Such groups are fewer than there are partitions, so the list of
+    them that is broadcast has a bound whatever the data."""
+    share = max(64, total // partitions(rows.sparkSession))
+    groups = written(groups, "groups")
+    salts = F.ceil(F.col(size) / share).cast("int")
+    large = groups.filter(F.col(size) > share).select(*keys, salts.alias("_salts"))
+    tagged = rows.join(F.broadcast(large), keys, "left")
+    tagged = tagged.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    dealt = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return tagged.join(dealt.hint("merge"), [*keys, "_salt"]).drop("_salt")
+
+
 BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Lets Arrow batches to Python hold at most BATCH_BYTES (or one row): whole texts travel in them, and their
-    buffers are outside the heap of the executors. The session's own smaller bound stays."""
+    buffers are outside the heap of the executors. The session's own smaller bound stays. The setting is read when a
+    frame runs, which is after the operator returned, so it stays set for the session."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(key, "67108864").rstrip("b"))
     if not 0 < now <= BATCH_BYTES:

@@ -1,12 +1,15 @@
 """Exact deduplication: two Bloom passes pick the rows whose text may repeat; only they shuffle.
 
-Pass one hashes every text into two fixed-size bit tables and keeps the bits that at least two rows hit.
-Pass two tests every row against both tables. A row that misses one has a text of its own and passes
-straight through; the others are grouped by SHA-256 of the normalised text, so the result is exact
-whatever the tables hold. The tables have 2**15 to ``max_bits`` bits each whatever the corpus holds, so
-what is broadcast is at most ``max_bits / 4`` bytes; beyond that size more rows shuffle, none is lost.
+Pass one hashes every text into two bit tables and keeps the bits that at least two rows hit. Pass two tests every
+row against both tables. A row that misses one has a text of its own and passes straight through; the others are
+grouped by SHA-256 of the normalised text, so the result is exact whatever the tables hold.
 
-Everything is built from DataFrame functions.
+The tables grow with the rows, ``bits_per_row`` bits each for every row. What is broadcast does not: where a table
+would need more than ``max_bits``, hashes are divided into ranges with a pair of tables each, and one range after the
+other is tested. Rows are then written once by range, which takes no shuffle, so that each range reads its own only.
+At most ``max_bits / 4`` bytes are broadcast at a time, and the share of rows that repeat by chance stays the same.
+
+Everything is built from DataFrame functions. Rows of a large group are dealt to several tasks.
 
 Defined cases: a null text counts as empty; empty texts equal each other; a null id ranks below every
 other; rows that agree in id and text share their verdict; other columns are never read."""
@@ -15,10 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, IntegerType, StructField, StructType
 
-from tidemark.llm.common import ascii_lower, fields_of_row, whole_row, written
+from tidemark.llm.common import ascii_lower, fields_of_row, new_path, whole_row, with_groups, written
 
-SALTS = 16
 CHUNK = 32768  # bits in one bitmap of bitmap_construct_agg
 
 
@@ -27,11 +30,12 @@ def digest(text: Column) -> Column:
     return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256)
 
 
-def _bits(rows: int, per_row: int, max_bits: int) -> int:
-    bits = CHUNK
-    while bits < rows * per_row and bits < max_bits:
+def _tables(rows: int, per_row: int, max_bits: int) -> tuple[int, int]:
+    """Bits of one table, and into how many ranges the hashes are divided."""
+    ranges, bits = max(1, -(-rows * per_row // max_bits)), CHUNK
+    while bits < min(max_bits, -(-rows * per_row // ranges)):
         bits *= 2
-    return bits
+    return bits, ranges
 
 
 def _slots(sha: Column, bits: int) -> list[Column]:
@@ -61,35 +65,50 @@ def may_repeat(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     return rows.withColumn("maybe", both).drop(*[f"_{x}{k}" for x in ("slot", "chunk", "bitmap") for k in (0, 1)])
 
 
-def _passes(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_bits: int) -> tuple[DataFrame, DataFrame, int]:
-    digests = written(docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("text_sha256")), "digests")
-    bits = _bits(digests.count(), bits_per_row, max_bits)
-    return digests, written(repeated_bits(digests, bits), "bloom"), bits
+def _with(rows: DataFrame, name: str, kind: DataType) -> StructType:
+    return StructType([*rows.schema.fields, StructField(name, kind)])
+
+
+def _flagged(digests: DataFrame, rows: DataFrame, bits: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """digests (_id, text_sha256) and rows, which hold the same, plus ``maybe``."""
+    if ranges == 1:
+        bitmaps = written(repeated_bits(digests, bits), "bloom")
+        return may_repeat(digests, bitmaps, bits), may_repeat(rows, bitmaps, bits)
+    spark, apart, out = rows.sparkSession, new_path(rows.sparkSession, "ranges"), new_path(rows.sparkSession, "flagged")
+    at = F.pmod(F.xxhash64(F.lit(1), "text_sha256"), F.lit(ranges)).cast("int")
+    rows.withColumn("_range", at).write.partitionBy("_range").parquet(apart)
+    for k in range(ranges):
+        part = spark.read.schema(_with(rows, "_range", IntegerType())).parquet(apart).filter(F.col("_range") == k).drop("_range")
+        bitmaps = written(repeated_bits(part.select("text_sha256"), bits), "bloom")
+        may_repeat(part, bitmaps, bits).write.mode("append").parquet(out)
+    flagged = spark.read.schema(_with(rows, "maybe", BooleanType())).parquet(out)
+    return flagged.select(*digests.columns, "maybe"), flagged
 
 
-def _with_group(some: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with their group's columns. Groups come in SALTS copies and rows pick one by id, so the rows of a huge
-    group are dealt to as many tasks."""
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return some.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["text_sha256", "_salt"])
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return written(docs.select(F.col(f"`{id_col}`").alias("_id"), digest(F.col(f"`{text_col}`")).alias("text_sha256")), "digests")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 29) -> DataFrame:
     """Per row: its id, keep_id (largest id with an equal text), group_size, kept, text_sha256."""
-    digests, bitmaps, bits = _passes(docs, id_col, text_col, bits_per_row, max_bits)
-    flagged = may_repeat(digests, bitmaps, bits)
-    alone = flagged.filter(~F.col("maybe")).select(F.col("doc_id"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = flagged.filter("maybe").select(F.col("doc_id").alias("_id"), "text_sha256")
+    digests = _digests(docs, id_col, text_col)
+    total = digests.count()
+    flagged, _ = _flagged(digests, digests, *_tables(total, bits_per_row, max_bits))
+    one = F.lit(1).cast("long")
+    alone = flagged.filter(~F.col("maybe")).select("_id", F.col("_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    some = flagged.filter("maybe").select("_id", "text_sha256")
     groups = some.groupBy("text_sha256").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = _with_group(some, groups).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return alone.unionByName(joined).withColumnRenamed("doc_id", id_col)
+    joined = with_groups(some, groups, ["text_sha256"], "group_size", total, ["_id"])
+    kept = F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    return alone.unionByName(joined.select("_id", "keep_id", "group_size", kept, "text_sha256")).withColumnRenamed("_id", id_col)
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 29) -> DataFrame:
     """docs with one row of each normalised text, that with the largest id; columns as they were."""
-    _, bitmaps, bits = _passes(docs, id_col, text_col, bits_per_row, max_bits)
-    flagged = may_repeat(docs.select(whole_row(docs), docs[f"`{id_col}`"].alias("_id"), digest(docs[f"`{text_col}`"]).alias("text_sha256")), bitmaps, bits)
-    some = flagged.filter("maybe")
-    keep = some.groupBy("text_sha256").agg(F.max("_id").alias("_keep"))
-    stay = _with_group(some, keep).filter(F.col("_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["text_sha256"]).select("row")
-    return flagged.filter(~F.col("maybe")).select("row").unionByName(stay).select(*fields_of_row(docs.columns))
+    digests = _digests(docs, id_col, text_col)
+    total = digests.count()
+    rows = docs.select(whole_row(docs), docs[f"`{id_col}`"].alias("_id"), digest(docs[f"`{text_col}`"]).alias("text_sha256"))
+    known, flagged = _flagged(digests, rows, *_tables(total, bits_per_row, max_bits))
+    groups = known.filter("maybe").groupBy("text_sha256").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size"))
+    stay = with_groups(flagged.filter("maybe"), groups, ["text_sha256"], "_size", total, ["_id"]).filter(F.col("_id").eqNullSafe(F.col("_keep")))
+    return flagged.filter(~F.col("maybe")).select("row").unionByName(stay.dropDuplicates(["text_sha256"]).select("row")).select(*fields_of_row(docs.columns))
