@@ -43,6 +43,18 @@ def test_taken_comes_near_the_target_and_reruns_agree(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mixing.mix(frame.repartition(3)).collect()))
 
 
+def test_capped_source_spreads_over_many_ranges(spark):
+    """Every document of a source at its limit is taken three times; its rows still fall into ranges of even size."""
+    rows = [(k, "a b c", "big" if k % 50 else "aa") for k in range(20_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(frame).cache()
+    capped = out.filter("source = 'aa'")
+    assert {(r["copies"], r["taken"]) for r in capped.collect()} == {(3, 9)}
+    assert {r["target"] for r in capped.collect()} == {3.0 * 3 * 400}
+    most = capped.groupBy(F.floor(F.col("u") * 64)).count().agg(F.max("count")).first()[0]
+    assert most < 30
+
+
 def test_certain_copies_and_one_more_at_most(spark):
     frame = spark.createDataFrame([(k, "a b c d e f g h", f"s{k % 4}") for k in range(400)], "doc_id long, text string, source string")
     for r in mixing.mix(frame).collect():

@@ -4,13 +4,15 @@ Every source gets a target of words: its weight's share of all words, at most ``
 own size, the excess shared out again by weight among the others until no source is above. A document's
 expected number of copies is target / source size. Its whole part is certain: every document of the source
 gets so many copies. What is left of the target is drawn as one more copy of some documents: each gets a
-fixed uniform number u from its id, and documents rank by u's odds divided by the odds of inclusion. The
-ranking's longest prefix that fits is taken; then, for a few rounds, the same among the documents no larger
-than the words still missing, which closes the gap that a large document leaves.
+fixed uniform number u from its id, and documents rank by u's odds divided by the odds of inclusion. These odds
+differ from source to source and are equal within one, as its documents weigh alike. The ranking's longest prefix
+that fits is taken; then, for a few rounds, the same among the documents no larger than the words still missing,
+which closes the gap that a large document leaves.
 
-Ranks are cut without sorting a source in one task: ranks fall into ``buckets`` even ranges, sizes are summed
-per source and range, and running sums over these few numbers give each range its start; order matters only
-within a range.
+Ranks are cut without sorting a source in one task: u falls into ``buckets`` even ranges, which the ranks of a source
+follow, sizes are summed per source and range, and running sums over these few numbers give each range its start;
+order matters only within a range. As u is uniform, ranges are of even size in every source, those whose target
+is a whole number of copies included.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; null sources form one source, the last;
 rows with equal ids rank together, ordered by size; other columns are not read. The draw depends on ids and
@@ -84,8 +86,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: fl
         rows = rows.withColumn("u", _uniform(F.col("doc_id"), seed))
         u = F.col("u")
         odds = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-        rows = rows.withColumn("rank", F.when(F.col("_p") > 0, odds).otherwise(F.lit(0.0)))
-        rows = rows.withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1) * buckets).cast("int")).drop("_p")
+        rows = rows.withColumn("rank", F.when(F.col("_p") > 0, odds).otherwise(u))
+        rows = rows.withColumn("bucket", F.floor(u * buckets).cast("int")).drop("_p")
         for turn in range(1, rounds + 1):
             rows = _fill(rows, buckets, turn)
         copies = F.col("copies") + F.when(F.col("extra") > 0, 1).otherwise(0)
