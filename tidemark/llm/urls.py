@@ -16,7 +16,8 @@ first ``depth`` levels add a token to every path. Below them a node grows only w
 its paths still have in common is passed over, and the next segment splits it, down to the deepest path.
 
 Everything is built from DataFrame functions. URLs are counted per host and generalised path before anything
-is shuffled, so one host with a third of all rows is some rows of counts.
+is shuffled, so one host with a third of all rows is some rows of counts. Verdicts come back by host and path; a path
+that very many rows share is dealt to several tasks.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule and is judged like any
 other; repeated rows count each; other columns are not read."""
@@ -28,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, written
+from tidemark.llm.common import LOWER, UPPER, with_groups, written
 
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 #: Machine-made segments, first match wins; an extension such as .html is kept apart from the number before it.
@@ -101,7 +102,7 @@ def _open(paths: DataFrame) -> DataFrame:
 
 
 def templates(paths: DataFrame, depth: int, fanout: int, min_labels: int, prior_weight: float, reject: float) -> DataFrame:
-    """(host, segs, template, purity, rejected) for paths (host, segs, n, labels, blocked)."""
+    """(host, segs, n, template, purity, rejected) for paths (host, segs, n, labels, blocked)."""
     paths, at = paths.withColumns({"template": F.lit(""), "rest": F.col("segs")}), 0
     while at < depth or not paths.filter(F.size("rest") > 0).isEmpty():
         at += 1
@@ -112,7 +113,7 @@ def templates(paths: DataFrame, depth: int, fanout: int, min_labels: int, prior_
     prior = F.coalesce(F.try_divide(F.col("_all_blocked"), F.col("_all")), F.lit(0.0))
     purity = (F.col("_blocked") + prior_weight * prior) / (F.col("_labels") + prior_weight)
     judged = per.crossJoin(F.broadcast(total)).select(F.col("host").alias("_h"), F.col("template").alias("_t"), purity.alias("purity"), ((F.col("_labels") >= min_labels) & (purity >= reject)).alias("rejected"))
-    return paths.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select("host", "segs", "template", "purity", "rejected")
+    return paths.join(judged, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))).select("host", "segs", "n", "template", "purity", "rejected")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", depth: int = 4, fanout: int = 20, min_labels: int = 5, prior_weight: float = 4.0, reject: float = 0.8) -> DataFrame:
@@ -123,7 +124,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     parsed = parsed.withColumn("_fit", fit).select(id_col, "host", "path", F.col("_fit.rule").alias("rule"), F.col("_fit.action").alias("action"), segments(F.col("path")).alias("segs"))
     labelled, blocked = F.col("action").isNotNull().cast("long"), F.coalesce((F.col("action") == "block").cast("long"), F.lit(0).cast("long"))
     paths = written(parsed.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum(labelled).alias("labels"), F.sum(blocked).alias("blocked")), "paths")
-    found = templates(paths, depth, fanout, min_labels, prior_weight, reject).select(F.col("host").alias("_host"), F.col("segs").alias("_segs"), "template", "purity", "rejected")
-    joined = parsed.join(found, (F.col("host") == F.col("_host")) & (F.col("segs") == F.col("_segs")))
+    found = templates(paths, depth, fanout, min_labels, prior_weight, reject)
+    total = paths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = with_groups(parsed, found, ["host", "segs"], "n", total, [id_col, "path"])
     verdict = F.coalesce(F.col("action"), F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
     return joined.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
