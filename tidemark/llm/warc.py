@@ -11,7 +11,7 @@ Reading: index rows are range-partitioned by bundle and frame; a task opens a bu
 seek table, decompresses each once and slices its records.
 
 Only digests are grouped. Payloads are shuffled once, by page, to meet their record type; a payload that a third
-of all pages share is counted per task before its digest is shuffled. Bundles are written below the shared
+of all pages share is counted per task before its digest is shuffled, and what it says is dealt to several tasks. Bundles are written below the shared
 folder through ``pyarrow.fs``, under names of their own for each attempt: a lost or repeated task leaves files
 that no index row names.
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, new_path, partitions, written
+from tidemark.llm.common import bound_batches, new_path, partitions, with_groups, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -147,8 +147,7 @@ def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) ->
     digests = pages.select(F.col(id_col).alias("_id"), F.sha1(payload).alias("_sha"), F.octet_length(payload).alias("_bytes"))
     digests = written(digests, "digests").filter(F.col("_bytes") >= min_bytes)
     shared = digests.groupBy("_sha").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 AND _first IS NOT NULL")
-    salted = shared.select(F.col("_sha").alias("_s"), "_first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_k"))
-    joined = digests.join(salted, (F.col("_sha") == F.col("_s")) & (F.pmod(F.xxhash64("_id"), F.lit(16)) == F.col("_k")))
+    joined = with_groups(digests, shared, ["_sha"], "_n", digests.count(), ["_id"])
     return joined.filter(~F.col("_id").eqNullSafe(F.col("_first"))).select("_id", "_sha", "_first").distinct()
 
 
