@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard self-join of documents, with set-relation skipping.
+"""N-gram Jaccard self-join of documents, with set-relation skipping.
 
 Documents become sets of word n-gram hashes; two link when 100 * |A and B| >= threshold * |A or B|.
 
@@ -19,7 +19,12 @@ Documents become sets of word n-gram hashes; two link when 100 * |A and B| >= th
 
 Comparing needs whole sets, which are computed again for sets of shared lists only and written once, bucketed by
 fingerprint. No step groups a component's sets in one task or sends links to the driver; what the driver sees is
-the sketch (fixed size) and a Bloom bitmap of at most ``max_bits`` bits.
+the sketch (fixed size) and a Bloom bitmap of at most ``max_bits`` bits. A list, component or group of equal sets of
+more than a task's share is dealt to several tasks. In full, such a list is joined in blocks: its largest component in
+blocks of its own, which never meet each other, and the other sets in blocks that meet all.
+
+Words, n-grams and sets are compared by hashes of 64 bits. Within two sets this does not show; among 10**10 different
+sets about three pairs are expected to share a fingerprint, which would make the two sets of such a pair one.
 
 Defined cases: a null, empty or blank text has an empty set and links with nothing; a text of fewer than n words
 is one n-gram; repeated rows and equal texts are one component; a null id has a null component unless its set has
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import pack, unpack
-from tidemark.llm.common import bound_batches, new_path, partitions, release, scratch, written
+from tidemark.llm.common import bound_batches, new_path, partitions, release, scratch, with_groups, written
 from tidemark.llm.components import components
 
 SKETCH_BITS, CHUNK_BITS, MERGE_SALTS = 22, 16, 256
@@ -321,12 +326,28 @@ def _links(compared: DataFrame, threshold: int) -> DataFrame:
     return compared.filter(F.col("overlap") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * threshold)
 
 
+def _dealt(lists: DataFrame) -> DataFrame:
+    """lists plus ``salts``, how many tasks' shares a row's list has, and ``salt``, the one the row is in. Lists of more
+    than one share are at most twice as many as there are partitions."""
+    share = max(64, lists.count() // (2 * partitions(lists.sparkSession)))
+    large = lists.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") > share)
+    large = written(large.select("token", F.ceil(F.col("n") / share).cast("int").alias("_salts")), "large-lists")
+    rows = lists.join(F.broadcast(large), "token", "left").withColumn("salts", F.coalesce("_salts", F.lit(1))).drop("_salts")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("f"), F.col("salts")).cast("int"))
+
+
+def _told(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows of lists joined with what ``per`` (token, salts, ...) says of their list."""
+    dealt = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return rows.join(dealt, ["token", "salt"])
+
+
 def _connected(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the lists that hold several components, with the component ``comp`` of each set."""
     found = components(links, "a", "b").select(F.col("node").alias("f"), "root")
     rows = lists.join(found, "f", "left").withColumn("comp", F.coalesce("root", "f")).drop("root")
-    split = rows.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low != _high").select("token")
-    return written(rows.join(split, "token"), "open")
+    split = rows.groupBy("token").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.max("salts").alias("salts"))
+    return written(_told(rows, split.filter("_low != _high").select("token", "salts")), "open")
 
 
 def _to_leaders(rows: DataFrame, threshold: int, turn: int, most: int) -> DataFrame:
@@ -336,8 +357,8 @@ def _to_leaders(rows: DataFrame, threshold: int, turn: int, most: int) -> DataFr
     with the fewest of its own. Later turns choose more and more freely."""
     h = F.xxhash64("f", F.lit(turn))
     place = {0: F.col("pos"), 1: F.floor(F.col("pos") / 4)}.get(turn, F.lit(0).cast("long"))
-    leader = rows.groupBy("token").agg(F.min(F.struct(place.alias("place"), h.alias("h"), F.col("f").alias("lf"), F.col("size").alias("ls"), F.col("pos").alias("lp"), F.col("comp").alias("lc"))).alias("l")).select("token", "l.lf", "l.ls", "l.lp", "l.lc")
-    both = rows.join(leader, "token").filter("comp != lc")
+    leader = rows.groupBy("token").agg(F.min(F.struct(place.alias("place"), h.alias("h"), F.col("f").alias("lf"), F.col("size").alias("ls"), F.col("pos").alias("lp"), F.col("comp").alias("lc"))).alias("l"), F.max("salts").alias("salts"))
+    both = _told(rows, leader.select("token", "salts", "l.lf", "l.ls", "l.lp", "l.lc")).filter("comp != lc")
     low, high = F.least("size", "ls"), F.greatest("size", "ls")
     could = (low * 100 >= high * threshold) & (F.least(F.col("size") - F.col("pos"), F.col("ls") - F.col("lp")) * (100 + threshold) >= (low + high) * threshold)
     votes = both.filter(could).groupBy("f", "lf").agg(F.count("*").alias("n"))
@@ -346,34 +367,56 @@ def _to_leaders(rows: DataFrame, threshold: int, turn: int, most: int) -> DataFr
     return best.select(F.least("f", "lf").alias("a"), F.greatest("f", "lf").alias("b")).distinct()
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows of open lists as (token, i, j, size, pos, f, comp, own), once for each pair of blocks they are needed in.
+
+    A list within a task's share is one block. Of a larger one, the sets of its largest component go to blocks that meet
+    the others only, as pairs within a component are not asked for."""
+    share = max(64, rows.count() // (2 * partitions(rows.sparkSession)))
+    parts = rows.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    large = parts.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).filter(F.col("n") > share)
+    main, others = F.ceil(F.col("top.n") / share), F.ceil((F.col("n") - F.col("top.n")) / share)
+    large = written(large.select("token", F.col("top.comp").alias("top"), main.cast("int").alias("main"), others.cast("int").alias("others")), "large-open")
+    tagged = rows.join(F.broadcast(large), "token", "left")  # at most twice as many rows as there are partitions
+    top, last = F.col("comp") == F.col("top"), F.col("main") + F.col("others") - 1
+    place = lambda n: F.pmod(F.xxhash64("f", F.lit(3)), F.col(n)).cast("int")
+    own = F.when(F.col("main").isNull(), F.lit(0)).when(top, place("main")).otherwise(F.col("main") + place("others"))
+    meets = F.when(F.col("main").isNull(), F.array(F.lit(0))).when(top, F.sequence("main", last)).otherwise(F.sequence(F.lit(0), last))
+    placed = tagged.withColumn("own", own).withColumn("other", F.explode(meets))
+    return placed.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "size", "pos", "f", "comp", "own")
+
+
 def _in_full(rows: DataFrame, threshold: int) -> DataFrame:
     """All pairs between components of each list that size and position allow."""
+    keys = ["token", "i", "j"]
 
     def pairs(batches):
-        token, held, seen = None, [], set()
+        key, held, seen = None, [], set()
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("token", "size", "pos", "f", "comp")]
-            cuts = np.flatnonzero(np.diff(columns[0])) + 1
+            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in (*keys, "size", "pos", "f", "comp", "own")]
+            cuts = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0)) + 1
             for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if at == to:
                     continue
-                if columns[0][at] != token and held:
-                    yield from _list_pairs(held, threshold, seen)
+                if (now := tuple(c[at] for c in columns[:3])) != key and held:
+                    yield from _list_pairs(held, key[1] == key[2], threshold, seen)
                     held = []
-                token = columns[0][at]
-                held.append([c[at:to] for c in columns[1:]])
+                key = now
+                held.append([c[at:to] for c in columns[3:]])
         if held:
-            yield from _list_pairs(held, threshold, seen)
+            yield from _list_pairs(held, key[1] == key[2], threshold, seen)
+        release()
 
-    ordered = rows.repartition(2 * partitions(rows.sparkSession), "token").sortWithinPartitions("token", "size", "pos", "f")
+    ordered = _blocks(rows).repartition(2 * partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "size", "pos", "f")
     return ordered.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _list_pairs(held: list, threshold: int, seen: set) -> Iterator[pa.RecordBatch]:
-    size, pos, f, comp = (np.concatenate(c) for c in zip(*held, strict=True))
-    starts = np.flatnonzero(np.diff(size, prepend=-1) | np.diff(pos, prepend=-1))  # blocks of equal size and position
+def _list_pairs(held: list, one_block: bool, threshold: int, seen: set) -> Iterator[pa.RecordBatch]:
+    size, pos, f, comp, own = (np.concatenate(c) for c in zip(*held, strict=True))
+    starts = np.flatnonzero(np.diff(size, prepend=-1) | np.diff(pos, prepend=-1))  # runs of equal size and position
     ends = np.append(starts[1:], len(size))
     bsize, left = size[starts], size[starts] - pos[starts]
+    out: list[tuple[int, int]] = []
     for k, (at, to) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
         last = np.searchsorted(bsize, bsize[k] * 100 // threshold, side="right")
         could = k + np.flatnonzero(np.minimum(left[k], left[k:last]) >= _pair_least(bsize[k], bsize[k:last], threshold))
@@ -381,15 +424,23 @@ def _list_pairs(held: list, threshold: int, seen: set) -> Iterator[pa.RecordBatc
             continue
         others = np.concatenate([np.arange(starts[j], ends[j]) for j in could])
         for i in range(at, to):
-            mine = others[(others > i) & (comp[others] != comp[i])]
+            mine = others[(others > i) & (comp[others] != comp[i]) & (one_block | (own[others] != own[i]))]
             if len(mine):
                 a, b = np.minimum(f[i], f[mine]), np.maximum(f[i], f[mine])
                 if len(seen) >= CACHE:
                     seen.clear()
                 new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
                 seen.update(new)
-                if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*new, strict=True)], names=["a", "b"])
+                out += new
+                if len(out) >= 1 << 14:
+                    yield _pair_batch(out)
+                    out = []
+    if out:
+        yield _pair_batch(out)
+
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
 
 def _derived(pairs: DataFrame, compared: DataFrame, threshold: int) -> DataFrame:
@@ -412,7 +463,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     with scratch(docs.sparkSession):
         nodes = _nodes(docs, n)
-        lists = _shared_lists(docs, n, threshold, _levels(nodes))
+        lists = _dealt(_shared_lists(docs, n, threshold, _levels(nodes)))
         sets = _write_sets(docs, n, lists, max_bits)
         tried = compared = None
         rows = lists.withColumn("comp", F.col("f"))
@@ -431,10 +482,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         unsure = rest.filter("low IS NULL OR low < need AND high >= need").select("a", "b")
         links = links.select("a", "b").unionByName(sure).unionByName(_links(_overlaps(_possible(unsure, sets, threshold), sets), threshold).select("a", "b"))
         roots = components(links, "a", "b").select(F.col("node").alias("f"), "root")
-        nodes = nodes.filter("kind = 0").select("id", "size", "f")
-        rooted = written(nodes.join(roots, "f", "left").select("id", "size", F.coalesce("root", "f").alias("root")), "rooted", keep=True)
-    first = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("first"))
-    return rooted.join(first, "root", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+        found = _component_of(nodes.filter("kind = 0").select("id", "size", "f"), roots)
+        return written(found.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id"), "near", keep=True)
+
+
+def _component_of(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, size, component_id): per class of equal sets first, then per component, then back to the documents."""
+    total = nodes.count()
+    some = nodes.filter("f IS NOT NULL")
+    classes = some.groupBy("f").agg(F.min("id").alias("class_first"), F.count("*").alias("n_docs"))
+    classes = classes.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
+    classes = written(classes, "classes")
+    per = classes.groupBy("root").agg(F.min("class_first").alias("first"), F.count("*").alias("n_classes"))
+    first = with_groups(classes, per, ["root"], "n_classes", total, ["f"]).select("f", "n_docs", "first")
+    found = with_groups(some, first, ["f"], "n_docs", total, ["id"]).select("id", "size", F.coalesce("first", "id").alias("component_id"))
+    return found.unionByName(nodes.filter("f IS NULL").select("id", "size", F.col("id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: int = 80) -> DataFrame:
