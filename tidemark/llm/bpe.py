@@ -2,9 +2,11 @@
 
 1. Texts are split by the tokenizer's pattern; each block of documents keeps its pre-tokens as numbers in
    document order and lists its distinct pre-tokens once (``blocks``).
-2. The distinct pre-tokens of all blocks meet by hash part; each is merged into token ids once per part.
+2. The distinct pre-tokens of all blocks meet by hash part; each is merged into token ids once per part (again where
+   a part has more than ``KNOWN`` words, so that a task's memory has a bound).
 3. The ids go back to their blocks, and every document is put together by position.
-4. Decoding looks ids up in the token-byte table, whose size is the vocabulary's, never the corpus's.
+4. Decoding joins ids with the token-byte table. Its size is the vocabulary's, never the corpus's, so it is broadcast
+   and joined inside each Arrow batch: no row leaves its task for it.
 
 Defined cases: null and empty texts have no tokens; special tokens are ordinary text; repeated rows and equal
 ids give a row each; other columns are not read."""
@@ -22,6 +24,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tidemark.llm.blocks import blocks, pack, unpack, unpack_ascending, unpack_tokens, unpack_words
 from tidemark.llm.common import bound_batches, fields_of_row, partitions, release, whole_row
 
+KNOWN = 1_000_000
 LONG = 1 << 22  # characters from which a text's pre-tokens are not held all at once
 
 
@@ -69,16 +72,13 @@ def _look_up(ids: np.ndarray, doc_ends: np.ndarray, data: np.ndarray, start: np.
     return pa.Array.from_buffers(pa.large_binary(), len(doc_ends) - 1, [None, pa.py_buffer(ends[doc_ends]), pa.py_buffer(data[where])]).cast(pa.binary())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, round_trip: bool = False) -> DataFrame:
-    """Per row of docs: its id, n_tokens, ids (little-endian unsigned 32-bit integers). round_trip adds ``decoded``,
-    what ``decode`` would give for the ids, in the same pass over them."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """Per row of docs: its id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = parts or 2 * partitions(spark)
     made = blocks(docs, id_col, text_col, split_text(pattern), parts, "bpe-blocks", str.encode)
-    known = read_ranks(vocabulary)
-    ranks = spark.sparkContext.broadcast(tuple(known.items()))  # the vocabulary's size
-    pieces = spark.sparkContext.broadcast(_by_id(known))
+    ranks = spark.sparkContext.broadcast(tuple(read_ranks(vocabulary).items()))  # the vocabulary's size
 
     def merge(batches):
         coder, held, known = _encoding(pattern, ranks.value), None, {}
@@ -87,6 +87,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             for block, part, blob, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != held:
                     held, known = part, {}
+                if len(known) >= KNOWN:
+                    known = {}
                 words = unpack_words(blob)
                 for word in words:
                     if word not in known:
@@ -122,16 +124,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             where = np.repeat(start[tokens] - ends[:-1], size[tokens]) + np.arange(ends[-1])
             doc_ends = ends[np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])]
             binary = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(doc_ends * 4), pa.py_buffer(flat[where].astype("<u4"))])
-            columns = {"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}
-            if round_trip:
-                columns["decoded"] = _look_up(flat[where], doc_ends, *_token_bytes(pieces.value))
-            out.append(pa.table(columns))
+            out.append(pa.table({"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}))
         del numbers, counts, flat, size, start
         release()
         return pa.concat_tables(out)
 
     chunks = made.filter("kind = 0").select("block", F.col("ids").alias("doc_ids"), "lens", "blob")
-    return chunks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(assemble, f"id {id_type}, n_tokens long, ids binary" + ", decoded binary" * round_trip).withColumnRenamed("id", id_col)
+    return chunks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(assemble, f"id {id_type}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:

@@ -21,7 +21,7 @@ def op1_line_dedup(spark, sf_dir):
 
 def op2_bpe(spark, sf_dir):
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, round_trip=True)
+    encoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
