@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.llm.urls import KINDS
-
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LINES = f"""
@@ -108,7 +106,8 @@ r{k + 1} AS (SELECT doc_id, source, size, source_size, target, copies, CASE WHEN
 
 
 def url_filter(depth: int = 4, fanout: int = 20, min_labels: int = 5, prior_weight: float = 4.0, reject: float = 0.8) -> str:
-    kind = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{k}'" for p, k in KINDS) + " ELSE x END"
+    kind = """CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '{num}' WHEN regexp_matches(x, '^[0-9]+[.][A-Za-z]{1,5}$') THEN '{num}.{ext}'
+      WHEN regexp_matches(x, '^[0-9a-f]{8,}$') THEN '{hex}' WHEN regexp_matches(x, '^[0-9A-Za-z_-]*[0-9][0-9A-Za-z_-]*$') THEN '{id}' ELSE x END"""
     rules = [("example.com", "/en/7", "allow"), ("example.net", "/de/8", "block"), ("com", "/en/", "block"), ("net", "/de/", "allow"), ("org", "/es/", "block")]
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, a) for h, p, a in rules]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
