@@ -34,6 +34,12 @@ def test_brute_force(docs, rows, split_words, order):
     assert run(docs, order=order) == brute(rows, split_words, order)
 
 
+def test_rows_and_packed_rows_agree(docs, clashing, rows, split_words):
+    for frame in (docs, clashing):
+        got = [(r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in lm.score_rows(frame).collect()]
+        assert sorted(got, key=repr) == brute(rows, split_words)
+
+
 def test_many_parts_and_clashes(clashing, rows, split_words, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK", 200)
     monkeypatch.setattr(lm, "PER_PART", 100)

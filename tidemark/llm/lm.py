@@ -1,4 +1,8 @@
-"""Language-model scores by stupid backoff, computed relationally over the whole corpus.
+"""Language-model scores by stupid backoff, from n-gram count tables of the whole corpus.
+
+``score_rows`` says it with a row for each n-gram: exploded n-grams meet count tables by hash and are summed per
+document. ``score`` is the same join with its rows packed: what a block of documents asks of a hash range is one row.
+It moves an order of magnitude less (README), and the query runs it.
 
 1. Documents become blocks of word numbers (``blocks``); every text is split once.
 2. Each block counts its n-grams of order 1 to ``order`` and posts the sorted hashes with their counts to hash
@@ -21,11 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import blocks, pack, unpack, unpack_ascending, unpack_tokens, unpack_words
-from tidemark.llm.common import partitions, release
+from tidemark.llm.common import ascii_lower, partitions, release, with_groups, written
 
 BLOCK, PER_PART = 2 << 20, 4_000_000
 
@@ -147,3 +151,35 @@ def score(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "
     scored = made.groupBy("block").cogroup(added.groupBy("block")).applyInArrow(assemble, f"id {id_type}, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(F.col("id").alias(id_col), "n_words", "log_score", mean.alias("mean_log_score"))
+
+
+def score_rows(docs: DataFrame, order: int = 3, backoff: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``score`` returns, in DataFrame operators with a row for each n-gram of each document.
+
+    n-grams are keyed by 128 bits. A document's own counts, the corpus's counts and the occurrences meet by n-gram;
+    common n-grams are dealt to several tasks."""
+    spark = docs.sparkSession
+    blank = F.trim(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(blank == "", F.array().cast("array<string>")).otherwise(F.split(blank, r"[\x20\x09-\x0D]+"))
+    rows = docs.select(F.monotonically_increasing_id().alias("d"), F.col(f"`{id_col}`").alias("id"), words.alias("w"))
+    texts = written(rows.withColumn("n_words", F.size("w").cast("long")), "lm-texts")
+
+    def gram(i, n: int):
+        some = F.array_join(F.slice("w", i - n + 2, n), "\n")
+        return F.when(i >= n - 1, F.struct(F.lit(n).alias("n"), F.xxhash64(some).alias("h"), F.xxhash64(F.lit(1), some).alias("g")))
+
+    places = F.transform(F.col("w"), lambda w, i: F.array_compact(F.array(*[gram(i, n) for n in range(1, order + 1)])))
+    spots = texts.select("d", F.posexplode(places).alias("p", "grams")).select("d", "p", F.explode("grams").alias("x")).select("d", "p", "x.*")
+    own = written(spots.groupBy("d", "n", "h", "g").agg(F.count("*").alias("own")), "lm-own")
+    counts = own.groupBy("n", "h", "g").agg(F.sum("own").alias("total"), F.count("*").alias("n_docs"))
+    left = with_groups(own, counts, ["n", "h", "g"], "n_docs", own.count(), ["d"]).select("d", "n", "h", "g", (F.col("total") - F.col("own")).alias("left"))
+    seen = spots.join(left, ["d", "n", "h", "g"]).groupBy("d", "p").agg(*[F.max(F.when(F.col("n") == n, F.col("left"))).alias(f"c{n}") for n in range(1, order + 1)])
+    total = texts.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    before = Window.partitionBy("d").orderBy("p")
+    seen = seen.join(texts.select("d", "n_words"), "d").withColumns({f"b{n}": F.lag(f"c{n}").over(before) for n in range(1, order)})
+    value = F.when(F.col("c1") > 0, F.col("c1")).otherwise(F.lit(backoff)) / F.greatest(F.lit(1), F.lit(total) - F.col("n_words"))
+    for n in range(2, order + 1):
+        value = F.when(F.col(f"c{n}") > 0, F.col(f"c{n}") / F.col(f"b{n - 1}")).when(F.col("p") >= n - 1, backoff * value).otherwise(value)
+    sums = seen.groupBy("d").agg(F.sum(F.log(value)).alias("s"))
+    out = texts.join(sums, "d", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("s", F.lit(0.0)).alias("log_score"))
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
