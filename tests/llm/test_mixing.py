@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +24,46 @@ def water(sizes, weights=(5, 2, 1), most=3):
     return target
 
 
+def brute_mix(rows, weights=(5, 2, 1), most=3, seed=7, rounds=3):
+    """Copies of each (id, source, size), in order, by the definition: whole copies, then prefixes of the ranking."""
+    sizes, out = {}, [0] * len(rows)
+    for _, source, size in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    target = water(sizes, weights, most)
+    for source, total in sizes.items():
+        if not total:
+            continue
+        share = target[source] / total
+        copies = math.floor(share)
+        missing, p = target[source] - copies * total, share - copies
+        ranked = []
+        for k, (i, s, size) in enumerate(rows):
+            if s == source:
+                out[k] = copies
+                u = (int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+                ranked.append((u / (1 - u) / (p / (1 - p)) if p > 0 else u, -1 if i is None else i, size, k))
+        chosen: set = set()
+        for _ in range(rounds):
+            run = won = 0
+            for _, _, size, k in sorted(ranked):
+                if k not in chosen and 0 < size <= missing:
+                    run += size
+                    if run <= missing:
+                        won += size
+                        chosen.add(k)
+                        out[k] += 1
+            missing -= won
+    return out
+
+
+def test_brute_force(spark):
+    rows = [(k, f"s{k % 7 % 4}" if k % 11 else None, 1 + k * 7919 % 400) for k in range(900)] + [(2000 + k, "tiny", k % 3) for k in range(9)]
+    frame = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, s, n in rows], "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(frame).collect()}
+    expected = brute_mix(rows)
+    assert [got[i] for i, s, n in rows if n] == [c for c, (i, s, n) in zip(expected, rows, strict=True) if n]
+
+
 def test_targets_and_limits(docs, clashing, rows):
     sizes = {}
     for _, text, _, source, _ in rows:
