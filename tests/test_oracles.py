@@ -23,7 +23,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.8g}")
+        return None if math.isnan(v) else float(f"{v:.8g}") + 0.0  # both zeros are one
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
     return v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v

@@ -106,9 +106,11 @@ def test_tables(spark, tmp_path):
 
 def test_wig_round_trip(spark, tmp_path):
     track = spark.range(1, 400).filter("id % 50 > 3").select(F.lit("1").alias("chrom"), F.col("id").alias("pos"), (F.col("id") * 3).alias("v"))
-    sinks.write_wig(track, "v", str(tmp_path / "w"), "none")
-    back = text.wig(spark, [str(p) for p in (tmp_path / "w").rglob("*.txt")])
-    assert sorted((r["pos"], int(r["value"])) for r in back.collect()) == sorted((r["pos"], r["v"]) for r in track.collect())
+    for piece in (11, sinks.PIECE):
+        at = tmp_path / f"w{piece}"
+        sinks.write_wig(track, "v", str(at), "none", piece)
+        back = text.wig(spark, [str(p) for p in at.rglob("*.txt")])
+        assert sorted((r["pos"], int(r["value"])) for r in back.collect()) == sorted((r["pos"], r["v"]) for r in track.collect())
 
 
 def test_by_key_and_fastq(spark, tmp_path):

@@ -70,3 +70,28 @@ def log2_floor(value: Column, floor: float = 0.04) -> Column:
 
 def log2_ratio(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.log2(a / b))
+
+
+def main_contig(chrom: Column, autosomes_only: bool = False) -> Column:
+    """Whether a contig (without ``chr``) is one of 1..22, X and Y: no unplaced or decoy sequence, no mitochondrion."""
+    return chrom.rlike(r"\A([1-9]|1[0-9]|2[0-2])\z" if autosomes_only else r"\A([1-9]|1[0-9]|2[0-2]|X|Y)\z")
+
+
+def mappable(ncount: Column, mappability: Column, most_unknown: int = 1, least: float = 0.5) -> Column:
+    """A bin with fewer than ``most_unknown`` unknown bases and a mappability of at least ``least``."""
+    return (ncount < most_unknown) & (mappability >= least)
+
+
+def merge_key(gene: Column) -> Column:
+    """Gene names join in capitals."""
+    return F.upper(gene)
+
+
+def centred(offset: Column, width: int = 52) -> Column:
+    """Offset from the centre of a footprint of ``width`` bases."""
+    return offset - width // 2
+
+
+def reflected_mid(start: Column, end: Column) -> Column:
+    """start less half the length: the formula that one of the site lists is made with."""
+    return start - (end - start) / 2

@@ -88,3 +88,33 @@ def base_id(name: Column) -> Column:
 
 def library(read_group: Column, known: Column) -> Column:
     return F.coalesce(known, read_group)
+
+
+def complete(cigar: Column, qual: Column) -> Column:
+    """An alignment with a CIGAR and qualities; others are left out everywhere."""
+    return cigar.isNotNull() & qual.isNotNull()
+
+
+def mate_valid(flags: Column, chrom: Column, mate_chrom: Column) -> Column:
+    """Whether a pair is a fragment: its mate is mapped, on the same contig."""
+    return ~flag(flags, "mate_unmapped") & F.coalesce(chrom == mate_chrom, F.lit(False))
+
+
+def counts_once(flags: Column, mate_pos: Column, query_len: Column, region_start: int | None = None) -> Column:
+    """Of a pair's two reads the one that stands for the fragment: the first, and, where only a region is read, also a
+    second one whose mate lies left of it."""
+    left = F.lit(False) if region_start is None else flag(flags, "read2") & (mate_pos + query_len < region_start)
+    return flag(flags, "read1") | left
+
+
+def wiggle(start: Column, length: Column, first: Column, second: Column, reach: int = 5) -> Column:
+    """struct(s, e) of a fragment whose ends are moved by up to ``reach`` bases: the start by ``first``, the end, counted
+    from the moved start, by ``second``; both are uniforms in [0, 1)."""
+    step = lambda u: F.floor(u * (2 * reach + 1)).cast("long") - reach
+    moved = start + step(first)
+    return F.struct(moved.alias("s"), (moved + length - 1 + step(second)).alias("e"))
+
+
+def library_group(read_group: Column, known: Column | None = None, umi: Column | None = None) -> Column:
+    """What duplicates must share: the UMI if there is one, else the library, else the read group."""
+    return F.coalesce(*[c for c in (umi, known) if c is not None], read_group)

@@ -30,16 +30,26 @@ def point_join(ranges: DataFrame, points: DataFrame, key: str, lo: str, hi: str,
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str], bin_size: int = 1024, anti: bool = False) -> DataFrame:
-    """Rows of left that overlap (anti: do not overlap) any row of right."""
+    """Rows of left that overlap (anti: do not overlap) any row of right, each as often as left has it. Rows without
+    a key or a bound overlap nothing.
+
+    A row inside one bin is tested where it is; only rows that reach into several bins are brought together again."""
     (a, b), (c, d) = left_range, right_range
-    lanes = right.select(F.col(key).alias("_key"), F.col(c).alias("_c"), F.col(d).alias("_d"), F.explode(_bins(F.col(c), F.col(d), bin_size)).alias("_bin2"))
-    spread = left.withColumn("_cell", F.explode(_bins(F.col(a), F.col(b), bin_size)))
-    hit = (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_bin2")) & (F.col("_c") <= F.col(b)) & (F.col("_d") >= F.col(a))
-    found = spread.join(lanes, hit, "left_semi").drop("_cell").distinct()
+    lanes = right.select(F.col(key).alias("_key"), F.col(c).alias("_c"), F.col(d).alias("_d"), F.explode(_bins(F.col(c), F.col(d), bin_size)).alias("_bin"))
+    hit = (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_bin")) & (F.col("_c") <= F.col(b)) & (F.col("_d") >= F.col(a))
+    first, last = F.floor(F.col(a) / bin_size), F.floor(F.col(b) / bin_size)
+    inside = left.filter(first == last).withColumn("_cell", first)
+    across = left.filter(first != last).groupBy(*left.columns).agg(F.count("*").alias("_copies"))
+    cells = across.withColumn("_cell", F.explode(_bins(F.col(a), F.col(b), bin_size)))
+    met = cells.join(lanes, hit, "left_semi").drop("_cell").distinct()
     if anti:
-        same = [left[c].eqNullSafe(found[c]) for c in left.columns]
-        return left.join(found, same, "left_anti")
-    return found
+        same = [across[x].eqNullSafe(met[x]) for x in left.columns]
+        near, far = inside.join(lanes, hit, "left_anti").drop("_cell"), across.join(met, same, "left_anti")
+    else:
+        near, far = inside.join(lanes, hit, "left_semi").drop("_cell"), met
+    far = far.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*left.columns)
+    out = near.unionByName(far)
+    return out.unionByName(left.filter(F.col(a).isNull() | F.col(b).isNull())) if anti else out
 
 
 def nearest(points: DataFrame, targets: DataFrame, key: str, pos: str, target_pos: str) -> DataFrame:
@@ -53,25 +63,28 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, pos: str, target_po
     both = points.select(F.col(key), F.col(pos).alias("_p"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(known.schema["_t"].dataType).alias("_t"))
     both = both.unionByName(known.select(key, F.col("_t").alias("_p"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), "_t")).withColumn("_tile", at("_p"))
     per = both.groupBy(key, "_tile").agg(F.min("_t").alias("_min"), F.max("_t").alias("_max"))
-    tiles = Window.partitionBy(key).orderBy("_tile")
-    outer = per.select(key, "_tile", F.max("_max").over(tiles.rowsBetween(Window.unboundedPreceding, -1)).alias("_low"), F.min("_min").over(tiles.rowsBetween(1, Window.unboundedFollowing)).alias("_high"))
-    order = Window.partitionBy(key, "_tile").orderBy("_p")
-    before = F.last("_t", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_t", ignorenulls=True).over(order.rangeBetween(1, Window.unboundedFollowing))
+    earlier = Window.partitionBy(key).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(key).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = per.select(key, "_tile", F.max("_max").over(earlier).alias("_low"), F.min("_min").over(later).alias("_high"))
+    # Both frames grow from one end, so each row adds to the last frame instead of reading its own anew.
+    upward = Window.partitionBy(key, "_tile").orderBy("_p").rangeBetween(Window.unboundedPreceding, 0)
+    downward = Window.partitionBy(key, "_tile").orderBy(F.desc("_p")).rangeBetween(Window.unboundedPreceding, -1)
+    before, after = F.last("_t", ignorenulls=True).over(upward), F.last("_t", ignorenulls=True).over(downward)
     out = both.join(outer, [key, "_tile"]).withColumns({"before": F.coalesce(before, "_low"), "after": F.coalesce(after, "_high")})
     return out.filter("_row IS NOT NULL").select("_row.*", "before", "after")
 
 
 def nearest_k(points: DataFrame, targets: DataFrame, key: str, pos: str, target_pos: str, k: int = 10, reach: int = 5000) -> DataFrame:
     """For each point the k targets on either side within ``reach``: point columns, side (-1, 1), rank, target, and
-    ``spacing`` to the next target outward."""
-    spans = points.withColumns({"_lo": F.col(pos) - reach, "_hi": F.col(pos) + reach})
+    ``spacing`` to the next target outward. Targets are ranked once for each place that has points."""
+    places = points.select(key, pos).distinct()
+    spans = places.withColumns({"_lo": F.col(pos) - reach, "_hi": F.col(pos) + reach})
     hits = targets.select(F.col(key), F.col(target_pos).alias("target"), F.col(target_pos).alias("_t2"))
     near = range_join(spans, hits, key, ("_lo", "_hi"), ("target", "_t2"), 2 * reach).drop("_lo", "_hi", "_t2")
     near = near.withColumn("side", F.when(F.col("target") <= F.col(pos), -1).otherwise(1))
-    order = Window.partitionBy(*points.columns, "side").orderBy(F.abs(F.col("target") - F.col(pos)))
+    order = Window.partitionBy(key, pos, "side").orderBy(F.abs(F.col("target") - F.col(pos)))
     ranked = near.withColumns({"rank": F.row_number().over(order), "spacing": F.abs(F.lead("target").over(order) - F.col("target"))})
-    return ranked.filter(F.col("rank") <= k)
+    return points.join(ranked.filter(F.col("rank") <= k), [key, pos]).select(*points.columns, "target", "side", "rank", "spacing")
 
 
 def mates(reads: DataFrame, keys: list[str]) -> DataFrame:

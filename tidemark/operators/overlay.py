@@ -13,15 +13,16 @@ def site_bin(site: Column, bins: int = 10) -> Column:
     return F.pmod(site, F.lit(bins)).cast("int")
 
 
-def around(sites: DataFrame, tracked: DataFrame, value: str, half: int, last: int | None = None, complete: bool = True, tile: int = 1 << 14) -> DataFrame:
+def around(sites: DataFrame, tracked: DataFrame, value: str, half: int, last: int | None = None, complete: bool = True, tile: int | None = None) -> DataFrame:
     """(site columns, offset, value) for the positions c - half + 1 ... c + half of each site (site, chrom, c,
     strand); on the minus strand offsets run the other way. ``last`` moves the window's end (half - 1 with
     ``half`` before gives the window of the other convention). Incomplete windows are dropped.
 
     Sites meet the track by tile: a site's row goes to the few tiles its window touches instead of one row per
-    position."""
+    position. Tiles have the window's size, so a window touches two of them and meets at most twice its own rows."""
     lo, hi = (F.col("c") - half + 1, F.col("c") + half) if last is None else (F.col("c") - half, F.col("c") + last)
     width = 2 * half if last is None else half + last + 1
+    tile = tile or max(64, width)
     wanted = sites.withColumns({"_lo": lo, "_hi": hi}).withColumn("_tile", F.explode(F.sequence(F.floor(F.col("_lo") / tile), F.floor(F.col("_hi") / tile))))
     source = tracked.select(F.col("chrom").alias("_chrom"), F.col("pos").alias("_pos"), F.col(value), F.floor(F.col("pos") / tile).alias("_t"))
     rows = wanted.join(source, (F.col("chrom") == F.col("_chrom")) & (F.col("_tile") == F.col("_t")) & F.col("_pos").between(F.col("_lo"), F.col("_hi")))

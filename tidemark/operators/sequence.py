@@ -35,6 +35,12 @@ def fetch(points: DataFrame, chunks: DataFrame, chrom: str, lo: str, hi: str, ch
     return joined.withColumn(out, F.when((F.col(lo) >= 1) & (F.length(got) == size), got)).drop("_no", "_c", "_n", "_s", "_q")
 
 
+def context(points: DataFrame, chunks: DataFrame, chrom: str, pos: str, reach: int, chunk: int, out: str = "context") -> DataFrame:
+    """points plus the 2 * reach + 1 bases around them; null where the contig ends before that."""
+    around = points.withColumns({"_lo": F.col(pos) - reach, "_hi": F.col(pos) + reach})
+    return fetch(around, chunks, chrom, "_lo", "_hi", chunk, out).drop("_lo", "_hi")
+
+
 def end_kmers(reads: DataFrame, seq: str, strand: Column, left: int = 8, right: int = 5) -> DataFrame:
     """(side, strand, kmer, n): first ``left`` and last ``right`` bases of sequences that have both."""
     long_enough = reads.filter(F.length(seq) >= max(left, right)).withColumn("_strand", strand)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,23 +24,55 @@ def fill_range(counts: DataFrame, keys: list[str], value: str, measures: list[st
     return grid.join(counts, [*keys, value], "left").fillna(0, measures)
 
 
+def quantiles(rows: DataFrame, value: str, points: list[float], slices: int = 64) -> DataFrame:
+    """One row: ``q``, the exact interpolated quantiles of a column at ``points``.
+
+    Equal values are counted first. Approximate quantiles (a fixed few numbers, collected) cut the values into slices,
+    running counts inside each slice and over the slices give every value its ranks, and only the values at the two
+    ranks beside each point go on. No task sorts the whole column. Nulls are left out; no values give nulls."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    cuts = counts.agg(F.percentile_approx("v", [k / slices for k in range(1, slices)], 1000).alias("c")).first()["c"] or []
+    slice_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    counts = counts.withColumn("slice", slice_of)
+    sizes = counts.groupBy("slice").agg(F.sum("n").alias("size")).orderBy("slice").collect()  # at most ``slices`` rows
+    total = sum(r["size"] for r in sizes)
+    spots = [p * (total - 1) for p in points] if total else []
+    wanted = sorted({int(f(s)) for s in spots for f in (math.floor, math.ceil)})
+    if not wanted:
+        return rows.sparkSession.range(1).select(F.array(*[F.lit(None).cast("double")] * len(points)).alias("q"))
+    before = dict(zip([r["slice"] for r in sizes], itertools.accumulate([0, *[r["size"] for r in sizes]]), strict=False))
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("slice")]
+    upto = F.sum("n").over(Window.partitionBy("slice").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    last = counts.withColumn("last", offset + upto - 1)
+    ranks = F.filter(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda r: r.between(F.col("last") - F.col("n") + 1, F.col("last")))
+    found = last.select(F.explode(ranks).alias("rank"), "v").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def point(spot: float) -> Column:
+        lo, hi = F.col("at")[int(math.floor(spot))], F.col("at")[int(math.ceil(spot))]
+        share = spot - math.floor(spot)
+        return lo if not share else lo * (math.ceil(spot) - spot) + hi * share
+
+    return found.select(F.array(*map(point, spots)).alias("q"))
+
+
 def percentile_buckets(rows: DataFrame, score: str, keys: list[str] | None = None, out: str = "percentile") -> DataFrame:
     """rows plus the number of percentiles (1..99, interpolated) at or below the score: 0 to 99."""
-    keys = keys or []
-    points = F.array(*[F.lit(k / 100.0) for k in range(1, 101)])
-    grid = rows.groupBy(*keys).agg(F.percentile(F.col(score), points).alias("_grid"))
-    joined = rows.join(grid, keys) if keys else rows.crossJoin(F.broadcast(grid))  # one row of 100 numbers
+    points = [k / 100.0 for k in range(1, 101)]
+    joined = _with_quantiles(rows, score, points, keys, "_grid")
     below = F.size(F.filter("_grid", lambda p: p <= F.col(score)))
     return joined.withColumn(out, F.least(below, F.lit(99))).drop("_grid")
 
 
+def _with_quantiles(rows: DataFrame, value: str, points: list[float], keys: list[str] | None, out: str) -> DataFrame:
+    if keys:
+        return rows.join(rows.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*map(F.lit, points))).alias(out)), keys)
+    return rows.crossJoin(F.broadcast(quantiles(rows, value, points).withColumnRenamed("q", out)))  # one row of few numbers
+
+
 def quantile_bins(rows: DataFrame, value: str, bins: int = 5, keys: list[str] | None = None, out: str = "bin") -> DataFrame:
     """rows plus their bin 1..bins by quantiles of value: bins are (q[i-1], q[i]], the first closed. Ties share a
     bin, so bins may differ in size."""
-    keys = keys or []
-    points = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    cuts = rows.groupBy(*keys).agg(F.percentile(F.col(value), points).alias("_cuts"))
-    joined = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))  # one row of few numbers
+    joined = _with_quantiles(rows, value, [k / bins for k in range(1, bins)], keys, "_cuts")
     return joined.withColumn(out, F.size(F.filter("_cuts", lambda q: q < F.col(value))) + 1).drop("_cuts")
 
 
@@ -93,6 +128,37 @@ def correlate(left: DataFrame, right: DataFrame, on: str, left_key: str, right_k
     return both.groupBy(left_key, right_key).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
 
 
+def extent(rows: DataFrame, value: str, *more: DataFrame) -> DataFrame:
+    """One row: least, most and total of a column over all frames given, such as the axis range of data and control."""
+    both = rows.select(value)
+    for other in more:
+        both = both.unionByName(other.select(value))
+    return both.agg(F.max(value).alias("most"), F.min(value).alias("least"), F.sum(value).alias("total"))
+
+
+def mean_of_periods(spectra: DataFrame, key: str, period: str, value: str, periods: tuple[int, ...] = (193, 196, 199)) -> DataFrame:
+    """(key, value): mean over the named periods, for keys that have all of them."""
+    some = spectra.filter(F.col(period).isin(*periods)).groupBy(key).agg(F.avg(value).alias(value), F.count(value).alias("_n"))
+    return some.filter(F.col("_n") == len(periods)).drop("_n")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """rows with their labels by name; rows without one keep nulls."""
+    return rows.join(labels, name, "left")
+
+
+def same_bins(first: DataFrame, *others: DataFrame, on: tuple[str, ...] = ("chrom", "start")) -> DataFrame:
+    """Tables of the same genomic bins side by side, matched by contig and start."""
+    for other in others:
+        first = first.join(other, list(on))
+    return first
+
+
+def first_rows(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, for a quick look at a file."""
+    return rows.limit(most)
+
+
 def top_k(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 

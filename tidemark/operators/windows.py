@@ -9,14 +9,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TILE = 20_000
 
 
-def placed(track: DataFrame, block: list[str], pos: str = "pos") -> DataFrame:
-    """track plus ``rn`` (1-based place in the block) and ``n`` (rows of the block)."""
+def placed(track: DataFrame, block: list[str], pos: str = "pos", bounds: tuple[int, int] | None = None) -> DataFrame:
+    """track plus ``rn`` (1-based place in the block) and ``n`` (rows of the block). bounds: first and last position,
+    where all blocks are known to have the same; the track is then not looked through for them."""
+    if bounds:
+        first, last = bounds
+        return track.withColumns({"rn": (F.col(pos) - first + 1).cast("long"), "n": F.lit(last - first + 1).cast("long")})
     ends = track.groupBy(*block).agg(F.min(pos).alias("_first"), F.count("*").alias("n"))
     return track.join(ends, block).withColumn("rn", F.col(pos) - F.col("_first") + 1).drop("_first")
 
@@ -30,34 +36,45 @@ def tiled(rows: DataFrame, before: int, after: int, tile: int = TILE) -> DataFra
     return rows.withColumn("tile", F.explode(F.sequence(lo, hi))).withColumn("core", F.col("tile") == own)
 
 
-def running_median(track: DataFrame, value: str, block: list[str], size: int = 1000, pos: str = "pos", out: str = "median", tile: int = TILE, native: bool = False) -> DataFrame:
+def running_median(track: DataFrame, value: str, block: list[str], size: int = 1000, pos: str = "pos", out: str = "median", tile: int = TILE, native: bool = False, bounds: tuple[int, int] | None = None) -> DataFrame:
     """track plus rn, n and the median of the ``size`` rows around each row, the frame kept inside the block.
 
     A row at place i sees places c - size/2 ... c + size/2 - 1 with c = i clamped to [size/2 + 1, n - size/2 + 1].
     Blocks of fewer rows than ``size`` give no rows, a block of exactly ``size`` rows none for its first. The
     frame's rows are sorted incrementally in Arrow batches of one tile; ``native`` takes the window function
     instead, which sorts every frame anew."""
-    half = size // 2
-    rows = placed(track, block, pos).filter(F.col("n") >= size)
-    joined = _native_medians(rows, value, block, size, tile, out) if native else _arrow_medians(rows, value, block, size, tile, out)
-    return joined.filter(~((F.col("n") == size) & (F.col("rn") == 1)))
+    return _medians(placed(track, block, pos, bounds), value, block, size, tile, out, native)
+
+
+def _medians(rows: DataFrame, value: str, block: list[str], size: int, tile: int, out: str = "median", native: bool = False) -> DataFrame:
+    rows = rows.filter(F.col("n") >= size)
+    found = _native_medians(rows, value, block, size, tile, out) if native else _arrow_medians(rows, value, block, size, tile, out)
+    return found.filter(~((F.col("n") == size) & (F.col("rn") == 1)))
 
 
 def _arrow_medians(rows: DataFrame, value: str, block: list[str], size: int, tile: int, out: str) -> DataFrame:
-    """One pass: the halo is a frame on either side, so each tile holds every frame of its rows, clamped ones too."""
+    """One pass: the halo is a frame on either side, so each tile holds every frame of its rows, clamped ones too.
+    Rows of the halo travel with their value only."""
     half = size // 2
+    rest = [c for c in rows.columns if c not in (*block, value, "rn", "n")]
     spread = tiled(rows, size, size, tile)
-    schema = rows.withColumn(out, F.lit(None).cast("double")).schema
+    carried = F.when(F.col("core"), F.struct(*rest)).alias("rest") if rest else F.lit(None).cast("int").alias("rest")
+    spread = spread.select(*block, "tile", "core", "rn", "n", value, carried)
+    types = {f.name: f.dataType for f in spread.schema}
+    schema = StructType([StructField(c, types[c]) for c in (*block, "rn", "n", value, "rest")] + [StructField(out, DoubleType())])
 
-    def median(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn", kind="stable")
-        rolled = pdf[value].astype("float64").rolling(size).median().to_numpy()
-        core = pdf[pdf["core"]]
-        centre = np.clip(core["rn"], half + 1, core["n"] - half + 1)
-        ends = (centre + half - 1 - pdf["rn"].iloc[0]).to_numpy()
-        return core.drop(columns=["tile", "core"]).assign(**{out: rolled[ends]})
+    def median(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        numbers = pd.Series(table[value].to_numpy().astype("float64"))
+        rolled = numbers.rolling(size).median().to_numpy()
+        start = table["rn"][0].as_py()
+        core = table.filter(table["core"])
+        centre = np.clip(core["rn"].to_numpy(), half + 1, core["n"].to_numpy() - half + 1)
+        kept = core.select([*block, "rn", "n", value, "rest"])
+        return kept.append_column(out, pa.array(rolled[centre + half - 1 - start]))
 
-    return spread.groupBy(*block, "tile").applyInPandas(median, schema)
+    found = spread.groupBy(*block, "tile").applyInArrow(median, schema)
+    return found.select(*[F.col(f"rest.{c}").alias(c) if c in rest else c for c in rows.columns], out)
 
 
 def _native_medians(rows: DataFrame, value: str, block: list[str], size: int, tile: int, out: str) -> DataFrame:
@@ -96,20 +113,22 @@ def smooth(rows: DataFrame, value: str, block: list[str], half: int = 10, out: s
     return tiled(rows, half, half, tile).withColumn(out, total).filter("core").drop("tile", "core")
 
 
-def adjusted(track: DataFrame, value: str, block: list[str], size: int = 1000, smoothed: bool = False, tile: int = TILE) -> DataFrame:
+def adjusted(track: DataFrame, value: str, block: list[str], size: int = 1000, smoothed: bool = False, tile: int = TILE, bounds: tuple[int, int] | None = None) -> DataFrame:
     """track plus ``adj``: value (or smoothed value) minus the running median."""
-    rows = running_median(track, value, block, size, tile=tile)
+    rows = placed(track, block, bounds=bounds)
     if smoothed:
-        ready = smooth(placed(track, block), value, block, tile=tile).select(*block, "pos", "smooth")
-        rows = rows.join(ready, [*block, "pos"])
-        return rows.withColumn("adj", F.col("smooth") - F.col("median"))
-    return rows.withColumn("adj", F.col(value) - F.col("median"))
-
-
-def running_mean(rows: DataFrame, value: str, block: list[str], order_by: str, size: int = 200, out: str = "mean") -> DataFrame:
-    """Mean of up to ``size`` rows around each (size/2 - 1 before, size/2 after), shorter at the ends."""
-    frame = Window.partitionBy(*block).orderBy(order_by).rowsBetween(-(size // 2 - 1), size // 2)
-    return rows.withColumn(out, F.avg(value).over(frame))
+        rows = smooth(rows, value, block, tile=tile)
+    rows = _medians(rows, value, block, size, tile)
+    return rows.withColumn("adj", F.col("smooth" if smoothed else value) - F.col("median"))
+
+
+def running_mean(rows: DataFrame, value: str, block: list[str], order_by: str, size: int = 200, out: str = "mean", tile: int = TILE) -> DataFrame:
+    """rows (with rn, n) plus the mean of up to ``size`` rows around each (size/2 - 1 before, size/2 after), shorter at
+    the ends of the block."""
+    before, after = size // 2 - 1, size // 2
+    frame = Window.partitionBy(*block, "tile").orderBy("rn").rowsBetween(-before, after)
+    spread = tiled(placed(rows, block, order_by), before, after, tile)
+    return spread.withColumn(out, F.avg(value).over(frame)).filter("core").drop("tile", "core")
 
 
 def trimmed_mean(rows: DataFrame, value: str, keys: list[str], share: float = 0.1, out: str = "trimmed") -> DataFrame:

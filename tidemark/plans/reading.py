@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import reads as fn
@@ -46,7 +45,7 @@ def op_reads_mates(spark, sf_dir):
 
 
 @query(cte("reads") + """,
-h AS (SELECT rg, CAST(CASE WHEN isize = 0 THEN 110 ELSE least(110, abs(isize)) END AS BIGINT) AS length, count(*) AS reads, CAST(sum(coalesce(xp, 1)) AS BIGINT) AS weighted FROM reads WHERE isize % 3 <> 0 GROUP BY ALL),
+h AS (SELECT rg, CAST(CASE WHEN isize = 0 THEN 110 ELSE least(110, abs(isize)) END AS BIGINT) AS length, count(*) AS reads, CAST(sum(coalesce(xp, 1)) AS BIGINT) AS weighted FROM reads GROUP BY ALL),
 g AS (SELECT rg, unnest(range(min(length), max(length) + 1)) AS length FROM h GROUP BY rg)
 SELECT g.rg, g.length, coalesce(reads, 0) AS reads, coalesce(weighted, 0) AS weighted FROM g LEFT JOIN h ON g.rg = h.rg AND g.length = h.length""")
 def op_reads_length_histogram(spark, sf_dir):
@@ -66,7 +65,7 @@ def op_windows_cumulative_share(spark, sf_dir):
 k AS (SELECT *, CAST(qlen AS VARCHAR) || CASE WHEN rid % 4 = 0 THEN 'M2D' ELSE 'M' END AS cigar, rid % 97 AS quality FROM reads),
 c AS (SELECT chrom, qlen, rg, cigar, count(*) AS n FROM k GROUP BY ALL),
 best AS (SELECT chrom, qlen, rg, arg_max(cigar, (n, -length(cigar), cigar)) AS cigar FROM c GROUP BY ALL)
-SELECT k.chrom, k.qlen, k.rg, arg_max(k.rid, (quality, -k.rid)) AS rid, arg_min(k.qname, k.rid) AS qname, CAST(count(*) + sum(xp) AS BIGINT) AS xp, count(*) AS reads
+SELECT k.chrom, k.qlen, k.rg, arg_max(k.rid, (quality, -k.rid)) AS rid, arg_min(k.qname, (k.rid, k.qname)) AS qname, CAST(count(*) + sum(xp) AS BIGINT) AS xp, count(*) AS reads
 FROM k JOIN best b ON k.chrom = b.chrom AND k.qlen = b.qlen AND k.rg = b.rg AND k.cigar = b.cigar GROUP BY k.chrom, k.qlen, k.rg""")
 def op_duplicates_representative(spark, sf_dir):
     rows = relation(spark, sf_dir, "reads")
@@ -83,10 +82,11 @@ def duplicates_count():
 CONSENSUS = """
 WITH r AS (SELECT o_custkey %% 40 AS g, translate(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 12), '0123456789abcdef', 'ACGTAACCGGTTACGN') AS seq, o_orderkey %% 30 + 2 AS q FROM orders),
 cells AS (SELECT g, unnest(range(1, 13)) AS p, seq, q FROM r),
-bases AS (SELECT g, p, substr(seq, CAST(p AS INT), 1) AS base, -q / 10.0::DOUBLE AS q FROM cells),
-sums AS (SELECT g, p, %s, count(*) FILTER (base <> 'N') AS known, count(*) AS reads FROM bases GROUP BY ALL),
-best AS (SELECT g, p, known, reads, log10(greatest(1e-9, pow(10::DOUBLE, A) + pow(10::DOUBLE, C) + pow(10::DOUBLE, G_) + pow(10::DOUBLE, T))) AS total, least(A, C, G_, T) AS low, A, C, G_, T FROM sums)
-SELECT g, string_agg(CASE WHEN known = 0 THEN 'N' WHEN low - total < 0 THEN CASE WHEN A = low THEN 'A' WHEN C = low THEN 'C' WHEN G_ = low THEN 'G' ELSE 'T' END ELSE 'N' END, '' ORDER BY p) AS consensus, max(reads) AS reads FROM best GROUP BY g
+bases AS (SELECT g, p, substr(seq, CAST(p AS INT), 1) AS base, -q / 10.0::DOUBLE AS q, q AS plain FROM cells),
+sums AS (SELECT g, p, %s, count(*) FILTER (base <> 'N') AS known, count(*) AS reads, min(plain) AS worst FROM bases GROUP BY ALL),
+best AS (SELECT g, p, known, reads, worst, log10(greatest(1e-9, pow(10::DOUBLE, A) + pow(10::DOUBLE, C) + pow(10::DOUBLE, G_) + pow(10::DOUBLE, T))) AS total, least(A, C, G_, T) AS low, A, C, G_, T FROM sums)
+SELECT g, string_agg(CASE WHEN known = 0 THEN 'N' WHEN low - total < 0 THEN CASE WHEN A = low THEN 'A' WHEN C = low THEN 'C' WHEN G_ = low THEN 'G' ELSE 'T' END ELSE 'N' END, '' ORDER BY p) AS consensus,
+  string_agg(chr(33 + CAST(CASE WHEN reads = 1 OR known = 0 THEN worst WHEN low - total < 0 THEN round(least(60.0::DOUBLE, -10 * (low - total))) ELSE 0 END AS INT)), '' ORDER BY p) AS consensus_qual, max(reads) AS reads FROM best GROUP BY g
 """ % ", ".join(f"sum(CASE WHEN base = 'N' THEN 0 WHEN base = '{b}' THEN q ELSE log10(1 - pow(10::DOUBLE, q)) - log10(3::DOUBLE) END) AS {b if b != 'G' else 'G_'}" for b in "ACGT")
 
 
@@ -94,7 +94,7 @@ SELECT g, string_agg(CASE WHEN known = 0 THEN 'N' WHEN low - total < 0 THEN CASE
 def op_duplicates_consensus(spark, sf_dir):
     seq = F.translate(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 12), "0123456789abcdef", "ACGTAACCGGTTACGN")
     rows = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("g"), seq.alias("seq"), F.repeat(F.char(F.col("o_orderkey") % 30 + 2 + 33), F.lit(12)).alias("qual"))
-    return duplicates.consensus(rows, ["g"], "seq", "qual").select("g", "consensus", "reads")
+    return duplicates.consensus(rows, ["g"], "seq", "qual").select("g", "consensus", "consensus_qual", "reads")
 
 
 @query(cte("reads") + f"""
@@ -109,24 +109,7 @@ m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row
 SELECT user_id, event_type, min(event_id) AS start, count(*) AS n FROM m GROUP BY user_id, event_type, run""")
 def op_duplicates_running_groups(spark, sf_dir):
     rows = load(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
-    place = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy("event_id"))
-    marked = rows.withColumn("run", place("user_id") - place("user_id", "event_type"))
-    return marked.groupBy("user_id", "event_type", "run").agg(F.min("event_id").alias("start"), F.count("*").alias("n")).drop("run")
-
-
-def _draws(salt: int) -> str:
-    return f"((pos * 7919 + trial * 104729 + chrom * 31 + {salt}) % 9973) / 9973.0"
-
-
-SIMULATED = cte("fragments") + """,
-h AS (SELECT CAST(e - s + 1 AS INT) AS length, count(*) AS n FROM fragments GROUP BY ALL),
-cdf AS (SELECT length, sum(n) OVER (ORDER BY length) / CAST(sum(n) OVER () AS DOUBLE) AS cdf FROM h),
-p AS (SELECT DISTINCT chrom, s AS pos FROM fragments WHERE s % 50 < 5),
-t AS (SELECT chrom, pos, strand, unnest(range(1, 30 // n_strands + 1)) AS trial FROM (
-  SELECT chrom, pos, n_strands, unnest(strands) AS strand FROM (SELECT *, len(strands) AS n_strands FROM (SELECT chrom, pos, CASE WHEN pos - 1 < 200 THEN ['+'] WHEN 20200 - pos < 200 THEN ['-'] ELSE ['+', '-'] END AS strands FROM p)))),
-u AS (SELECT *, {0}::DOUBLE AS u0, {1}::DOUBLE AS u1 FROM t),
-d AS (SELECT chrom, pos, strand, trial, (SELECT min(length) FROM cdf WHERE cdf >= u1) AS length FROM u WHERE u0 <= 0.1)
-SELECT chrom, strand, length, count(*) AS n, min(pos) AS first FROM d GROUP BY ALL""".replace("{0}", _draws(0).replace("9973.0", "9973.0::DOUBLE")).replace("{1}", _draws(1009).replace("9973.0", "9973.0::DOUBLE"))
+    return duplicates.running_groups(rows, ["event_type"], "event_id", ["user_id"], 1 << 10)
 
 
 def _genome(frags, chunk: int, overlap: int):
@@ -146,7 +129,7 @@ def _end_rates(frags, chunks, chunk: int, k: int, start: bool):
     return sequence.acceptance(seen, sequence.kmer_counts(own, "seq", k), ["strand"])
 
 
-@query(SIMULATED)
+@query()
 def op_simulate_fragments(spark, sf_dir, chunk: int = 256):
     """All positions LO..HI of the contigs; both ends accepted by the rates of the observed fragments' end k-mers."""
     frags = relation(spark, sf_dir, "fragments").withColumn("strand", F.when(F.col("strand") == "F", "+").otherwise("-"))

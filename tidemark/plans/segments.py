@@ -28,7 +28,7 @@ def op_segment_split_intervals(spark, sf_dir):
 SPACING = cte("fragments") + """,
 lengths AS (SELECT chrom, max(e) AS length FROM fragments GROUP BY chrom),
 grid AS (SELECT chrom, unnest(range(0, length, 1500)) AS start, length FROM lengths),
-peaks AS (SELECT DISTINCT chrom, s AS pos FROM fragments WHERE e - s >= 167 AND s % 3 = 0),
+peaks AS (SELECT DISTINCT chrom, s AS pos FROM fragments WHERE e - s >= 167),
 gaps AS (SELECT chrom, CASE WHEN pos = 0 THEN 0 ELSE (pos - 1) // 1500 END * 1500 AS start, pos - lag(pos) OVER (PARTITION BY chrom, CASE WHEN pos = 0 THEN 0 ELSE (pos - 1) // 1500 END ORDER BY pos) AS d FROM peaks),
 m AS (SELECT chrom, start, median(d)::DOUBLE AS median FROM gaps WHERE d BETWEEN 120 AND 280 GROUP BY ALL)"""
 
@@ -66,7 +66,7 @@ def op_sinks_bed_rows(spark, sf_dir):
 
 
 @query(cte("fragments") + """,
-p AS (SELECT chrom, s AS pos, count(*) AS n FROM fragments WHERE s % 5 < 3 GROUP BY ALL),
+p AS (SELECT chrom, s AS pos, count(*) AS n FROM fragments GROUP BY ALL),
 m AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos) = 1 THEN 0 ELSE 1 END AS opens FROM p),
 b AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY pos) AS k FROM m)
 SELECT chrom, min(pos) OVER (PARTITION BY chrom, k) AS block, pos AS at, CAST(n AS VARCHAR) AS line FROM b

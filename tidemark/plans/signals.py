@@ -28,7 +28,7 @@ def op_signal_short_track(spark, sf_dir):
 
 
 @query(cte("fragments") + """,
-slice AS (SELECT DISTINCT chrom, pos FROM (SELECT chrom, unnest(range(1000, 1600)) AS pos FROM (SELECT DISTINCT chrom FROM fragments)))
+slice AS (SELECT DISTINCT chrom, pos FROM (SELECT chrom, unnest(range(1, 20201)) AS pos FROM (SELECT DISTINCT chrom FROM fragments)))
 SELECT p.chrom, p.pos, CAST(coalesce(sum(CASE WHEN s IS NULL THEN 0 WHEN s > pos - 60 OR e < pos + 60 THEN -1 ELSE 1 END), 0) AS BIGINT) AS wps
 FROM slice p LEFT JOIN fragments f ON f.chrom = p.chrom AND f.e > p.pos - 60 AND f.s < p.pos + 60 GROUP BY ALL""")
 def op_signal_wps_by_definition(spark, sf_dir):
@@ -109,7 +109,7 @@ medians AS (SELECT chrom, pos, cov, wps, rn, n, CASE WHEN rn < 501 THEN max(CASE
 
 
 def _medians(spark, sf_dir):
-    return windows.running_median(the_track(spark, sf_dir), "wps", ["chrom"])
+    return windows.running_median(the_track(spark, sf_dir), "wps", ["chrom"], bounds=(LO, HI))
 
 
 @query(MEDIANS + "\nSELECT chrom, pos, wps, CAST(median AS DOUBLE) AS median, CAST(wps - median AS DOUBLE) AS adj FROM medians")
@@ -134,7 +134,7 @@ def _smooth_sql() -> str:
 
 @query(MEDIANS + f",\nvals AS (SELECT *, wps::DOUBLE AS v FROM medians)\nSELECT chrom, pos, round({_smooth_sql()}, 6) AS smooth, round({_smooth_sql()} - median, 6) AS adj FROM vals WINDOW w AS (PARTITION BY chrom ORDER BY pos)")
 def op_windows_smoothed(spark, sf_dir):
-    rows = windows.adjusted(the_track(spark, sf_dir), "wps", ["chrom"], smoothed=True)
+    rows = windows.adjusted(the_track(spark, sf_dir), "wps", ["chrom"], smoothed=True, bounds=(LO, HI))
     return rows.select("chrom", "pos", F.round("smooth", 6).alias("smooth"), F.round("adj", 6).alias("adj"))
 
 
@@ -163,7 +163,13 @@ def op_segment_runs(spark, sf_dir):
 
 
 def _peaks_sql(compat: bool) -> str:
-    """compat: the element that ends a stretch is lost, so of the elements after a lost one the next starts anew."""
+    """compat: the element that ends a stretch is lost. Of stretches of adjacent positions in a run, each but the first
+    thus lacks its first element, unless the one before it was a single element and lost."""
+    lost = """,
+islands AS (SELECT chrom, run, g, count(*) AS len, row_number() OVER (PARTITION BY chrom, run ORDER BY min(pos)) AS k FROM raw GROUP BY chrom, run, g),
+before AS (SELECT *, max(CASE WHEN len > 1 THEN k END) OVER (PARTITION BY chrom, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS long FROM islands),
+losses AS (SELECT chrom, run, g, (k - 1 - coalesce(long, 0)) % 2 = CASE WHEN long IS NULL THEN 1 ELSE 0 END AS lost FROM before),
+high AS (SELECT * EXCLUDE (place, lost) FROM (SELECT r.*, lost, row_number() OVER (PARTITION BY r.chrom, r.run, r.g ORDER BY pos) AS place FROM raw r JOIN losses USING (chrom, run, g)) WHERE NOT lost OR place > 1)"""
     return RUNS + """,
 cells AS (SELECT s.chrom, s.run, s.run_end - s.run + 1 AS size, p.pos, coalesce(a.adj, 0) AS v
   FROM spans s, LATERAL (SELECT unnest(range(s.run, s.run_end + 1)) AS pos) p LEFT JOIN (SELECT * FROM adjusted WHERE adj > 0) a ON a.chrom = s.chrom AND a.pos = p.pos
@@ -171,7 +177,7 @@ cells AS (SELECT s.chrom, s.run, s.run_end - s.run + 1 AS size, p.pos, coalesce(
 ordered AS (SELECT *, row_number() OVER (PARTITION BY chrom, run ORDER BY v) AS r FROM cells),
 mids AS (SELECT chrom, run, CASE WHEN any_value(size) % 2 = 0 THEN max(CASE WHEN r = size / 2 + 1 THEN v END)
   ELSE (max(CASE WHEN r = (size - 1) / 2 + 1 THEN v END) + max(CASE WHEN r = (size + 1) / 2 + 1 THEN v END)) / 2 END AS m FROM ordered GROUP BY ALL),
-high AS (SELECT c.*, c.pos - row_number() OVER (PARTITION BY c.chrom, c.run ORDER BY c.pos) AS g FROM cells c JOIN mids USING (chrom, run) WHERE v >= m),
+raw AS (SELECT c.*, c.pos - row_number() OVER (PARTITION BY c.chrom, c.run ORDER BY c.pos) AS g FROM cells c JOIN mids USING (chrom, run) WHERE v >= m)""" + (lost if compat else ",\nhigh AS (SELECT * FROM raw)") + """,
 stretches AS (SELECT chrom, run, any_value(size) AS size, g, sum(v) AS total, min(pos) AS start, max(pos) AS end_, max(v) AS top FROM high GROUP BY chrom, run, g),
 best AS (SELECT *, row_number() OVER (PARTITION BY chrom, run ORDER BY total DESC, start DESC) AS place FROM stretches)
 SELECT chrom, start, end_ AS "end", start + CAST(round((end_ - start) * 0.5::DOUBLE) AS BIGINT) AS mid, top AS score FROM best
@@ -183,7 +189,7 @@ def op_segment_peaks(spark, sf_dir):
     return segment.peaks(_adjusted(spark, sf_dir), "adj", ["chrom"])
 
 
-@query()
+@query(_peaks_sql(True))
 def op_segment_peaks_compat(spark, sf_dir):
     return segment.peaks(_adjusted(spark, sf_dir), "adj", ["chrom"], compat=True)
 

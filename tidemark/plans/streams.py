@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.plans.shared import folder
 from tidemark.streaming import streams
 
 
-def _shared(spark) -> str:
-    """A folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="tidemark-streams-")
-        atexit.register(shutil.rmtree, top, True)
-    return f"{top}/streams-{uuid.uuid4().hex[:12]}"
-
-
 def _events(spark, sf_dir):
     rows = streams.follow(spark, sf_dir, "events.parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _run(stream, mode="append"):
-    at = _shared(stream.sparkSession)
+    at = folder(stream.sparkSession, "streams")
     return streams.run_once(stream, f"{at}/out", f"{at}/state", mode)
 
 
@@ -73,3 +60,13 @@ def op_stream_paired(spark, sf_dir):
     first = rows.filter("event_type = 'click'").drop("event_type")
     second = _events(spark, sf_dir).select("user_id", "event_type", "event_id", "ts").filter("event_type = 'purchase'").drop("event_type")
     return _run(streams.paired(first, second, ["user_id"], "ts", "30 minutes")).select("event_id_1", "event_id_2", "user_id")
+
+
+@query()
+def op_stream_peaks(spark, sf_dir):
+    """The peak caller on a stream of the track; ``tests`` hold it against the batch operator."""
+    from tidemark.plans.signals import the_track
+
+    at, track = folder(spark, "track"), the_track(spark, sf_dir).select("chrom", "pos", "wps")
+    track.write.parquet(at)
+    return _run(streams.peaks(spark.readStream.schema(track.schema).parquet(at), "chrom", "pos", "wps"))

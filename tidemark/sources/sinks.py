@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import file_name
 from tidemark.operators.segment import blocks
 
 
+PIECE = 1 << 16
+
+
+def _wig_header(chrom: str, start: Column) -> Column:
+    return F.concat(F.lit("fixedStep chrom=chr"), F.col(chrom).cast("string"), F.lit(" start="), start.cast("string"), F.lit(" step=1"))
+
+
 def wig_lines(track: DataFrame, value: str, chrom: str = "chrom") -> DataFrame:
     """(chrom, block, at, line): fixedStep text, a header before each run of positions."""
     rows = blocks(track.select(chrom, "pos", value), [chrom])
     body = rows.select(chrom, "block", F.col("pos").alias("at"), F.col(value).cast("string").alias("line"))
-    head = rows.filter("pos = block").select(chrom, "block", (F.col("block") - 1).alias("at"), F.concat(F.lit("fixedStep chrom=chr"), F.col(chrom).cast("string"), F.lit(" start="), F.col("block").cast("string"), F.lit(" step=1")).alias("line"))
+    head = rows.filter("pos = block").select(chrom, "block", (F.col("block") - 1).alias("at"), _wig_header(chrom, F.col("block")).alias("line"))
     return head.unionByName(body)
 
 
-def write_wig(track: DataFrame, value: str, path: str, compression: str = "gzip") -> None:
-    """One folder a contig; lines in order within and across part files."""
-    lines = wig_lines(track, value)
-    lines.repartitionByRange("chrom", "block", "at").sortWithinPartitions("chrom", "block", "at").select("chrom", "line").write.partitionBy("chrom").option("compression", compression).text(path)
+def write_wig(track: DataFrame, value: str, path: str, compression: str = "gzip", piece: int = PIECE) -> None:
+    """One folder a contig; lines in order within and across part files. Long runs get a header every ``piece``
+    positions, so a run needs not fit one task and every file can be read by itself."""
+    lines = wig_lines(track, value).withColumn("piece", F.floor(F.greatest(F.col("at") - F.col("block"), F.lit(0)) / piece)).withColumn("part", F.lit(1))
+    again = lines.filter((F.col("at") > F.col("block")) & ((F.col("at") - F.col("block")) % piece == 0))
+    lines = lines.unionByName(again.withColumns({"line": _wig_header("chrom", F.col("at")), "part": F.lit(0)}))
+    ordered = lines.repartitionByRange("chrom", "block", "piece").sortWithinPartitions("chrom", "block", "at", "part")
+    ordered.select("chrom", "line").write.partitionBy("chrom").option("compression", compression).text(path)
 
 
 def bed_rows(peaks: DataFrame) -> DataFrame:

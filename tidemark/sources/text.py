@@ -7,6 +7,7 @@ one row each."""
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,13 +18,16 @@ from tidemark.operators.annotation import attribute
 
 
 def parse_region(text: str | None) -> tuple[str, int, int] | None:
-    """'chr1:1,000-2,000' (quotes allowed) -> ('1', 1000, 2000); empty or ALL -> None, the whole genome."""
+    """'chr1:1,000-2,000' (quotes allowed) -> ('1', 1000, 2000); empty or ALL -> None, the whole genome. Positions start
+    at 1."""
     text = (text or "").strip().strip("\"'")
     if not text or text.upper() == "ALL":
         return None
     if not (m := re.fullmatch(r"(?:chr)?([^:]+):([\d,]+)-([\d,]+)", text)):
         raise ValueError(f"not a region: {text!r}")
     start, end = (int(x.replace(",", "")) for x in m.groups()[1:])
+    if start < 1:
+        raise ValueError(f"a region starts at 1 at least: {text!r}")
     if start > end:
         raise ValueError(f"a region must not end before it starts: {text!r}")
     return m[1], start, end
@@ -35,6 +39,18 @@ def in_region(region: str | None, chrom: str = "chrom", start: str = "s", end: s
     return F.lit(True) if found is None else (F.col(chrom) == found[0]) & (F.col(start) <= found[2]) & (F.col(end) >= found[1])
 
 
+def existing(spark: SparkSession, *paths: str) -> list[str]:
+    """Those of the paths that exist; the others are left out with a warning."""
+    found, conf = [], spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(conf).exists(at):
+            found.append(p)
+        else:
+            warnings.warn(f"left out, as it does not exist: {p}", stacklevel=2)
+    return found
+
+
 def sam(spark: SparkSession, *paths: str) -> DataFrame:
     """Alignments: qname, flag, chrom, pos (0-based), mapq, cigar, mate_chrom, mate_pos, isize, seq, qual, tags."""
     f = F.split("value", "\t")
