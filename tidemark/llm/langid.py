@@ -36,7 +36,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from tidemark.llm.common import bound_batches, fields_of_row, release, whole_row
 
-PIECE, BATCH_BYTES = 512, 4 << 20
+PIECE, BATCH_BYTES = 512, 1 << 20
 FOUND = ("lang_pred", "score", "phrases", "bits")
 
 
