@@ -29,7 +29,9 @@ def test_same_as_the_library_and_back(docs, clashing, rows, reference):
 
 def test_decoding_gives_the_texts_back_whatever_the_word_cache_holds(docs, rows, monkeypatch):
     monkeypatch.setattr(bpe, "KNOWN", 10)
-    decoded = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN, parts=2), PATH).collect()
+    both = bpe.encode(docs, PATH, public_tokenizers.PATTERN, parts=2, round_trip=True).withColumnRenamed("decoded", "own")
+    decoded = bpe.decode(both, PATH).collect()
+    assert all(r["own"] == r["decoded"] for r in decoded)
     assert sorted(bytes(r["decoded"]) for r in decoded) == sorted((t or "").encode() for _, t, *_ in rows)
 
 

@@ -72,13 +72,16 @@ def _look_up(ids: np.ndarray, doc_ends: np.ndarray, data: np.ndarray, start: np.
     return pa.Array.from_buffers(pa.large_binary(), len(doc_ends) - 1, [None, pa.py_buffer(ends[doc_ends]), pa.py_buffer(data[where])]).cast(pa.binary())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
-    """Per row of docs: its id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, round_trip: bool = False) -> DataFrame:
+    """Per row of docs: its id, n_tokens, ids (little-endian unsigned 32-bit integers). round_trip adds ``decoded``, what
+    ``decode`` gives for the ids, in the same pass: a step of its own would keep a second Python worker in every task."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     parts = parts or 2 * partitions(spark)
     made = blocks(docs, id_col, text_col, split_text(pattern), parts, "bpe-blocks", str.encode)
-    ranks = spark.sparkContext.broadcast(tuple(read_ranks(vocabulary).items()))  # the vocabulary's size
+    vocabulary_ranks = read_ranks(vocabulary)
+    ranks = spark.sparkContext.broadcast(tuple(vocabulary_ranks.items()))  # the vocabulary's size
+    pieces = spark.sparkContext.broadcast(_by_id(vocabulary_ranks)) if round_trip else None
 
     def merge(batches):
         coder, held, known = _encoding(pattern, ranks.value), None, {}
@@ -124,13 +127,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             where = np.repeat(start[tokens] - ends[:-1], size[tokens]) + np.arange(ends[-1])
             doc_ends = ends[np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])]
             binary = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(doc_ends * 4), pa.py_buffer(flat[where].astype("<u4"))])
-            out.append(pa.table({"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}))
+            columns = {"id": pa.array(doc_ids, chunks.schema.field("doc_ids").type.value_type), "n_tokens": np.diff(doc_ends), "ids": binary.cast(pa.binary())}
+            if pieces is not None:
+                columns["decoded"] = _look_up(flat[where], doc_ends, *_token_bytes(pieces.value))
+            out.append(pa.table(columns))
         del numbers, counts, flat, size, start
         release()
         return pa.concat_tables(out)
 
     chunks = made.filter("kind = 0").select("block", F.col("ids").alias("doc_ids"), "lens", "blob")
-    return chunks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(assemble, f"id {id_type}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return chunks.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(assemble, f"id {id_type}, n_tokens long, ids binary" + ", decoded binary" * round_trip).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
