@@ -137,4 +137,65 @@ SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN l >= {min_label
 FROM parsed u JOIN p{depth} p ON u.host = p.host AND u.segs = p.segs JOIN judged j ON p.host = j.host AND p.template = j.template"""
 
 
-SQL = {"op1_line_dedup": LINES, "op3_exact_dedup": EXACT, "op4_embedding_dedup": VECTORS, "op7_lm_score": LM, "op8_jaccard": JACCARD, "op9_mixing": mixing(), "op10_url_filter": url_filter()}
+WORDS_ONLY = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '{WORDS_ONLY}') AS w FROM documents),
+items AS (SELECT * FROM (SELECT item_id, regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '{WORDS_ONLY}') AS w FROM benchmark) WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items)),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows))),
+hits AS (SELECT doc_id, p.n, i, item_id FROM places p JOIN windows v ON p.n = v.n AND p.g = v.g),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM (SELECT DISTINCT doc_id, n, i FROM hits)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256::DOUBLE * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))),
+scores AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT a, b, s FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+found AS (
+  SELECT p.a, p.b, p.s, n.b AS nb, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS rank
+  FROM positives p JOIN scores n ON n.a = p.a WHERE NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INT) AS rank, nb AS negative_id, s AS positive_score, ns AS negative_score FROM found WHERE rank <= 3
+"""
+
+AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+per AS (SELECT doc_id AS id, max(coalesce(quality, 0)) = 1 AS good, max(coalesce(toxic, 0)) = 1 AS toxic FROM labels GROUP BY doc_id),
+marked AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM texts LEFT JOIN per ON doc_id = id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE p.x <> q.x AND r.x NOT IN (p.x, q.x) AND s.x NOT IN (p.x, q.x, r.x) AND t.x NOT IN (p.x, q.x, r.x, s.x)),
+gone AS (
+  SELECT part, o, least(CASE WHEN a THEN instr(o, 'A') ELSE 6 END, CASE WHEN b THEN instr(o, 'B') ELSE 6 END, CASE WHEN c THEN instr(o, 'C') ELSE 6 END,
+         CASE WHEN d THEN instr(o, 'D') ELSE 6 END, CASE WHEN e THEN instr(o, 'E') ELSE 6 END) AS step, good, toxic FROM marked, orders),
+sums AS (SELECT part, o, step, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM gone GROUP BY ALL),
+fails AS (
+  SELECT part, x, count(*) FILTER (bad) AS n, count(*) FILTER (bad AND many = 1) AS only
+  FROM (SELECT part, x, CASE x WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS bad, a::INT + b::INT + c::INT + d::INT + e::INT AS many FROM marked, letters) GROUP BY ALL),
+grid AS (SELECT part, o, step, o[step] AS x FROM (SELECT DISTINCT part FROM marked), orders, (SELECT unnest(range(1, 6)) AS step)),
+full_ AS (SELECT g.*, coalesce(n, 0) AS removed, coalesce(good, 0) AS good_lost, coalesce(toxic, 0) AS toxic_lost FROM grid g LEFT JOIN sums USING (part, o, step))
+SELECT part, o AS filter_order, CAST(step AS INT) AS step,
+       CAST((SELECT count(*) FROM marked m WHERE m.part = f.part) - sum(removed) OVER (PARTITION BY part, o ORDER BY step) AS BIGINT) AS kept, removed, k.n - removed AS redundant, k.only AS unique_fails,
+       good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM full_ f JOIN fails k USING (part, x)
+"""
+
+
+SQL = {"op1_line_dedup": LINES, "op3_exact_dedup": EXACT, "op4_embedding_dedup": VECTORS, "op7_lm_score": LM, "op8_jaccard": JACCARD, "op9_mixing": mixing(), "op10_url_filter": url_filter(), "op11_decontamination": DECONTAMINATION, "op12_hard_negatives": NEGATIVES, "op13_filter_audit": AUDIT}
