@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, written
+from tidemark.llm.common import ascii_lower, with_groups, written
 
 #: Fixed values of the contract: what ends a word.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -147,4 +147,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     some = some.select("_id", "n_words", F.coalesce("spans", none).alias("spans"), "item_set")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     out = clean.unionByName(some).select(F.col("_id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), "spans", "item_set")
+    out = written(out, "judged")
     return out, sets
+
+
+def with_items(judged: DataFrame, sets: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """judged with the columns of its set of items, null where it has none. Very many documents may have one set: they are
+    dealt to several tasks."""
+    some = judged.filter(F.col("item_set").isNotNull())
+    groups = some.groupBy("item_set").agg(F.count("*").alias("_size")).join(sets, "item_set")
+    joined = with_groups(some, groups, ["item_set"], "_size", some.count(), [id_col])
+    return joined.drop("_size").unionByName(judged.filter(F.col("item_set").isNull()), allowMissingColumns=True)

@@ -263,6 +263,11 @@ def _positives(k: int):
     return best
 
 
+def _hundredths(scores: np.ndarray, share: int) -> np.ndarray:
+    """share * scores // 100 without leaving 64 bits."""
+    return share * (scores // 100) + share * (scores % 100) // 100
+
+
 NEGATIVES = "ab long, ai int, place int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
 
 
@@ -275,7 +280,7 @@ def _negatives(k: int, low: int, high: int):
             _, had = found.setdefault(a["no"], (a, _Best(n * places, k)))
             real = scores > NONE
             # 50 * positive <= 100 * negative <= 95 * positive, as bounds on whole numbers
-            floor, roof = np.where(real, -((-low * scores) // 100), 1), np.where(real, high * scores // 100, 0)
+            floor, roof = np.where(real, -_hundredths(-scores, low), 1), np.where(real, _hundredths(scores, high), 0)
 
             def wanted(lower: np.ndarray, upper: np.ndarray, had=had, floor=floor, roof=roof, n=n, places=places) -> np.ndarray:
                 out = np.zeros(lower.shape, bool)

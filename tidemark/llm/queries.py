@@ -68,7 +68,7 @@ def op10_url_filter(spark, sf_dir):
 def op11_decontamination(spark, sf_dir):
     judged, sets = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     named = sets.select("item_set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    rows = judged.join(named, "item_set", "left")
+    rows = decontaminate.with_items(judged, named)
     digest = F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256")
     return rows.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
 
