@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import sinks, text
-from tidemark.sources.bam import BASES, register
+from tidemark.sources.bam import BASES
+from tidemark.sources.bam_source import register
 
 
 def put(path, content):

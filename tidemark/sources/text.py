@@ -54,7 +54,7 @@ def existing(spark: SparkSession, *paths: str) -> list[str]:
 def sam(spark: SparkSession, *paths: str) -> DataFrame:
     """Alignments: qname, flag, chrom, pos (0-based), mapq, cigar, mate_chrom, mate_pos, isize, seq, qual, tags."""
     f = F.split("value", "\t")
-    tags = F.transform(F.slice(f, 12, 1000), lambda t: F.struct(F.left(t, F.lit(2)).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))
+    tags = F.transform(F.slice(f, 12, F.size(f)), lambda t: F.struct(F.left(t, F.lit(2)).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))
     known = lambda c: F.when(c != "*", c)
     lines = spark.read.text(list(paths)).filter(~F.startswith(F.col("value"), F.lit("@")) & (F.size(f) >= 11))
     return lines.select(
