@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,8 @@ from tidemark.operators import duplicates, joins, overlay, segment, stats
 from tidemark.plans import registry
 from tidemark.plans.relations import relation
 from tidemark.sources import text
-from tidemark.streaming import streams
+from tidemark.streaming import collapse, peaks, streams
+from tidemark.streaming.medians import CentredMedian
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,20 +82,76 @@ def test_windows_meet_few_rows_of_the_track(spark):
     assert got == expected
 
 
-def test_stream_peaks_are_the_batch_peaks(spark, tmp_path):
-    """Three arrivals of a track, with runs open and windows half full between them."""
-    rng = np.random.default_rng(5)
-    wave = (12 * np.sin(np.arange(2600) / 28) + rng.normal(0, 2, 2600)).round(3)
-    rows = spark.createDataFrame([("1", k + 1, float(v)) for k, v in enumerate(wave)], "chrom string, pos long, v double")
-    for k, (lo, hi) in enumerate(((1, 700), (701, 1501), (1502, 2600))):
-        rows.filter(F.col("pos").between(lo, hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+def batch_peaks(spark, wave, size, first=1):
+    medians = registry_medians(wave, size)
+    adjusted = spark.createDataFrame([("1", first + k, float(v - m)) for k, (v, m) in enumerate(zip(wave, medians, strict=True))], "chrom string, pos long, adj double")
+    return sorted((r["start"], r["end"], r["mid"], round(r["score"], 6)) for r in segment.peaks(adjusted, "adj", ["chrom"]).collect())
+
+
+def noisy_wave(n, seed=5):
+    return (12 * np.sin(np.arange(n) / 28) + np.random.default_rng(seed).normal(0, 2, n)).round(3)
+
+
+@pytest.mark.parametrize("cuts", [(700, 1501), (1, 3, 401, 402, 1000, 1100, 2599), ()])
+def test_stream_peaks_are_the_batch_peaks(spark, tmp_path, cuts):
+    """Several arrivals of two contigs, with runs open and windows half full between them, to the end of input."""
+    waves = {"1": noisy_wave(2600), "2": noisy_wave(2300, 6)}
+    rows = spark.createDataFrame([(c, k + 1, float(v)) for c, w in waves.items() for k, v in enumerate(w)], "chrom string, pos long, v double")
+    for lo, hi in zip((0, *cuts), (*cuts, 2600), strict=True):
+        rows.filter((F.col("pos") > lo) & (F.col("pos") <= hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    peaks.end_marks(rows, "chrom", rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = streams.run_once(streams.peaks(stream, "chrom", "pos", "v", 400), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = sorted((r["start"], r["end"], r["mid"], round(r["score"], 6)) for r in out.collect())
-    medians = registry_medians(wave, 400)
-    adjusted = spark.createDataFrame([("1", k + 1, float(v - m)) for k, (v, m) in enumerate(zip(wave, medians, strict=True))], "chrom string, pos long, adj double")
-    full = sorted((r["start"], r["end"], r["mid"], round(r["score"], 6)) for r in segment.peaks(adjusted, "adj", ["chrom"]).collect())
-    assert len(got) > 5 and got == [p for p in full if p[1] <= max(g[1] for g in got)] and len(full) - len(got) <= 3
+    out = streams.run_once(peaks.peaks(stream, "chrom", "pos", "v", 400), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    for c, w in waves.items():
+        got = sorted((r["start"], r["end"], r["mid"], round(r["score"], 6)) for r in out if r["chrom"] == c)
+        assert len(got) > 5 and got == batch_peaks(spark, w, 400)
+
+
+def test_a_silent_key_ends_by_its_timer(spark, tmp_path):
+    wave = noisy_wave(1300)
+    rows = [("1", k + 1, float(v), 1000.0 + k) for k, v in enumerate(wave)]
+    for name, part in (("a", rows[:700]), ("b", rows[700:]), ("c", [("2", 1, 0.0, 99_999.0)]), ("d", [("2", 2, 0.0, 100_000.0)])):
+        spark.createDataFrame(part, "chrom string, pos long, v double, t double").withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    stream = spark.readStream.schema("chrom string, pos long, v double, t double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    found = peaks.peaks(stream.withWatermark("ts", "10 seconds"), "chrom", "pos", "v", 400, ts="ts", idle=60)
+    out = streams.run_once(found, str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert sorted((r["start"], r["end"], r["mid"], round(r["score"], 6)) for r in out) == batch_peaks(spark, wave, 400)
+
+
+@pytest.mark.parametrize("n", [19, 20, 21, 57])
+def test_centred_medians(n):
+    values = [round(math.sin(k * k) * 9) for k in range(n)]
+    window, got = CentredMedian(20), []
+    for k, v in enumerate(values):
+        got += window.push(k, v)
+        window = CentredMedian(20, window.state)
+    got += window.close()
+    centre = lambda k: min(max(k, 10), n - 10)
+    want = [(k, values[k], float(np.median(values[centre(k) - 10 : centre(k) + 10]))) for k in range(n)] if n >= 20 else []
+    assert got == (want[1:] if n == 20 else want) and window.close() == []
+
+
+def test_stream_collapse_is_the_batch_collapse(spark, tmp_path):
+    dice, rows = random.Random(12), []
+    for k in range(1500):
+        chrom, pos, paired, reverse = dice.randrange(1, 4), dice.randrange(0, 3000, 30), k % 3 > 0, dice.random() < 0.5
+        base = {"grp": dice.choice(["u", "v", None]), "paired": paired, "reverse": reverse, "ref_len": dice.choice([50, 60]), "unmapped": k % 41 == 0, "mate_unmapped": k % 37 == 0, "qcfail": k % 29 == 0, "cigar": dice.choice(["50M", "48M2D", None]), "quality": 1}
+        rows.append({"rid": k, "qname": f"{dice.choice(['M_', ''])}{k}", "chrom": chrom, "pos": pos, "is_read1": True, **base})
+        if paired and k % 5:
+            rows.append({"rid": 5000 + k, "qname": rows[-1]["qname"], "chrom": chrom, "pos": pos + 90, "is_read1": False, **base, "reverse": not reverse})
+    schema = "rid long, grp string, paired boolean, reverse boolean, ref_len int, unmapped boolean, mate_unmapped boolean, qcfail boolean, cigar string, chrom int, pos long, qname string, is_read1 boolean, quality int"
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows.sort(key=lambda r: (r["chrom"], r["pos"]))
+    frame = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
+    for k in range(0, len(rows), 301):
+        spark.createDataFrame([tuple(r[c] for c in names) for r in rows[k : k + 301]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    collapse.end_marks(spark, frame.schema, 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for name, options in (("a", {"keep": True}), ("b", {"merged": True, "include_failed": True})):
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = streams.run_once(collapse.collapse(stream, F.col("chrom") * 100_000, 500, **options), str(tmp_path / name), str(tmp_path / f"state-{name}"))
+        want = duplicates.collapse(frame, **options)
+        assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.select(*out.columns).collect()), key=repr)
+        assert {r[0] for r in out.select("kind").distinct().collect()} >= {"pair", "single"}
 
 
 def registry_medians(values, size):
@@ -212,3 +270,31 @@ def test_collapse_of_pairs_singles_and_kept_reads(spark):
     expected += [("kept", "g", "1", None, 5, None, "g", 1), ("kept", "g", "1", None, 7, None, "h", 1), ("single", "u", "3", None, 5, None, "M_k", 1)]
     assert got == sorted(expected, key=repr)
     assert {r["kind"] for r in duplicates.collapse(frame, merged=True).collect()} == {"pair", "single"}
+
+
+def test_overlaps_of_rows_with_maps_and_nulls(spark):
+    dice = random.Random(8)
+    left = [(dice.choice(["a", "b", None]), a := dice.randrange(3000) if k % 9 else None, None if a is None or k % 11 == 0 else a + dice.randrange(700), {"k": str(k % 5)}) for k in range(300)]
+    right = [(dice.choice(["a", "b", None]), c := dice.randrange(3000) if k % 6 else None, None if c is None else c + dice.randrange(60)) for k in range(25)]
+    x = spark.createDataFrame(left + left[:20], "chrom string, s long, e long, tags map<string,string>")
+    y = spark.createDataFrame(right, "chrom string, lo long, hi long")
+    meets = lambda r: None not in r[:3] and any(None not in g and g[0] == r[0] and g[1] <= r[2] and g[2] >= r[1] for g in right)
+    for tile in (100, 1 << 20):
+        for anti in (False, True):
+            got = joins.overlapping(x, y, "chrom", ("s", "e"), ("lo", "hi"), tile, anti).collect()
+            assert sorted((r[0], r[1], r[2], sorted(r[3].items())) for r in got if None not in r[:3]) == sorted((r[0], r[1], r[2], sorted(r[3].items())) for r in left + left[:20] if meets(r) != anti and None not in r[:3])
+            assert sum(None in r[:3] for r in got) == (sum(None in r[:3] for r in left + left[:20]) if anti else 0)
+
+
+def test_nulls_in_nearest_islands_and_merging(spark):
+    points = spark.createDataFrame([("a", 10, {"x": "1"}), ("a", None, {}), (None, 10, None)], "chrom string, c long, tags map<string,string>")
+    targets = spark.createDataFrame([("a", 7), ("a", 12), (None, 9), ("a", None)], "chrom string, t long")
+    got = {(r["chrom"], r["c"]): (r["before"], r["after"]) for r in joins.nearest(points, targets, "chrom", "c", "t", 8).collect()}
+    assert got == {("a", 10): (7, 12), ("a", None): (None, None), (None, 10): (None, None)}
+    places = spark.createDataFrame([("a", 1), ("a", 2), ("a", None), (None, 5), (None, 6), (None, 9), (None, None)], "chrom string, pos long")
+    for tile in (2, 1 << 16):
+        runs = sorted(((r["chrom"], r["pos"], r["island"]) for r in segment.islands(places, ["chrom"], "pos", 1, tile=tile).collect()), key=repr)
+        assert runs == sorted([("a", 1, 1), ("a", 2, 1), ("a", None, None), (None, 5, 5), (None, 6, 5), (None, 9, 9), (None, None, None)], key=repr)
+        spans = spark.createDataFrame([("a", 1, 5), (None, 1, 5), (None, 4, 8), (None, 9, 12), ("a", None, 3)], "chrom string, start long, end long")
+        merged = sorted((tuple(r) for r in segment.merge_intervals(spans, ["chrom"], tile=tile).collect()), key=repr)
+        assert merged == sorted([("a", 1, 5, 1), (None, 1, 8, 2), (None, 9, 12, 1)], key=repr)

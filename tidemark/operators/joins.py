@@ -29,39 +29,53 @@ def point_join(ranges: DataFrame, points: DataFrame, key: str, lo: str, hi: str,
     return wanted.join(points, [key, pos])
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str], bin_size: int = 1024, anti: bool = False) -> DataFrame:
-    """Rows of left that overlap (anti: do not overlap) any row of right, each as often as left has it. Rows without
-    a key or a bound overlap nothing.
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys for which null equals null; keys and all other columns appear once."""
+    named = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys], how).drop(*[f"_same_{k}" for k in keys])
 
-    A row inside one bin is tested where it is; only rows that reach into several bins are brought together again."""
+
+def tile_of(place: Column, tile: int, whole: Column | None = None) -> Column:
+    """The tile of a place. Rows without a place (or where not ``whole``) get one of their own for each input partition, so
+    that very many of them are many tasks; these tiles come before all others."""
+    nowhere = F.lit(-(1 << 40)) - F.spark_partition_id()
+    return F.when(place.isNotNull() if whole is None else whole, F.floor(place / tile)).otherwise(nowhere).cast("long")
+
+
+def _row(df: DataFrame) -> Column:
+    return F.struct(*[df[f"`{c}`"] for c in df.columns])
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str], tile: int = 1 << 20, anti: bool = False) -> DataFrame:
+    """Rows of left that overlap (anti: do not overlap) any row of right, each as often as left has it and with columns of
+    any type, maps too. Rows without a key or a bound overlap nothing.
+
+    A row overlaps one of those that start at its end or before if the furthest of their ends reaches its start. So both
+    sides are sorted together once and the furthest end is carried along: no row meets another, however long they are or
+    many there are in one place. It is carried inside tiles of positions, and between them by a row a tile."""
     (a, b), (c, d) = left_range, right_range
-    lanes = right.select(F.col(key).alias("_key"), F.col(c).alias("_c"), F.col(d).alias("_d"), F.explode(_bins(F.col(c), F.col(d), bin_size)).alias("_bin"))
-    hit = (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_bin")) & (F.col("_c") <= F.col(b)) & (F.col("_d") >= F.col(a))
-    first, last = F.floor(F.col(a) / bin_size), F.floor(F.col(b) / bin_size)
-    inside = left.filter(first == last).withColumn("_cell", first)
-    across = left.filter(first != last).groupBy(*left.columns).agg(F.count("*").alias("_copies"))
-    cells = across.withColumn("_cell", F.explode(_bins(F.col(a), F.col(b), bin_size)))
-    met = cells.join(lanes, hit, "left_semi").drop("_cell").distinct()
-    if anti:
-        same = [across[x].eqNullSafe(met[x]) for x in left.columns]
-        near, far = inside.join(lanes, hit, "left_anti").drop("_cell"), across.join(met, same, "left_anti")
-    else:
-        near, far = inside.join(lanes, hit, "left_semi").drop("_cell"), met
-    far = far.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*left.columns)
-    out = near.unionByName(far)
-    return out.unionByName(left.filter(F.col(a).isNull() | F.col(b).isNull())) if anti else out
-
-
-def nearest(points: DataFrame, targets: DataFrame, key: str, pos: str, target_pos: str) -> DataFrame:
-    """points plus ``before`` (largest target at or below pos) and ``after`` (smallest above), null where missing.
+    whole = F.col(key).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()
+    rows = left.select(F.col(key).alias("_key"), F.col(b).alias("_at"), F.col(a).alias("_from"), _row(left).alias("_row"), tile_of(F.col(b), tile, whole).alias("_tile"))
+    ends = right.select(F.col(key).alias("_key"), F.col(c).alias("_at"), F.col(d).alias("_reach")).dropna().withColumn("_tile", F.floor(F.col("_at") / tile).cast("long"))
+    both = rows.unionByName(ends, allowMissingColumns=True)
+    earlier = Window.partitionBy("_key").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    per = both.groupBy("_key", "_tile").agg(F.max("_reach").alias("_most")).select("_key", "_tile", F.max("_most").over(earlier).alias("_carried"))
+    here = F.max("_reach").over(Window.partitionBy("_key", "_tile").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
+    met = F.coalesce(F.greatest(here, F.col("_carried")) >= F.col("_from"), F.lit(False)) & F.col("_key").isNotNull()
+    marked = null_safe(both, per, ["_key", "_tile"]).withColumn("_met", met).filter("_row IS NOT NULL")
+    return marked.filter("NOT _met" if anti else "_met").select("_row.*")
+
+
+def nearest(points: DataFrame, targets: DataFrame, key: str, pos: str, target_pos: str, tile: int = 1 << 20) -> DataFrame:
+    """points plus ``before`` (largest target at or below pos) and ``after`` (smallest above), null where missing: also for
+    points without a key or a place.
 
     Points and targets are sorted together once; nothing is paired. Windows run per tile of positions, and a tile
     takes the nearest target of the tiles before and after it from a table of one row a tile."""
-    tile = 1 << 20
-    at = lambda c: F.floor(F.col(c) / tile).cast("long")
-    known = targets.select(F.col(key).alias(key), F.col(target_pos).alias("_t")).distinct()
-    both = points.select(F.col(key), F.col(pos).alias("_p"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(known.schema["_t"].dataType).alias("_t"))
-    both = both.unionByName(known.select(key, F.col("_t").alias("_p"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), "_t")).withColumn("_tile", at("_p"))
+    whole = F.col(key).isNotNull() & F.col(pos).isNotNull()
+    rows = points.select(F.col(key), F.col(pos).alias("_p"), _row(points).alias("_row"), tile_of(F.col(pos), tile, whole).alias("_tile"))
+    known = targets.select(F.col(key), F.col(target_pos).alias("_t")).dropna().distinct().withColumn("_p", F.col("_t"))
+    both = rows.unionByName(known.withColumn("_tile", F.floor(F.col("_p") / tile).cast("long")), allowMissingColumns=True)
     per = both.groupBy(key, "_tile").agg(F.min("_t").alias("_min"), F.max("_t").alias("_max"))
     earlier = Window.partitionBy(key).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(key).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,7 +84,8 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, pos: str, target_po
     upward = Window.partitionBy(key, "_tile").orderBy("_p").rangeBetween(Window.unboundedPreceding, 0)
     downward = Window.partitionBy(key, "_tile").orderBy(F.desc("_p")).rangeBetween(Window.unboundedPreceding, -1)
     before, after = F.last("_t", ignorenulls=True).over(upward), F.last("_t", ignorenulls=True).over(downward)
-    out = both.join(outer, [key, "_tile"]).withColumns({"before": F.coalesce(before, "_low"), "after": F.coalesce(after, "_high")})
+    some = lambda c: F.when(F.col(key).isNotNull() & F.col("_p").isNotNull(), c)
+    out = null_safe(both, outer, [key, "_tile"]).withColumns({"before": some(F.coalesce(before, "_low")), "after": some(F.coalesce(after, "_high"))})
     return out.filter("_row IS NOT NULL").select("_row.*", "before", "after")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import null_safe, tile_of
+
 TILE = 1 << 16
 
 
@@ -13,8 +15,8 @@ def islands(rows: DataFrame, keys: list[str], pos: str, max_step: int, out: str
     ``max_step`` further.
 
     Starts are found per tile of positions; only each tile's first and last position and its last start go on to
-    the next one, so a key's positions need not fit one task."""
-    rows = rows.withColumn("_tile", F.floor(F.col(pos) / tile).cast("long"))
+    the next one, so a key's positions need not fit one task. Null keys are a key; rows without a position are in no run."""
+    rows = rows.withColumn("_tile", tile_of(F.col(pos), tile) if rows.schema[pos].nullable else F.floor(F.col(pos) / tile).cast("long"))
     order = Window.partitionBy(*keys, "_tile").orderBy(pos)
     opens = F.coalesce(F.col(pos) - F.lag(pos).over(order) > max_step, F.lit(False))
     local = rows.withColumn("_open", F.when(opens, F.col(pos)))
@@ -25,7 +27,7 @@ def islands(rows: DataFrame, keys: list[str], pos: str, max_step: int, out: str
     per = per.withColumn("_fresh", F.when(fresh, F.col("_first")))
     earlier = F.max(F.greatest("_fresh", "_inner")).over(tiles.rowsBetween(Window.unboundedPreceding, -1))
     per = per.withColumn("_carry", F.coalesce("_fresh", earlier)).select(*keys, "_tile", "_carry")
-    return local.join(per, [*keys, "_tile"]).withColumn(out, F.coalesce("_start", "_carry")).drop("_tile", "_open", "_start", "_carry")
+    return null_safe(local, per, [*keys, "_tile"]).withColumn(out, F.coalesce("_start", "_carry")).drop("_tile", "_open", "_start", "_carry")
 
 
 def blocks(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
@@ -98,18 +100,19 @@ def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end:
     """Merges intervals of a key that overlap by more than the touching point: (keys, start, end, n, first columns).
 
     first: columns taken from the earliest interval (by start, end, then ``tie``). Tiles of positions pass on how
-    far their intervals reach and their last opening, so a key's intervals need not fit one task."""
+    far their intervals reach and their last opening, so a key's intervals need not fit one task. Null keys are a key;
+    intervals without a start or an end are left out."""
     first, tie = first or [], tie or []
-    rows = rows.withColumn("_tile", F.floor(F.col(start) / tile).cast("long"))
+    rows = rows.dropna(subset=[start, end]).withColumn("_tile", F.floor(F.col(start) / tile).cast("long"))
     tiles = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     ends = rows.groupBy(*keys, "_tile").agg(F.max(end).alias("_end")).withColumn("_reach", F.max("_end").over(tiles)).drop("_end")
     order = Window.partitionBy(*keys, "_tile").orderBy(start, end, *tie)
     reach = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
     head = F.struct(F.col(start), F.col(end), *tie)
-    marked = rows.join(ends, [*keys, "_tile"]).withColumn("_open", F.when(F.coalesce(reach <= F.col(start), F.lit(True)), head))
+    marked = null_safe(rows, ends, [*keys, "_tile"]).withColumn("_open", F.when(F.coalesce(reach <= F.col(start), F.lit(True)), head))
     marked = marked.withColumn("_island", F.max("_open").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     opened = marked.groupBy(*keys, "_tile").agg(F.max("_open").alias("_o")).withColumn("_carry", F.max("_o").over(tiles)).drop("_o")
-    marked = marked.join(opened, [*keys, "_tile"]).withColumn("_island", F.coalesce("_island", "_carry"))
+    marked = null_safe(marked, opened, [*keys, "_tile"]).withColumn("_island", F.coalesce("_island", "_carry"))
     earliest = F.struct(F.col(start), F.col(end), *tie, *[c for c in first if c not in tie])
     out = marked.groupBy(*keys, "_island").agg(F.min(start).alias("_s"), F.max(end).alias("_e"), F.count("*").alias("n"), F.min(earliest).alias("_head"))
     return out.select(*keys, F.col("_s").alias(start), F.col("_e").alias(end), "n", *[F.col(f"_head.{c}").alias(c) for c in first])

@@ -24,8 +24,9 @@ def _change(pos: Column, cov=0, ends=0, wps=0) -> Column:
 def changes(fragments: DataFrame, protection: int = 120, ends: Column | None = None) -> DataFrame:
     """(chrom, pos, cov, ends, wps): changes of coverage and score, and fragment ends, per position.
 
-    fragments: chrom, s, e. ends: array of the ends of a row that count (default both)."""
-    p = protection // 2
+    fragments: chrom, s, e; those without one of them give no signal. ends: array of the ends of a row that count
+    (default both)."""
+    p, fragments = protection // 2, fragments.dropna(subset=["chrom", "s", "e"])
     s, e = F.col("s"), F.col("e")
     counted = ends if ends is not None else F.array(s, e)
     steps = F.array(_change(s, cov=1), _change(e + 1, cov=-1), _change(s - p + 1, wps=-1), _change(e + p, wps=1))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.plans.relations import HI, cte, relation
 from tidemark.plans.shared import folder
-from tidemark.streaming import streams
+from tidemark.plans.signals import _peaks_sql, the_track
+from tidemark.streaming import collapse, peaks, streams
 
 
 def _events(spark, sf_dir):
@@ -62,11 +64,57 @@ def op_stream_paired(spark, sf_dir):
     return _run(streams.paired(first, second, ["user_id"], "ts", "30 minutes")).select("event_id_1", "event_id_2", "user_id")
 
 
-@query()
-def op_stream_peaks(spark, sf_dir):
-    """The peak caller on a stream of the track; ``tests`` hold it against the batch operator."""
-    from tidemark.plans.signals import the_track
+def _in_batches(rows, at: str, step: int, last: int, end) -> None:
+    """rows as files of ``step`` positions each, in order, and a file of end marks: as many micro-batches."""
+    for first in range(0, last + 1, step):
+        rows.filter(F.col("pos").between(first, first + step - 1)).coalesce(1).write.mode("append").parquet(at)
+    end.coalesce(1).write.mode("append").parquet(at)
+
 
+@query(_peaks_sql(False))
+def op_stream_peaks(spark, sf_dir):
+    """The peak caller on a stream of the track in nine micro-batches, to the end of input."""
     at, track = folder(spark, "track"), the_track(spark, sf_dir).select("chrom", "pos", "wps")
-    track.write.parquet(at)
-    return _run(streams.peaks(spark.readStream.schema(track.schema).parquet(at), "chrom", "pos", "wps"))
+    track.write.parquet(f"{at}/whole")
+    rows = spark.read.parquet(f"{at}/whole")
+    _in_batches(rows, f"{at}/parts", 2600, HI, peaks.end_marks(rows, "chrom", rows.schema))
+    stream = streams.follow(spark, f"{at}/parts", "*.parquet", rows.schema, 1)
+    return _run(peaks.peaks(stream, "chrom", "pos", "wps"))
+
+
+MATED = cte("reads") + """,
+both_ AS (SELECT rid, grp, paired, reverse, ref_len, unmapped, mate_unmapped, qcfail, cigar, chrom, pos, qname, true AS is_read1 FROM b UNION ALL
+  SELECT rid + 1000000000, grp, true, NOT reverse, ref_len, unmapped, mate_unmapped, qcfail, cigar, chrom, pos + isize, qname, false FROM b WHERE paired AND rid % 31 > 0)"""
+SINGLE = [
+    "rid", "CASE WHEN qid % 5 = 0 THEN 'U' || qid % 3 ELSE 'L' || qid % 2 END AS grp", "(flag & 1) <> 0 AS paired", "(flag & 16) <> 0 AS reverse", "qlen AS ref_len", "(flag & 4) <> 0 AS unmapped", "rid % 17 = 0 AS mate_unmapped",
+    "(flag & 512) <> 0 AS qcfail", "CAST(qlen AS VARCHAR(9)) || CASE WHEN rid % 4 = 0 THEN 'M2D' ELSE 'M' END AS cigar", "chrom", "pos - pos % 40 AS pos", "isize - isize % 40 AS isize", "qname",
+]
+
+
+def _mated(spark, sf_dir):
+    rows = relation(spark, sf_dir, "reads").selectExpr(*SINGLE)
+    second = rows.filter("paired AND rid % 31 > 0").withColumns({"rid": F.col("rid") + 1000000000, "reverse": ~F.col("reverse"), "pos": F.col("pos") + F.col("isize"), "is_read1": F.lit(False)})
+    return rows.withColumn("is_read1", F.lit(True)).unionByName(second).drop("isize").withColumn("quality", F.lit(1))
+
+
+@query(MATED.replace("both_ AS (", f"b AS (SELECT {', '.join(SINGLE)} FROM reads),\nboth_ AS (") + """,
+ok AS (SELECT *, pos + CASE WHEN reverse THEN ref_len ELSE 0 END AS outer_ FROM both_ WHERE NOT qcfail),
+m AS (SELECT * FROM ok WHERE NOT unmapped AND NOT (paired AND mate_unmapped)),
+p AS (SELECT a.grp, a.qname, a.chrom, b.chrom AS chrom2, a.outer_ AS pos, b.outer_ AS pos2, least(a.rid, b.rid) AS rid, a.cigar || '|' || b.cigar AS cigar
+  FROM m a JOIN m b ON a.grp = b.grp AND a.qname = b.qname AND a.chrom = b.chrom WHERE a.paired AND b.paired AND a.is_read1 AND NOT b.is_read1 AND abs(a.outer_ - b.outer_) <= 600),
+pb AS (SELECT grp, chrom, chrom2, pos, pos2, arg_max(cigar, (n, -length(cigar), cigar)) AS cigar FROM (SELECT grp, chrom, chrom2, pos, pos2, cigar, count(*) AS n FROM p GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT *, pos AS spot FROM m WHERE NOT paired),
+sb AS (SELECT grp, chrom, reverse, spot, ref_len, arg_max(cigar, (n, -length(cigar), cigar)) AS cigar FROM (SELECT grp, chrom, reverse, spot, ref_len, cigar, count(*) AS n FROM s GROUP BY ALL) GROUP BY ALL)
+SELECT 'pair' AS kind, grp, chrom, chrom2, pos, pos2, arg_min(qname, (rid, qname)) AS qname, count(*) AS xp FROM p JOIN pb USING (grp, chrom, chrom2, pos, pos2, cigar) GROUP BY grp, chrom, chrom2, pos, pos2
+UNION ALL SELECT 'single', grp, chrom, NULL, spot, NULL, arg_min(qname, (rid, qname)), count(*) FROM s JOIN sb USING (grp, chrom, reverse, spot, ref_len, cigar) GROUP BY grp, chrom, reverse, spot, ref_len
+UNION ALL SELECT 'kept', grp, chrom, NULL, pos, NULL, qname, 1 FROM ok WHERE unmapped OR paired AND mate_unmapped""")
+def op_stream_collapse(spark, sf_dir):
+    """Duplicates collapsed on a stream of reads in order of position, a contig a micro-batch, to the end of input."""
+    at = folder(spark, "reads")
+    _mated(spark, sf_dir).write.parquet(f"{at}/whole")
+    rows = spark.read.parquet(f"{at}/whole")
+    for k in range(1, 8):  # a contig after the other
+        rows.filter(F.col("chrom") == k).coalesce(1).sortWithinPartitions("pos").write.mode("append").parquet(f"{at}/parts")
+    collapse.end_marks(spark, rows.schema, 1).coalesce(1).write.mode("append").parquet(f"{at}/parts")
+    stream = streams.follow(spark, f"{at}/parts", "*.parquet", rows.schema, 1)
+    return _run(collapse.collapse(stream, F.col("chrom") * 1_000_000, 600, keep=True))

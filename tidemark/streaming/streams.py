@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.streaming.medians import CentredMedian
+
 
 def binned(stream: DataFrame, ts: str, keys: list[str], size: str, slide: str | None, lateness: str, *measures: Column) -> DataFrame:
     """(start, keys, measures) of tumbling or sliding windows."""
@@ -46,20 +48,6 @@ def paired(first: DataFrame, second: DataFrame, keys: list[str], ts: str, latene
     return a.join(b, [*same, close]).select(*[F.col(f"a.{k}").alias(k) for k in keys], *[F.col(f"{side}.{c}").alias(f"{c}_{n}") for side, n in (("a", 1), ("b", 2)) for c in rest])
 
 
-def _frames(at: list, held: list, seen: int, rows: pd.DataFrame, pos: str, value: str, size: int) -> tuple[list, tuple]:
-    """The rows (pos, value, median) whose frames the new rows complete, and the window's next state."""
-    half = size // 2
-    where, values = [*at, *rows[pos].tolist()], [*held, *rows[value].astype(float).tolist()]
-    ready = []
-    for end in range(max(size, len(at) + 1), len(where) + 1):
-        middle = float(np.median(values[end - size : end]))
-        centre = end - size + half
-        first = seen + end == size  # the stream's first frame serves all rows up to its centre
-        ready += [(where[k], values[k], middle) for k in (range(0 if first else centre, centre + 1))]
-    drop = max(0, len(where) - size)
-    return ready, (where[drop:], values[drop:], seen + drop)
-
-
 def running_median(stream: DataFrame, key: str, pos: str, value: str, size: int) -> DataFrame:
     """(key, pos, value, median): the centred median of ``size`` rows, given out half a frame late. State is the last
     ``size`` rows of a key; rows must come in order. A frame at the stream's start is held inside it."""
@@ -67,12 +55,13 @@ def running_median(stream: DataFrame, key: str, pos: str, value: str, size: int)
     out = f"{key} {fields[key]}, {pos} long, {value} double, median double"
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, held, seen = state.get if state.exists else ([], [], 0)
-        ready, after = _frames(at, held, seen, pd.concat(list(batches)).sort_values(pos), pos, value, size)
-        state.update(after)
+        window = CentredMedian(size, state.get if state.exists else None)
+        rows = pd.concat(list(batches)).sort_values(pos)
+        ready = [r for p, v in zip(rows[pos].tolist(), rows[value].astype(float).tolist(), strict=True) for r in window.push(p, v)]
+        state.update(window.state)
         yield pd.DataFrame({key: group[0], pos: [r[0] for r in ready], value: [r[1] for r in ready], "median": [r[2] for r in ready]})
 
-    return stream.select(key, pos, value).groupBy(key).applyInPandasWithState(step, out, "at array<long>, held array<double>, seen long", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, pos, value).groupBy(key).applyInPandasWithState(step, out, "at array<long>, held array<double>, slid boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_peaks(run: list[int], values: list[float], shortest: int, longest: int, cutoff: float) -> list[tuple]:
@@ -90,33 +79,6 @@ def run_peaks(run: list[int], values: list[float], shortest: int, longest: int,
     return [(run[0] + a, run[0] + b, run[0] + a + int((b - a) * 0.5 + 0.5), top) for _, a, b, top in chosen if top > cutoff]
 
 
-def peaks(stream: DataFrame, key: str, pos: str, value: str, size: int = 1000, shortest: int = 50, longest: int = 150, cutoff: float = 5, max_gap: int = 4) -> DataFrame:
-    """(key, start, end, mid, score): peaks of the track less its running median, as their runs end. State is the median's
-    window and the open run, of which no more than 3 * longest positions can become a peak. What the window has not
-    reached and the last open run come with the rows that follow them; positions must come in order, without gaps."""
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema}
-    held_as = "at array<long>, held array<double>, seen long, run array<long>, above array<double>"
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, held, seen, run, above = state.get if state.exists else ([], [], 0, [], [])
-        run, above, out = list(run), list(above), []
-        ready, after = _frames(at, held, seen, pd.concat(list(batches)).sort_values(pos), pos, value, size)
-        for place, v, middle in ready:
-            if run and place - run[-1] > max_gap + 1:
-                out += run_peaks(run, above, shortest, longest, cutoff)
-                run, above = [], []
-            if v - middle > 0:
-                if len(run) > 3 * longest:  # too long for a peak already: its first and last place say so
-                    run, above = [run[0]], above[:1]
-                run.append(place)
-                above.append(v - middle)
-        state.update((*after, run, above))
-        yield pd.DataFrame({key: group[0], **{c: [r[k] for r in out] for k, c in enumerate(("start", "end", "mid", "score"))}})
-
-    schema = f"{key} {fields[key]}, start long, end long, mid long, score double"
-    return stream.select(key, pos, value).groupBy(key).applyInPandasWithState(step, schema, held_as, "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there, into Parquet below path, and reads that. path and checkpoint lie in a
     folder that all executors share."""
