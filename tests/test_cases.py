@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import intervals, reads
-from tidemark.operators import annotation, duplicates, joins, overlay, segment, sequence, signal, simulate, spectral, stats, windows
+from tidemark.operators import annotation, duplicates, joins, overlay, recurrence, segment, sequence, signal, simulate, spectral, stats, windows
 
 FRAGMENTS = [("1", 100, 260), ("1", 150, 270), ("1", 300, 420), ("1", 300, 419)]
 
@@ -183,7 +183,15 @@ def test_spectrum_grid():
 
 def test_recursive_filter():
     x, w = [1.0, 0.0, 0.0, 2.0], [0.5, 0.25]
-    assert windows.recursive_filter(x, w).tolist() == [1.0, 0.5, 0.5, 2.375]
+    assert recurrence.recursive_filter(x, w).tolist() == [1.0, 0.5, 0.5, 2.375]
+    many, weights = np.random.default_rng(3).normal(size=(3, 500)), spectral.FILTER
+    for tile in (24, 31, 128, 700):
+        got = recurrence.recursive_filter(many, weights, tile)
+        for row, y in zip(many, got, strict=True):
+            slow = []
+            for v in row:
+                slow.append(v + sum(a * b for a, b in zip(weights, reversed(slow), strict=False)))
+            assert y == pytest.approx(slow, rel=1e-12, abs=1e-12)
 
 
 def test_consensus_and_settle(spark):

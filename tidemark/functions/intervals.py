@@ -50,6 +50,22 @@ def cluster_label(cluster: Column, number: Column) -> Column:
     return F.substring(cluster, F.length(number) + 3, F.length(cluster))
 
 
+#: What the names of the published call sets end in.
+CALL_SET_ENDINGS = (".hg19.hotspot.twopass.fdr0.05.merge.intervals.txt", "hotspot.twopass.fdr0.05.merge.intervals.txt")
+
+
+def call_set_label(name: Column) -> Column:
+    """The name of a call set without its ending and without dots."""
+    for ending in (*CALL_SET_ENDINGS, "."):
+        name = F.replace(name, F.lit(ending), F.lit(""))
+    return name
+
+
+def period_label(name: Column) -> Column:
+    """A column name that is a number, without the first X that was put before it."""
+    return F.regexp_replace(name, "^([^X]*)X", "$1")
+
+
 def file_name(name: Column) -> Column:
     return F.replace(F.replace(name, F.lit("/"), F.lit("-")), F.lit("::"), F.lit("-"))
 

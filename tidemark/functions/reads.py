@@ -118,3 +118,9 @@ def wiggle(start: Column, length: Column, first: Column, second: Column, reach:
 def library_group(read_group: Column, known: Column | None = None, umi: Column | None = None) -> Column:
     """What duplicates must share: the UMI if there is one, else the library, else the read group."""
     return F.coalesce(*[c for c in (umi, known) if c is not None], read_group)
+
+
+def fragment_strand(flags: Column) -> Column:
+    """Strand of a fragment: that of its first read, seen from either read of a pair."""
+    of_first = F.when(flag(flags, "read2"), flag(flags, "mate_reverse")).otherwise(flag(flags, "reverse"))
+    return F.when(of_first, F.lit("-")).otherwise(F.lit("+"))

@@ -61,7 +61,8 @@ def consensus(rows: DataFrame, keys: list[str], seq: str, qual: str) -> DataFram
     rows = rows.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
     q = F.when(F.col("q") == 0, F.lit(-0.1)).otherwise(F.col("q") / F.lit(-10.0))
     other = F.log10(1 - F.pow(F.lit(10.0), q)) - F.log10(F.lit(3.0))
-    sums = [F.sum(F.when(F.col("base") == "N", F.lit(0.0)).when(F.col("base") == b, q).otherwise(other)).alias(f"_{b}") for b in "ACGT"]
+    # Rounded, so that bases with equal evidence tie whatever the order of summation; the first by letter is called then.
+    sums = [F.round(F.sum(F.when(F.col("base") == "N", F.lit(0.0)).when(F.col("base") == b, q).otherwise(other)), 10).alias(f"_{b}") for b in "ACGT"]
     per = rows.groupBy(*keys, "at").agg(*sums, F.count_if(F.col("base") != "N").alias("_known"), F.count("*").alias("reads"), F.min("q").alias("_worst"), F.min("base").alias("_only"), F.min("q").alias("_q"))
     total = F.log10(F.greatest(F.lit(1e-9), sum((F.pow(F.lit(10.0), F.col(f"_{b}")) for b in "ACGT"), F.lit(0.0))))
     best = F.array_min(F.array(*[F.struct((F.col(f"_{b}") - total).alias("v"), F.lit(b).alias("b")) for b in "ACGT"]))

@@ -28,30 +28,36 @@ def changes(fragments: DataFrame, protection: int = 120, ends: Column | None = N
     (default both)."""
     p, fragments = protection // 2, fragments.dropna(subset=["chrom", "s", "e"])
     s, e = F.col("s"), F.col("e")
-    counted = ends if ends is not None else F.array(s, e)
-    steps = F.array(_change(s, cov=1), _change(e + 1, cov=-1), _change(s - p + 1, wps=-1), _change(e + p, wps=1))
+    both = 1 if ends is None else 0
+    steps = [_change(s, cov=1, ends=both), _change(e + 1, cov=-1), _change(s - p + 1, wps=-1), _change(e + p, wps=1)] + ([_change(e, ends=1)] if ends is None else [])
     inner = F.when(e - s >= 2 * p, F.array(_change(s + p, wps=2), _change(e - p + 1, wps=-2))).otherwise(F.array().cast("array<struct<pos:bigint,cov:bigint,ends:bigint,wps:bigint>>"))
-    marks = F.transform(counted, lambda x: _change(x, ends=1))
-    after = F.transform(counted, lambda x: _change(x + 1))
-    rows = fragments.select("chrom", F.explode(F.concat(steps, inner, marks, after)).alias("c")).select("chrom", "c.*")
+    marks = [] if ends is None else [F.transform(ends, lambda x: _change(x, ends=1))]
+    rows = fragments.select("chrom", F.explode(F.concat(F.array(*steps), inner, *marks)).alias("c")).select("chrom", "c.*")
     return rows.groupBy("chrom", "pos").agg(*[F.sum(c).alias(c) for c in ("cov", "ends", "wps")])
 
 
-def steps(summed: DataFrame, tile: int = TILE) -> DataFrame:
-    """(chrom, pos, until, cov, ends, wps): runs of positions with constant values; ``ends`` counts at pos only."""
-    summed = summed.withColumn("tile", F.floor(F.col("pos") / tile).cast("long"))
-    per = summed.groupBy("chrom", "tile").agg(F.sum("cov").alias("tcov"), F.sum("wps").alias("twps"), F.max("pos").alias("last"))
-    earlier = Window.partitionBy("chrom").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select("chrom", "tile", *[F.coalesce(F.sum(f"t{c}").over(earlier), F.lit(0)).alias(f"c{c}") for c in ("cov", "wps")], F.lead("tile").over(Window.partitionBy("chrom").orderBy("tile")).alias("next_tile"))
+def steps(summed: DataFrame, tile: int = TILE, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """(chrom, pos, until, cov, ends, wps): runs of positions with constant values; ``ends`` counts at pos only. With lo and
+    hi, runs of zeros reach from lo to a contig's first change and from its last one to hi.
+
+    Changes, one row a position by now, are dealt by tile once, for the tiles' sums and for the running sums in them."""
+    rows = summed.withColumn("tile", F.floor(F.col("pos") / tile).cast("long")).repartition("chrom", "tile")
+    contig = Window.partitionBy("chrom").orderBy("tile")
+    earlier = contig.rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("chrom", "tile").agg(F.sum("cov").alias("cov"), F.sum("wps").alias("wps"), F.sum("ends").alias("ends"), F.min("pos").alias("first"))
+    carry = per.select(
+        "chrom", "tile", F.coalesce(F.sum("cov").over(earlier), F.lit(0)).alias("ccov"), F.coalesce(F.sum("wps").over(earlier), F.lit(0)).alias("cwps"),
+        F.lead("first").over(contig).alias("next"), F.when(F.lag("tile").over(contig).isNull(), F.col("first")).alias("begin"),
+    )
     order = Window.partitionBy("chrom", "tile").orderBy("pos")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    firsts = summed.groupBy("chrom", "tile").agg(F.min("pos").alias("first_pos")).withColumnRenamed("tile", "next_tile")
-    carry = carry.join(firsts, ["chrom", "next_tile"], "left").select("chrom", "tile", "ccov", "cwps", "first_pos")
-    rows = summed.join(carry, ["chrom", "tile"])
-    return rows.select(
-        "chrom", "pos", (F.coalesce(F.lead("pos").over(order), F.col("first_pos")) - 1).alias("until"),
-        (F.col("ccov") + F.sum("cov").over(running)).alias("cov"), "ends", (F.col("cwps") + F.sum("wps").over(running)).alias("wps"),
-    ).filter("until IS NOT NULL")
+    until = F.coalesce(F.lead("pos").over(order) - 1, F.col("next") - 1, F.lit(hi).cast("long"))
+    zero = F.lit(0).cast("long")
+    out = rows.join(carry, ["chrom", "tile"]).select("chrom", "pos", until.alias("until"), (F.col("ccov") + F.sum("cov").over(running)).alias("cov"), "ends", (F.col("cwps") + F.sum("wps").over(running)).alias("wps"))
+    if lo is not None:
+        before = carry.filter(F.col("begin") > lo).select("chrom", F.lit(lo).cast("long").alias("pos"), (F.col("begin") - 1).alias("until"), zero.alias("cov"), zero.alias("ends"), zero.alias("wps"))
+        out = out.unionByName(before)
+    return out.filter("until IS NOT NULL")
 
 
 def dense(stepped: DataFrame, lo: int | None = None, hi: int | None = None) -> DataFrame:
@@ -70,9 +76,7 @@ def track(fragments: DataFrame, protection: int = 120, lo: int | None = None, hi
 
 def full_track(fragments: DataFrame, lo: int, hi: int, protection: int = 120, tile: int = TILE) -> DataFrame:
     """track with zeros to both ends of [lo, hi], for every contig that has a fragment."""
-    edges = fragments.select("chrom").distinct().select("chrom", F.explode(F.array(*[_change(F.lit(x)) for x in (lo, hi + 1)])).alias("c")).select("chrom", "c.*")
-    summed = changes(fragments, protection).unionByName(edges).groupBy("chrom", "pos").agg(*[F.sum(c).alias(c) for c in ("cov", "ends", "wps")])
-    return dense(steps(summed, tile), lo, hi)
+    return dense(steps(changes(fragments, protection), tile, lo, hi), lo, hi)
 
 
 def score_literal(fragments: DataFrame, positions: DataFrame, protection: int = 120, bin_size: int = 1024) -> DataFrame:

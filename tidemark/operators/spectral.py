@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.windows import recursive_filter
+from tidemark.operators.recurrence import recursive_filter
 
 FILTER = [1 / k for k in range(5, 101, 4)]
 
@@ -27,11 +27,12 @@ def smooth_length(n: int) -> int:
 
 
 def prefilter(values: np.ndarray, repeat: int = 300, trim: float = 0.1) -> np.ndarray:
-    """Recursive filter, warmed up by the first ``repeat`` values, less its trimmed mean."""
-    head = values[:repeat]
-    y = recursive_filter(np.concatenate([head, values]), FILTER)[len(head) :]
-    cut = int(len(y) * trim)
-    return y - np.sort(y)[cut : len(y) - cut].mean()
+    """Recursive filter along the last axis, warmed up by the first ``repeat`` values, less its trimmed mean."""
+    head = values[..., :repeat]
+    y = recursive_filter(np.concatenate([head, values], -1), FILTER)[..., head.shape[-1] :]
+    n = y.shape[-1]
+    cut = int(n * trim)
+    return y - np.sort(y, -1)[..., cut : n - cut].mean(-1, keepdims=True)
 
 
 def taper(n: int, share: float) -> np.ndarray:
@@ -42,18 +43,18 @@ def taper(n: int, share: float) -> np.ndarray:
 
 
 def periodogram(values: np.ndarray, pad: float = 0.3, share: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and smoothed spectrum: linear trend removed, tapered, padded, raw periodogram with the value at
-    zero frequency from its neighbours, three-point Daniell weights (1/4, 1/2, 1/4), scaled by the taper's power."""
-    n = len(values)
+    """Frequencies and smoothed spectrum along the last axis: linear trend removed, tapered, padded, raw periodogram with the
+    value at zero frequency from its neighbours, three-point Daniell weights (1/4, 1/2, 1/4), scaled by the taper's power."""
+    n = values.shape[-1]
     t = np.arange(n) - (n - 1) / 2
-    x = values - values.mean() - (values @ t) / (t @ t) * t
+    x = values - values.mean(-1, keepdims=True) - (values @ t / (t @ t))[..., None] * t
     x = x * taper(n, share)
     size = smooth_length(int(n * (1 + pad)))
     power = np.abs(np.fft.fft(x, size)) ** 2 / n
-    power[0] = 0.5 * (power[1] + power[-1])
-    flat = 0.25 * np.roll(power, 1) + 0.5 * power + 0.25 * np.roll(power, -1)
+    power[..., 0] = 0.5 * (power[..., 1] + power[..., -1])
+    flat = 0.25 * np.roll(power, 1, -1) + 0.5 * power + 0.25 * np.roll(power, -1, -1)
     keep = np.arange(1, size // 2 + 1)
-    return keep / size, flat[keep] / (1 - 5 / 8 * share * 2)
+    return keep / size, flat[..., keep] / (1 - 5 / 8 * share * 2)
 
 
 def spectra(rows: DataFrame, key: str, order: str, values: list[str], lo: float = 120, hi: float = 280, least: int = 600) -> DataFrame:
@@ -66,12 +67,9 @@ def spectra(rows: DataFrame, key: str, order: str, values: list[str], lo: float
         if len(pdf) < least:
             return pd.DataFrame({c: [] for c in (key, "freq", *values)})
         pdf = pdf.sort_values(order)
-        out = {}
-        for v in values:
-            freq, power = periodogram(prefilter(pdf[v].to_numpy(float)))
-            inside = (1 / freq >= lo) & (1 / freq <= hi)
-            out[v] = power[inside]
-        return pd.DataFrame({key: pdf[key].iloc[0], "freq": np.round(1 / freq[inside]).astype(int), **out})
+        freq, power = periodogram(prefilter(pdf[values].to_numpy(float).T))
+        inside = (1 / freq >= lo) & (1 / freq <= hi)
+        return pd.DataFrame({key: pdf[key].iloc[0], "freq": np.round(1 / freq[inside]).astype(int), **dict(zip(values, power[:, inside], strict=True))})
 
     return rows.select(key, order, *values).groupBy(key).applyInPandas(one, schema)
 

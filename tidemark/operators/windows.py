@@ -158,12 +158,3 @@ def average_rank(rows: DataFrame, value: str, keys: list[str], out: str = "avg_r
 def lag_distance(rows: DataFrame, keys: list[str], pos: str, out: str = "distance") -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(pos)
     return rows.withColumn(out, F.col(pos) - F.lag(pos).over(order))
-
-
-def recursive_filter(values: Iterator[float], weights: list[float]) -> np.ndarray:
-    """y[t] = x[t] + sum of weights[j] * y[t - j - 1]. A sequential recurrence, for one series in a task."""
-    x, w = np.asarray(list(values), float), np.asarray(weights)[::-1]
-    y = np.zeros(len(x) + len(w))
-    for t, v in enumerate(x):
-        y[t + len(w)] = v + w @ y[t : t + len(w)]
-    return y[len(w) :]

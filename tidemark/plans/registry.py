@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from tidemark.plans import alignments, files, joining, pairs, reading, segments, sequences, signals, statistics, stored, streams, tables  # noqa: F401
+    from tidemark.plans import alignments, collapsing, files, joining, naming, pairs, reading, segments, sequences, signals, statistics, stored, streams, tables  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,23 +1,5 @@
 """Where queries put what they write."""
 
-from __future__ import annotations
+from tidemark.storage import folder
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one where that is unset in local
-    mode, as in tests."""
-    sc = spark.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, top, True)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+__all__ = ["folder"]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.intervals import per_coverage
-from tidemark.operators import joins, overlay, segment, signal, windows
+from tidemark.functions.intervals import per_coverage, ratio_or_zero
+from tidemark.operators import joins, overlay, segment, signal, spectral, windows
 from tidemark.plans.registry import query
 from tidemark.plans.relations import HI, LO, cte, load, relation, track_cte
 
@@ -235,3 +235,32 @@ def op_overlay_spacing_classes(spark, sf_dir):
     near = joins.nearest_k(relation(spark, sf_dir, "sites").select("site", "chrom", "c"), targets, "chrom", "c", "t", 1, 500)
     per = near.groupBy("site").agg((F.max(F.when(F.col("side") == 1, F.col("target"))) - F.max(F.when(F.col("side") == -1, F.col("target")))).alias("spacing")).filter("spacing IS NOT NULL")
     return per.groupBy(overlay.spacing_class(F.col("spacing")).alias("class")).agg(F.count("*").alias("n"), F.round(F.avg("spacing"), 6).alias("mean"))
+
+
+#: Regions are 1,000 positions wide: padded by a third to 1,300, and on to the next number of factors 2, 3 and 5, 1,350. Periods
+#: of 120 to 280 positions are its frequencies 5 to 11.
+SPECTRA = REGIONS + f""",
+rows_ AS (SELECT r.cid, r.strand, r.chrom, p.pos, coalesce(t.cov, 0) AS cov, coalesce(t.ends, 0) AS ends, coalesce(t.wps, 0) AS wps
+  FROM (SELECT cid, strand, chrom, unnest(range(lo, hi + 1)) AS pos FROM regions) p JOIN regions r ON r.cid = p.cid LEFT JOIN track t ON t.chrom = p.chrom AND t.pos = p.pos),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY CASE WHEN strand = '-' THEN -pos ELSE pos END) AS rank FROM rows_ WHERE cid IN (SELECT cid FROM rows_ GROUP BY cid HAVING sum(cov) > 0)),
+long AS (SELECT cid, 'cov' AS m, rank, cov::DOUBLE AS v FROM ranked UNION ALL SELECT cid, 'starts', rank, CASE WHEN cov = 0 THEN 0 ELSE ends / cov::DOUBLE END FROM ranked UNION ALL SELECT cid, 'wps', rank, wps::DOUBLE FROM ranked),
+lists AS (SELECT cid, m, list(v ORDER BY rank) AS v FROM long GROUP BY ALL),
+filtered AS (
+  SELECT cid, m, list_reduce(list_concat([list_transform(range(24), lambda i: 0::DOUBLE)], list_transform(list_concat(v[1:300], v), lambda x: [x])),
+    lambda a, x: list_append(a, x[1] + list_dot_product(a[len(a) - 23:len(a)], [{', '.join(f"1 / {k}::DOUBLE" for k in range(97, 4, -4))}]))) AS y FROM lists),
+values_ AS (SELECT cid, m, unnest(y[325:1324]) AS y, unnest(range(1000)) AS i FROM filtered),
+trends AS (SELECT cid, m, avg(y) AS mean, regr_slope(y, i) AS slope FROM values_ GROUP BY ALL),
+tapered AS (
+  SELECT cid, m, i, (y - mean - slope * (i - 499.5::DOUBLE)) * CASE WHEN least(i, 999 - i) < 300 THEN 0.5::DOUBLE * (1 - cos(pi() * (2 * least(i, 999 - i) + 1) / 600)) ELSE 1 END AS x FROM values_ JOIN trends USING (cid, m)),
+power AS (
+  SELECT cid, m, k, (pow(sum(x * cos(2 * pi() * k * i / 1350)), 2) + pow(sum(x * sin(2 * pi() * k * i / 1350)), 2)) / 1000 AS p FROM tapered, (SELECT unnest(range(4, 13)) AS k) GROUP BY ALL),
+flat AS (SELECT cid, m, k, (lag(p) OVER w / 4 + p / 2 + lead(p) OVER w / 4) / 0.625::DOUBLE AS s FROM power WINDOW w AS (PARTITION BY cid, m ORDER BY k))"""
+
+
+@query(SPECTRA + """
+SELECT cid, CAST(round(1350 / k::DOUBLE) AS INT) AS freq, """ + ", ".join(f"round(log10(max(s) FILTER (m = '{m}' AND s > 0)), 6) AS log_{m}" for m in ("cov", "starts", "wps")) + " FROM flat WHERE k BETWEEN 5 AND 11 GROUP BY cid, k")
+def op_spectral_spectra(spark, sf_dir):
+    """Spectra of the regions' coverage, ends per coverage and scores, as decimal logarithms to six places."""
+    rows = signal.region_track(the_track(spark, sf_dir), relation(spark, sf_dir, "regions")).withColumn("starts", ratio_or_zero(F.col("ends"), F.col("cov")))
+    found = spectral.spectra(rows, "cid", "rank", ["cov", "starts", "wps"])
+    return found.select("cid", "freq", *[F.round(F.log10(F.when(F.col(c) > 0, F.col(c))), 6).alias(f"log_{c}") for c in ("cov", "starts", "wps")])

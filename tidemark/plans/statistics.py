@@ -122,12 +122,3 @@ def op_spectral_dft(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings").withColumn("p", spectral.dft_power(F.col("embedding"), [4, 8, 16]))
     return rows.select("vec_id", *[F.round(F.col("p")[k], 5).alias(f"p{n}") for k, n in enumerate((4, 8, 16))])
 
-
-@query()
-def op_spectral_spectra(spark, sf_dir):
-    """Spectra of the regions' coverage, ends per coverage and scores."""
-    from tidemark.operators.signal import region_track
-    from tidemark.plans.signals import the_track
-
-    rows = region_track(the_track(spark, sf_dir), relation(spark, sf_dir, "regions")).withColumn("starts", ratio_or_zero(F.col("ends"), F.col("cov")))
-    return spectral.spectra(rows, "cid", "rank", ["cov", "starts", "wps"])
