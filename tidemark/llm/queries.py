@@ -47,7 +47,7 @@ def op6_language_id(spark, sf_dir):
 
 
 def op7_lm_score(spark, sf_dir):
-    scored = lm.score(table(spark, sf_dir, "documents"))
+    scored = lm.score_rows(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
