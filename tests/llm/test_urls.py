@@ -85,3 +85,37 @@ def test_branches_below_the_fourth_segment(spark, above):
     spam = {r["template"] for r in out if "/spam/" in r["path"]}
     news = {r["template"] for r in out if "/news/" in r["path"]}
     assert not spam & news and max(r["purity"] for r in out if "/spam/" in r["path"]) > 0.7
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_deep_random_trees(spark, seed):
+    """Paths of up to ten segments, prefixes of each other among them, against the tree by recursion in SQL."""
+    import random
+
+    import duckdb
+
+    from tidemark.llm.oracles import url_filter
+
+    dice, rows = random.Random(seed), []
+    words = ["news", "spam", "a", "b", "item7", "12", "deadbeef99", "x.html", "9.html"]
+    for k in range(700):
+        host = dice.choice(["h.com", "www.h.com", "other.net"])
+        deep = dice.randrange(0, 11)
+        path = [dice.choice(words[: 2 + dice.randrange(8)]) for _ in range(deep)] if k % 3 else ["top", "same", "long", "way", "down", dice.choice("pq"), "on", dice.choice("rst"), f"{chr(97 + k % 26)}w"][: deep + 1]
+        rows.append((k, f"http://{host}/" + "/".join(path)))
+    rules = [("block", "h.com", "/spam/"), ("allow", "h.com", "/news/"), ("block", "other.net", "/top/same/long/way/down/p"), ("allow", "other.net", "/top/same/long/way/down/q"), ("block", "h.com", "/a/b")]
+    got = urls.judge_urls(spark.createDataFrame(rows, SCHEMA), rules, fanout=5, min_labels=2).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    ranked = [(h, p, action) for action, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))]
+    want = con.execute(url_filter(fanout=5, min_labels=2, rules=ranked)).fetchall()
+    mine = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["template"], round(r["purity"], 6)) for r in got)
+    assert mine == sorted(want) and max(r[5].count("/") for r in want) > 7
+
+
+def test_a_trap_of_many_levels(spark):
+    """Looping paths, each a prefix of the next: finished ones stay behind."""
+    rows = [(k, "http://trap.com/" + "a/b/" * k) for k in range(1, 13)] + [(100 + k, f"http://h.com/en/{k}") for k in range(300)]
+    got = urls.judge_urls(spark.createDataFrame(rows, SCHEMA), URL_RULES).collect()
+    assert len(got) == 312 and {r["verdict"] for r in got if r["host"] == "trap.com"} <= {"allow", "block"}

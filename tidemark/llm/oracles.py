@@ -105,36 +105,44 @@ r{k + 1} AS (SELECT doc_id, source, size, source_size, target, copies, CASE WHEN
     return out + f"\nSELECT doc_id, source, size, source_size, target, copies + extra AS copies, CAST((copies + extra) * size AS BIGINT) AS taken FROM r{rounds}"
 
 
-def url_filter(depth: int = 4, fanout: int = 20, min_labels: int = 5, prior_weight: float = 4.0, reject: float = 0.8) -> str:
+def url_filter(depth: int = 4, fanout: int = 20, min_labels: int = 5, prior_weight: float = 4.0, reject: float = 0.8, rules: list[tuple[str, str, str]] | None = None) -> str:
+    """The template tree by recursion, a level a step, down to the deepest path."""
     kind = """CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '{num}' WHEN regexp_matches(x, '^[0-9]+[.][A-Za-z]{1,5}$') THEN '{num}.{ext}'
       WHEN regexp_matches(x, '^[0-9a-f]{8,}$') THEN '{hex}' WHEN regexp_matches(x, '^[0-9A-Za-z_-]*[0-9][0-9A-Za-z_-]*$') THEN '{id}' ELSE x END"""
-    rules = [("example.com", "/en/7", "allow"), ("example.net", "/de/8", "block"), ("com", "/en/", "block"), ("net", "/de/", "allow"), ("org", "/es/", "block")]
+    rules = rules or [("example.com", "/en/7", "allow"), ("example.net", "/de/8", "block"), ("com", "/en/", "block"), ("net", "/de/", "allow"), ("org", "/es/", "block")]
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, a) for h, p, a in rules]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
-    out = rf"""
-WITH urls AS (
+    z = "blocked / labels - (ab - blocked) / (al - labels)"
+    return rf"""
+WITH RECURSIVE urls AS (
   SELECT page_id, {LOWERED.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 parsed AS (
   SELECT *, {case(1)} AS rule, {case(2)} AS action,
-         list_transform(list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, {depth}), lambda x: {kind}) AS segs FROM urls),
-p0 AS (
-  SELECT host, segs, count(*) AS n, count(action) AS labels, count(*) FILTER (action = 'block') AS blocked, '' AS template FROM parsed GROUP BY host, segs)"""
-    for d in range(1, depth + 1):
-        out += f""",
-b{d} AS (SELECT host, template, segs[{d}] AS seg, sum(n) AS n, sum(labels)::DOUBLE AS labels, sum(blocked)::DOUBLE AS blocked FROM p{d - 1} WHERE len(segs) >= {d} GROUP BY ALL),
-n{d} AS (SELECT host, template, count(*) AS kids, sum(n) AS all_n, sum(labels) AS al, sum(blocked) AS ab FROM b{d} WHERE NOT starts_with(seg, '{{') GROUP BY ALL),
-t{d} AS (SELECT b.host, b.template, seg, CASE WHEN starts_with(seg, '{{') THEN seg WHEN kids > {fanout} AND n * kids <= all_n THEN '{{var}}' WHEN labels = 0 THEN '{{new}}'
-         WHEN al > labels AND (blocked / labels - (ab - blocked) / (al - labels)) * (blocked / labels - (ab - blocked) / (al - labels)) > 4 * (ab / al * (1 - ab / al) * (1 / labels + 1 / (al - labels))) THEN seg
-         ELSE '{{any}}' END AS token FROM b{d} b LEFT JOIN n{d} k ON b.host = k.host AND b.template = k.template),
-p{d} AS (SELECT p.host, p.segs, p.n, p.labels, p.blocked, CASE WHEN token IS NULL THEN p.template ELSE p.template || '/' || token END AS template
-         FROM p{d - 1} p LEFT JOIN t{d} t ON p.host = t.host AND p.template = t.template AND p.segs[{d}] = t.seg)"""
-    return out + f""",
+         list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: {kind}) AS segs FROM urls),
+tree AS (
+  SELECT host, segs, count(*) AS n, count(action) AS labels, count(*) FILTER (action = 'block') AS blocked, '' AS template, segs AS rest, 0 AS level FROM parsed GROUP BY host, segs
+  UNION ALL (
+    WITH here AS (SELECT * FROM tree WHERE len(rest) > 0),
+    branch AS (SELECT host, template, rest[1] AS seg, sum(n) AS n, sum(labels)::DOUBLE AS labels, sum(blocked)::DOUBLE AS blocked FROM here GROUP BY ALL),
+    node AS (SELECT host, template, count(*) AS kids, sum(n) AS all_n, sum(labels) AS al, sum(blocked) AS ab FROM branch WHERE NOT starts_with(seg, '{{') GROUP BY ALL),
+    tokens AS (
+      SELECT b.host, b.template, seg, CASE WHEN starts_with(seg, '{{') THEN seg WHEN kids > {fanout} AND n * kids <= all_n THEN '{{var}}' WHEN labels = 0 THEN '{{new}}'
+        WHEN al > labels AND ({z}) * ({z}) > 4 * (ab / al * (1 - ab / al) * (1 / labels + 1 / (al - labels))) THEN seg ELSE '{{any}}' END AS token
+      FROM branch b LEFT JOIN node k ON b.host = k.host AND b.template = k.template),
+    grown AS (
+      SELECT h.host, h.segs, h.n, h.labels, h.blocked, h.template || '/' || token AS template, list_slice(h.rest, 2, len(h.rest)) AS rest, h.level + 1 AS level
+      FROM here h JOIN tokens t ON h.host = t.host AND h.template = t.template AND h.rest[1] = t.seg),
+    ends AS (SELECT host, template, min(rest) AS a, max(rest) AS z FROM grown GROUP BY ALL),
+    common AS (SELECT host, template, a <> z AS splits, len(list_filter(range(1, least(len(a), len(z)) + 1), lambda i: a[1:i] = z[1:i])) AS same FROM ends)
+    SELECT g.host, segs, n, labels, blocked, g.template, CASE WHEN level < {depth} THEN rest WHEN splits THEN list_slice(rest, same + 1, len(rest)) ELSE [] END AS rest, level
+    FROM grown g JOIN common c ON g.host = c.host AND g.template = c.template)),
+final AS (SELECT host, segs, n, labels, blocked, template FROM tree QUALIFY row_number() OVER (PARTITION BY host, segs ORDER BY level DESC) = 1),
 judged AS (
-  SELECT host, template, sum(labels) AS l, (sum(blocked) + {prior_weight}::DOUBLE * coalesce((SELECT sum(blocked)::DOUBLE / nullif(sum(labels), 0) FROM p{depth}), 0.0)) / (sum(labels) + {prior_weight}::DOUBLE) AS purity
-  FROM p{depth} GROUP BY ALL)
+  SELECT host, template, sum(labels) AS l, (sum(blocked) + {prior_weight}::DOUBLE * coalesce((SELECT sum(blocked)::DOUBLE / nullif(sum(labels), 0) FROM final), 0.0)) / (sum(labels) + {prior_weight}::DOUBLE) AS purity
+  FROM final GROUP BY ALL)
 SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN l >= {min_labels} AND purity >= {reject}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, j.template, round(purity, 6) AS purity
-FROM parsed u JOIN p{depth} p ON u.host = p.host AND u.segs = p.segs JOIN judged j ON p.host = j.host AND p.template = j.template"""
+FROM parsed u JOIN final p ON u.host = p.host AND u.segs = p.segs JOIN judged j ON p.host = j.host AND p.template = j.template"""
 
 
 WORDS_ONLY = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

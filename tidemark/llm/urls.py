@@ -13,7 +13,8 @@ built level by level from counts alone:
 A template is rejected when it has at least ``min_labels`` labels and its share of blocked ones, smoothed by
 ``prior_weight`` labels at the overall share, is at least ``reject``; everything else is allowed. The
 first ``depth`` levels add a token to every path. Below them a node grows only while it holds different paths: what
-its paths still have in common is passed over, and the next segment splits it, down to the deepest path.
+its paths still have in common is passed over, and the next segment splits it, down to the deepest path. A level reads and
+writes only the paths that are still open.
 
 Everything is built from DataFrame functions. URLs are counted per host and generalised path before anything
 is shuffled, so one host with a third of all rows is some rows of counts. Verdicts come back by host and path; a path
@@ -29,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, with_groups, written
+from tidemark.llm.common import LOWER, UPPER, new_path, with_groups, written
 
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 #: Machine-made segments, first match wins; an extension such as .html is kept apart from the number before it.
@@ -63,9 +64,9 @@ def segments(path: Column) -> Column:
 
 
 def _level(paths: DataFrame, fanout: int) -> DataFrame:
-    """paths (host, segs, n, labels, blocked, template, rest) with the template grown by the first segment of ``rest``."""
-    here = paths.filter(F.size("rest") > 0)
-    branch = here.groupBy("host", "template", F.element_at("rest", 1).alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "labels", "blocked")])
+    """paths (host, segs, n, labels, blocked, template, rest) with the template grown by the first segment of ``rest``, which is
+    never empty."""
+    branch = paths.groupBy("host", "template", F.element_at("rest", 1).alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "labels", "blocked")])
     literal = ~F.col("seg").startswith("{")
     node = branch.filter(literal).groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
     both = branch.join(node, ["host", "template"], "left")
@@ -81,8 +82,8 @@ def _level(paths: DataFrame, fanout: int) -> DataFrame:
         .otherwise(F.lit("{any}"))
     )
     tokens = both.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), token.alias("_token"))
-    grown = paths.join(tokens, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.try_element_at("rest", F.lit(1)) == F.col("_s")), "left")
-    return grown.withColumn("template", F.when(F.col("_token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_token"))).withColumn("rest", _after("rest", 1)).drop("_h", "_t", "_s", "_token")
+    grown = paths.join(tokens, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.element_at("rest", 1) == F.col("_s")))
+    return grown.withColumn("template", F.concat("template", F.lit("/"), "_token")).withColumn("rest", _after("rest", 1)).drop("_h", "_t", "_s", "_token")
 
 
 def _after(segs: str, n: int | Column) -> Column:
@@ -103,11 +104,18 @@ def _open(paths: DataFrame) -> DataFrame:
 
 def templates(paths: DataFrame, depth: int, fanout: int, min_labels: int, prior_weight: float, reject: float) -> DataFrame:
     """(host, segs, n, template, purity, rejected) for paths (host, segs, n, labels, blocked)."""
-    paths, at = paths.withColumns({"template": F.lit(""), "rest": F.col("segs")}), 0
-    while at < depth or not paths.filter(F.size("rest") > 0).isEmpty():
+    open_paths, at, done = paths.withColumns({"template": F.lit(""), "rest": F.col("segs")}), 0, new_path(paths.sparkSession, "done")
+    ended = F.size("rest") == 0
+    columns = [*paths.columns, "template"]
+    open_paths.filter(ended).select(columns).write.parquet(done)
+    open_paths = open_paths.filter(~ended)
+    while not open_paths.isEmpty():
         at += 1
-        grown = _level(paths, fanout)
-        paths = written(_open(grown) if at >= depth else grown, f"paths{at}")
+        grown = _level(open_paths, fanout)
+        grown = written(_open(grown) if at >= depth else grown, f"paths{at}")
+        grown.filter(ended).select(columns).write.mode("append").parquet(done)
+        open_paths = grown.filter(~ended)  # only these go on
+    paths = paths.sparkSession.read.schema(open_paths.select(columns).schema).parquet(done)
     per = paths.groupBy("host", "template").agg(F.sum("labels").alias("_labels"), F.sum("blocked").alias("_blocked"))
     total = paths.agg(F.sum("labels").alias("_all"), F.sum("blocked").alias("_all_blocked"))
     prior = F.coalesce(F.try_divide(F.col("_all_blocked"), F.col("_all")), F.lit(0.0))
