@@ -298,3 +298,17 @@ def test_nulls_in_nearest_islands_and_merging(spark):
         spans = spark.createDataFrame([("a", 1, 5), (None, 1, 5), (None, 4, 8), (None, 9, 12), ("a", None, 3)], "chrom string, start long, end long")
         merged = sorted((tuple(r) for r in segment.merge_intervals(spans, ["chrom"], tile=tile).collect()), key=repr)
         assert merged == sorted([("a", 1, 5, 1), (None, 1, 8, 2), (None, 9, 12, 1)], key=repr)
+
+
+def test_native_medians_are_the_sliding_ones(spark):
+    from tidemark.operators import windows
+
+    dice, rows = random.Random(14), []
+    for block, n in (("a", 19), ("b", 20), ("c", 21), ("d", 60), ("e", 333)):
+        rows += [(block, 100 + k, float(dice.randrange(-9, 9)) if n % 2 else dice.random(), k % 7) for k in range(n)]
+    frame = spark.createDataFrame(rows, "block string, pos long, v double, more int")
+    for tile in (7, 50, 1000):
+        got = [sorted(map(tuple, windows.running_median(frame, "v", ["block"], 20, tile=tile, native=native).collect())) for native in (False, True)]
+        assert got[0] == got[1] and len(got[0]) == 19 + 21 + 60 + 333
+        plan = windows.running_median(frame, "v", ["block"], 20, tile=tile, native=True)._jdf.queryExecution().toString()
+        assert "Arrow" not in plan and "Python" not in plan

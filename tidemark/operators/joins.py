@@ -89,17 +89,29 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, pos: str, target_po
     return out.filter("_row IS NOT NULL").select("_row.*", "before", "after")
 
 
-def nearest_k(points: DataFrame, targets: DataFrame, key: str, pos: str, target_pos: str, k: int = 10, reach: int = 5000) -> DataFrame:
+def nearest_k(points: DataFrame, targets: DataFrame, key: str, pos: str, target_pos: str, k: int = 10, reach: int = 5000, tile: int = 1 << 20) -> DataFrame:
     """For each point the k targets on either side within ``reach``: point columns, side (-1, 1), rank, target, and
-    ``spacing`` to the next target outward. Targets are ranked once for each place that has points."""
-    places = points.select(key, pos).distinct()
-    spans = places.withColumns({"_lo": F.col(pos) - reach, "_hi": F.col(pos) + reach})
-    hits = targets.select(F.col(key), F.col(target_pos).alias("target"), F.col(target_pos).alias("_t2"))
-    near = range_join(spans, hits, key, ("_lo", "_hi"), ("target", "_t2"), 2 * reach).drop("_lo", "_hi", "_t2")
-    near = near.withColumn("side", F.when(F.col("target") <= F.col(pos), -1).otherwise(1))
-    order = Window.partitionBy(key, pos, "side").orderBy(F.abs(F.col("target") - F.col(pos)))
-    ranked = near.withColumns({"rank": F.row_number().over(order), "spacing": F.abs(F.lead("target").over(order) - F.col("target"))})
-    return points.join(ranked.filter(F.col("rank") <= k), [key, pos]).select(*points.columns, "target", "side", "rank", "spacing")
+    ``spacing`` to the next target outward within reach. Points without a key or a place have none.
+
+    Targets are numbered along their key, places take the number of the last target at or before them, and the targets of
+    the numbers around it are joined: 2 * k + 2 rows a place, however many targets lie within reach."""
+    at = lambda c: F.floor(F.col(c) / tile).cast("long").alias("_tile")
+    known = targets.select(F.col(key), F.col(target_pos).alias("target")).dropna().select("*", at("target"))
+    tiles = Window.partitionBy(key).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = known.groupBy(key, "_tile").agg(F.count("*").alias("_n")).select(key, "_tile", F.coalesce(F.sum("_n").over(tiles), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy(key, "_tile").orderBy("target"))
+    numbered = known.join(sizes, [key, "_tile"]).select(key, "_tile", "target", number.alias("_no"))
+    places = points.select(key, F.col(pos).alias("_p")).dropna().distinct().select("*", at("_p"))
+    both = places.unionByName(numbered.select(key, F.col("target").alias("_p"), "_tile", "_no"), allowMissingColumns=True)
+    per = both.groupBy(key, "_tile").agg(F.max("_no").alias("_most")).select(key, "_tile", F.max("_most").over(tiles).alias("_carried"))
+    here = F.max("_no").over(Window.partitionBy(key, "_tile").orderBy("_p").rangeBetween(Window.unboundedPreceding, 0))
+    placed = both.join(per, [key, "_tile"]).withColumn("_at", F.coalesce(F.greatest(here, F.col("_carried")), F.lit(0))).filter("_no IS NULL")
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(k + 1))).alias("rank")
+    wanted = placed.select(key, "_p", "_at", ranks).select(key, "_p", "rank", F.explode(F.array(F.struct(F.lit(-1).alias("side"), (F.col("_at") - F.col("rank") + 1).alias("_no")), F.struct(F.lit(1).alias("side"), (F.col("_at") + F.col("rank")).alias("_no")))).alias("x"))
+    near = wanted.select(key, "_p", "rank", "x.*").join(numbered.select(key, "_no", "target"), [key, "_no"]).filter(F.abs(F.col("target") - F.col("_p")) <= reach)
+    outward = Window.partitionBy(key, "_p", "side").orderBy("rank")
+    ranked = near.withColumn("spacing", F.abs(F.lead("target").over(outward) - F.col("target"))).filter(F.col("rank") <= k).withColumnRenamed("_p", pos)
+    return points.join(ranked, [key, pos]).select(*points.columns, "target", "side", "rank", "spacing")
 
 
 def mates(reads: DataFrame, keys: list[str]) -> DataFrame:

@@ -31,28 +31,28 @@ def islands(rows: DataFrame, keys: list[str], pos: str, max_step: int, out: str
     return null_safe(local, per, [*keys, "_tile"]).withColumn(out, F.coalesce("_start", "_carry")).drop("_tile", "_open", "_start", "_carry")
 
 
-def blocks(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+def blocks(rows: DataFrame, keys: list[str], pos: str = "pos", tile: int = TILE) -> DataFrame:
     """rows plus ``block``: consecutive positions share one, named by its first position."""
-    return islands(rows, keys, pos, 1, "block")
+    return islands(rows, keys, pos, 1, "block", tile)
 
 
-def positive_runs(track: DataFrame, value: str, keys: list[str], pos: str, max_gap: int) -> DataFrame:
+def positive_runs(track: DataFrame, value: str, keys: list[str], pos: str, max_gap: int, tile: int = TILE) -> DataFrame:
     """(keys, pos, value, run) of the positive values. They are written once: runs look at them twice, and a track is dear."""
-    return islands(stored(track.filter(F.col(value) > 0).select(*keys, pos, value), "positive"), keys, pos, max_gap + 1, "run")
+    return islands(stored(track.filter(F.col(value) > 0).select(*keys, pos, value), "positive"), keys, pos, max_gap + 1, "run", tile)
 
 
-def runs(track: DataFrame, value: str, keys: list[str], pos: str = "pos", max_gap: int = 4) -> DataFrame:
+def runs(track: DataFrame, value: str, keys: list[str], pos: str = "pos", max_gap: int = 4, tile: int = TILE) -> DataFrame:
     """Runs of positive values that bridge up to ``max_gap`` positions without: (keys, run, pos, value), bridged
     positions with value 0."""
-    positive = positive_runs(track, value, keys, pos, max_gap)
+    positive = positive_runs(track, value, keys, pos, max_gap, tile)
     spans = positive.groupBy(*keys, "run").agg(F.max(pos).alias("_end"))
     full = spans.select(*keys, "run", F.explode(F.sequence("run", "_end")).alias(pos))
     return full.join(positive, [*keys, "run", pos], "left").fillna(0, [value])
 
 
-def run_spans(track: DataFrame, value: str, keys: list[str], pos: str = "pos", max_gap: int = 4) -> DataFrame:
+def run_spans(track: DataFrame, value: str, keys: list[str], pos: str = "pos", max_gap: int = 4, tile: int = TILE) -> DataFrame:
     """(keys, run, run_end, n_positive, top) of the same runs, without their positions."""
-    positive = positive_runs(track, value, keys, pos, max_gap)
+    positive = positive_runs(track, value, keys, pos, max_gap, tile)
     return positive.groupBy(*keys, "run").agg(F.max(pos).alias("run_end"), F.count("*").alias("n_positive"), F.max(value).alias("top"))
 
 
@@ -83,14 +83,14 @@ def _windows(high: Column, compat: bool) -> Column:
     return F.aggregate(high, empty, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
 
 
-def peaks(track: DataFrame, value: str, keys: list[str], pos: str = "pos", shortest: int = 50, longest: int = 150, cutoff: float = 5, max_gap: int = 4, compat: bool = False, listed: Column | None = None) -> DataFrame:
+def peaks(track: DataFrame, value: str, keys: list[str], pos: str = "pos", shortest: int = 50, longest: int = 150, cutoff: float = 5, max_gap: int = 4, compat: bool = False, listed: Column | None = None, tile: int = TILE) -> DataFrame:
     """Peaks (keys, start, end, mid, score) of a median-adjusted track; with ``listed`` only where this condition on the rows
     holds, as for contigs that are reported.
 
     In a run above zero of shortest to longest positions, the stretch of values at or above the run's median with
     the largest sum; in a longer one up to three times longest, every such stretch of shortest to longest positions.
     Peaks whose top is not above cutoff are dropped. Runs of other lengths never reach an array."""
-    positive = positive_runs(track if listed is None else track.filter(listed), value, keys, pos, max_gap)
+    positive = positive_runs(track if listed is None else track.filter(listed), value, keys, pos, max_gap, tile)
     run = Window.partitionBy(*keys, "run")
     gated = positive.withColumn("_end", F.max(pos).over(run)).filter((F.col("_end") - F.col("run") + 1).between(shortest, 3 * longest))
     cell = F.struct(F.col(pos).cast("long").alias("pos"), F.col(value).cast("double").alias("v"))

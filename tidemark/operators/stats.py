@@ -154,9 +154,9 @@ def same_bins(first: DataFrame, *others: DataFrame, on: tuple[str, ...] = ("chro
     return first
 
 
-def first_rows(rows: DataFrame, most: int) -> DataFrame:
-    """At most so many rows, for a quick look at a file."""
-    return rows.limit(most)
+def first_rows(rows: DataFrame, most: int, *order: str) -> DataFrame:
+    """At most so many rows, for a quick look at a file: the first ones in an order, if one is given."""
+    return (rows.orderBy(*order) if order else rows).limit(most)
 
 
 def top_k(rows: DataFrame, k: int, *order: Column) -> DataFrame:

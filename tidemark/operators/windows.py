@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-TILE = 20_000
+TILE, SHARED = 20_000, 32
 
 
 def placed(track: DataFrame, block: list[str], pos: str = "pos", bounds: tuple[int, int] | None = None) -> DataFrame:
@@ -41,8 +41,8 @@ def running_median(track: DataFrame, value: str, block: list[str], size: int = 1
 
     A row at place i sees places c - size/2 ... c + size/2 - 1 with c = i clamped to [size/2 + 1, n - size/2 + 1].
     Blocks of fewer rows than ``size`` give no rows, a block of exactly ``size`` rows none for its first. The
-    frame's rows are sorted incrementally in Arrow batches of one tile; ``native`` takes the window function
-    instead, which sorts every frame anew."""
+    frame's rows are sorted incrementally in Arrow batches of one tile; ``native`` computes the same from sorted arrays
+    without Python."""
     return _medians(placed(track, block, pos, bounds), value, block, size, tile, out, native)
 
 
@@ -77,18 +77,54 @@ def _arrow_medians(rows: DataFrame, value: str, block: list[str], size: int, til
     return found.select(*[F.col(f"rest.{c}").alias(c) if c in rest else c for c in rows.columns], out)
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, inside a lambda: the value is the one element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _frames(values: Column, size: int) -> Column:
+    """Medians of all frames of ``size`` neighbours in an array, in order.
+
+    SHARED frames next to each other have most of their values in common. These are sorted once; of them only as many
+    around the middle can become a median as there are values that the frames do not share. A frame thus sorts some
+    3 * SHARED values instead of ``size``."""
+    half, count = size // 2, F.size(values) - size + 1
+    shared = max(1, min(SHARED, half))
+
+    def some(stretch: Column) -> Column:
+        """Medians of the frames of a short stretch."""
+        n = F.size(stretch) - size + 1
+        first = F.greatest(F.lit(1), half - n + 1)  # ranks below it stay below the middle in every frame
+        common = F.sort_array(F.slice(stretch, n, size - n + 1))
+        middle = F.slice(common, first, F.least(size - n + 1, F.lit(half + 1)) - first + 1)
+
+        def one(j: Column, band: Column) -> Column:
+            own = F.sort_array(F.concat(band, F.slice(stretch, j + 1, n - 1 - j), F.slice(stretch, F.lit(size + 1), j)))
+            return F.aggregate(F.slice(own, half - first + 1, F.lit(2)), F.lit(0.0), lambda a, x: a + x) / 2
+
+        return _bound(middle, lambda band: F.transform(F.sequence(F.lit(0), n - 1), lambda j: one(j, band)))
+
+    stretch = lambda k: F.slice(values, k * shared + 1, F.least(F.lit(shared), count - k * shared) + size - 1)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((count - 1) / shared).cast("int")), lambda k: _bound(stretch(k), some)))
+
+
 def _native_medians(rows: DataFrame, value: str, block: list[str], size: int, tile: int, out: str) -> DataFrame:
-    half = size // 2
-    order = Window.partitionBy(*block, "tile").orderBy("rn")
-    frame = order.rowsBetween(-half, half - 1)
-    full = tiled(rows, half, half - 1, tile).withColumn("_m", F.when(F.count("*").over(frame) == size, F.percentile(F.col(value), F.lit(0.5)).over(frame)))
-    full = full.filter("core").drop("tile", "core")
-    first, last = F.lit(half + 1), F.col("n") - half + 1
-    edge = full.filter((F.col("rn") == first) | (F.col("rn") == last)).groupBy(*block).agg(
-        F.max(F.when(F.col("rn") == first, F.col("_m"))).alias("_left"), F.max(F.when(F.col("rn") == last, F.col("_m"))).alias("_right")
-    )
-    out_value = F.when(F.col("rn") < first, F.col("_left")).when(F.col("rn") > last, F.col("_right")).otherwise(F.col("_m"))
-    return full.join(edge, block).withColumn(out, out_value).drop("_m", "_left", "_right")
+    """A tile is a row with the values that its frames need, and the rows that take their medians from it."""
+    if size % 2:
+        raise ValueError("frames have an even number of rows")
+    half, rest = size // 2, [c for c in rows.columns if c not in block]
+    last = F.least(F.greatest(F.col("rn") + half - 1, F.lit(size)), F.col("n"))  # of the frame of a row
+    lo = F.greatest(F.lit(0), F.floor((F.col("rn") - size) / tile))
+    hi = F.least(F.floor((F.col("n") - size) / tile), F.floor((F.col("rn") - 1) / tile))
+    spread = rows.withColumn("_last", last).withColumn("_tile", F.explode(F.sequence(lo, hi)))
+    own = F.when(F.floor((F.col("_last") - size) / tile) == F.col("_tile"), F.struct("_last", *rest))
+    cells = F.array_sort(F.collect_list(F.struct("rn", F.col(value).cast("double").alias("v"))))
+    held = spread.groupBy(*block, "_tile").agg(F.transform(cells, lambda x: x["v"]).alias("_values"), F.collect_list(own).alias("_own"))
+    held = held.withColumn("_medians", _frames(F.col("_values"), size))
+    first = (F.col("_tile") * tile + size).cast("long")
+    found = held.select(*block, "_medians", first.alias("_first"), F.explode("_own").alias("_row"))
+    middle = F.get("_medians", (F.col("_row._last") - F.col("_first")).cast("int"))
+    return found.select(*[F.col(c) if c in block else F.col(f"_row.{c}").alias(c) for c in rows.columns], middle.alias(out))
 
 
 def savgol_weights(half: int = 10) -> list[float]:

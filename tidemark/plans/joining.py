@@ -21,13 +21,13 @@ def op_joins_range(spark, sf_dir):
 @query(LANES + "\nSELECT site FROM sites t WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chrom = t.chrom AND r.lo <= t.c + 75 AND r.hi >= t.c - 75)")
 def op_joins_overlap(spark, sf_dir):
     sites = relation(spark, sf_dir, "sites").selectExpr("site", "chrom", "c - 75 AS a", "c + 75 AS b")
-    return joins.overlapping(sites, relation(spark, sf_dir, "regions"), "chrom", ("a", "b"), ("lo", "hi")).select("site")
+    return joins.overlapping(sites, relation(spark, sf_dir, "regions"), "chrom", ("a", "b"), ("lo", "hi"), 4096).select("site")
 
 
 @query(LANES + "\nSELECT site FROM sites t WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.chrom = t.chrom AND r.lo <= t.c + 75 AND r.hi >= t.c - 75)")
 def op_joins_overlap_anti(spark, sf_dir):
     sites = relation(spark, sf_dir, "sites").selectExpr("site", "chrom", "c - 75 AS a", "c + 75 AS b")
-    return joins.overlapping(sites, relation(spark, sf_dir, "regions"), "chrom", ("a", "b"), ("lo", "hi"), anti=True).select("site")
+    return joins.overlapping(sites, relation(spark, sf_dir, "regions"), "chrom", ("a", "b"), ("lo", "hi"), 4096, anti=True).select("site")
 
 
 @query(LANES + """

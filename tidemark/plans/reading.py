@@ -83,9 +83,9 @@ CONSENSUS = """
 WITH r AS (SELECT o_custkey %% 40 AS g, translate(substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 12), '0123456789abcdef', 'ACGTAACCGGTTACGN') AS seq, o_orderkey %% 30 + 2 AS q FROM orders),
 cells AS (SELECT g, unnest(range(1, 13)) AS p, seq, q FROM r),
 bases AS (SELECT g, p, substr(seq, CAST(p AS INT), 1) AS base, -q / 10.0::DOUBLE AS q, q AS plain FROM cells),
-sums AS (SELECT g, p, %s, count(*) FILTER (base <> 'N') AS known, count(*) AS reads, min(plain) AS worst FROM bases GROUP BY ALL),
-best AS (SELECT g, p, known, reads, worst, log10(greatest(1e-9, pow(10::DOUBLE, A) + pow(10::DOUBLE, C) + pow(10::DOUBLE, G_) + pow(10::DOUBLE, T))) AS total, least(A, C, G_, T) AS low, A, C, G_, T FROM sums)
-SELECT g, string_agg(CASE WHEN known = 0 THEN 'N' WHEN low - total < 0 THEN CASE WHEN A = low THEN 'A' WHEN C = low THEN 'C' WHEN G_ = low THEN 'G' ELSE 'T' END ELSE 'N' END, '' ORDER BY p) AS consensus,
+sums AS (SELECT g, p, %s, count(*) FILTER (base <> 'N') AS known, count(*) AS reads, min(plain) AS worst, min(base) AS single FROM bases GROUP BY ALL),
+best AS (SELECT g, p, known, reads, worst, single, log10(greatest(1e-9, pow(10::DOUBLE, A) + pow(10::DOUBLE, C) + pow(10::DOUBLE, G_) + pow(10::DOUBLE, T))) AS total, least(A, C, G_, T) AS low, A, C, G_, T FROM sums)
+SELECT g, string_agg(CASE WHEN reads = 1 THEN single WHEN known = 0 THEN 'N' WHEN low - total < 0 THEN CASE WHEN A = low THEN 'A' WHEN C = low THEN 'C' WHEN G_ = low THEN 'G' ELSE 'T' END ELSE 'N' END, '' ORDER BY p) AS consensus,
   string_agg(chr(33 + CAST(CASE WHEN reads = 1 OR known = 0 THEN worst WHEN low - total < 0 THEN round(least(60.0::DOUBLE, -10 * (low - total))) ELSE 0 END AS INT)), '' ORDER BY p) AS consensus_qual, max(reads) AS reads FROM best GROUP BY g
 """ % ", ".join(f"round(sum(CASE WHEN base = 'N' THEN 0 WHEN base = '{b}' THEN q ELSE log10(1 - pow(10::DOUBLE, q)) - log10(3::DOUBLE) END), 10) AS {b if b != 'G' else 'G_'}" for b in "ACGT")
 

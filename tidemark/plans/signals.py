@@ -10,8 +10,12 @@ from tidemark.plans.registry import query
 from tidemark.plans.relations import HI, LO, cte, load, relation, track_cte
 
 
+#: Contigs have 20,200 positions; small tiles let them pass values on.
+TILE = 4096
+
+
 def the_track(spark, sf_dir):
-    return signal.full_track(relation(spark, sf_dir, "fragments"), LO, HI)
+    return signal.full_track(relation(spark, sf_dir, "fragments"), LO, HI, tile=TILE)
 
 
 TRACK = cte("fragments") + track_cte()
@@ -24,7 +28,7 @@ def op_signal_wps_track(spark, sf_dir):
 
 @query(cte("short_fragments") + track_cte("short_fragments", 8) + "\nSELECT chrom, pos, cov, ends, wps FROM track")
 def op_signal_short_track(spark, sf_dir):
-    return signal.full_track(relation(spark, sf_dir, "short_fragments"), LO, HI, protection=16)
+    return signal.full_track(relation(spark, sf_dir, "short_fragments"), LO, HI, protection=16, tile=TILE)
 
 
 @query(cte("fragments") + """,
@@ -117,6 +121,12 @@ def op_windows_running_median(spark, sf_dir):
     return _medians(spark, sf_dir).select("chrom", "pos", "wps", "median", (F.col("wps") - F.col("median")).alias("adj"))
 
 
+@query(MEDIANS + "\nSELECT chrom, pos, wps, CAST(median AS DOUBLE) AS median FROM medians")
+def op_windows_native_median(spark, sf_dir):
+    """The running median without Python."""
+    return windows.running_median(the_track(spark, sf_dir), "wps", ["chrom"], native=True, tile=TILE, bounds=(LO, HI)).select("chrom", "pos", "wps", "median")
+
+
 @query(MEDIANS + "\nSELECT chrom, pos, wps, cov, CAST(median AS DOUBLE) AS median, round(CASE WHEN cov = 0 THEN 0 ELSE (wps - median)::DOUBLE / cov * 100::DOUBLE END, 6) AS norm FROM medians")
 def op_windows_per_coverage(spark, sf_dir):
     rows = _medians(spark, sf_dir)
@@ -159,7 +169,7 @@ def _adjusted(spark, sf_dir):
 
 @query(RUNS + "\nSELECT chrom, run, run_end, n_positive, top FROM spans")
 def op_segment_runs(spark, sf_dir):
-    return segment.run_spans(_adjusted(spark, sf_dir), "adj", ["chrom"])
+    return segment.run_spans(_adjusted(spark, sf_dir), "adj", ["chrom"], tile=TILE)
 
 
 def _peaks_sql(compat: bool) -> str:
@@ -186,12 +196,12 @@ WHERE top > 5 AND (size <= 150 AND place = 1 OR size > 150 AND end_ - start + 1
 
 @query(_peaks_sql(False))
 def op_segment_peaks(spark, sf_dir):
-    return segment.peaks(_adjusted(spark, sf_dir), "adj", ["chrom"])
+    return segment.peaks(_adjusted(spark, sf_dir), "adj", ["chrom"], tile=TILE)
 
 
 @query(_peaks_sql(True))
 def op_segment_peaks_compat(spark, sf_dir):
-    return segment.peaks(_adjusted(spark, sf_dir), "adj", ["chrom"], compat=True)
+    return segment.peaks(_adjusted(spark, sf_dir), "adj", ["chrom"], compat=True, tile=TILE)
 
 
 @query("""WITH orders_ AS (SELECT DISTINCT o_orderkey * 3 // 2 AS pos, o_custkey % 5 AS chrom FROM orders),
@@ -200,7 +210,7 @@ numbered AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY pos) AS k FR
 SELECT chrom, pos, min(pos) OVER (PARTITION BY chrom, k) AS block FROM numbered""")
 def op_segment_blocks(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").selectExpr("o_orderkey * 3 div 2 AS pos", "o_custkey % 5 AS chrom").distinct()
-    return segment.blocks(rows, ["chrom"])
+    return segment.blocks(rows, ["chrom"], tile=TILE)
 
 
 PEAK_POINTS = cte("fragments", "sites") + ",\ntargets AS (SELECT DISTINCT chrom, s AS t FROM fragments WHERE e - s >= 167)"
@@ -211,7 +221,7 @@ SELECT site, chrom, c, (SELECT max(t) FROM targets WHERE targets.chrom = sites.c
        c - (SELECT max(t) FROM targets WHERE targets.chrom = sites.chrom AND t <= c) + (SELECT min(t) FROM targets WHERE targets.chrom = sites.chrom AND t > c) - c - 1 AS total FROM sites""")
 def op_joins_nearest(spark, sf_dir):
     targets = relation(spark, sf_dir, "fragments").filter("e - s >= 167").selectExpr("chrom", "s AS t")
-    rows = joins.nearest(relation(spark, sf_dir, "sites").select("site", "chrom", "c"), targets, "chrom", "c", "t")
+    rows = joins.nearest(relation(spark, sf_dir, "sites").select("site", "chrom", "c"), targets, "chrom", "c", "t", TILE)
     return rows.withColumn("total", F.col("c") - F.col("before") + F.col("after") - F.col("c") - 1)
 
 
@@ -221,7 +231,7 @@ ranked AS (SELECT *, row_number() OVER w AS rank, abs(lead(target) OVER w - targ
 SELECT site, chrom, c, target, side, rank, spacing FROM ranked WHERE rank <= 10""")
 def op_joins_nearest_k(spark, sf_dir):
     targets = relation(spark, sf_dir, "fragments").filter("e - s >= 167").selectExpr("chrom", "s AS t").distinct()
-    rows = joins.nearest_k(relation(spark, sf_dir, "sites").select("site", "chrom", "c"), targets, "chrom", "c", "t", 10, 500)
+    rows = joins.nearest_k(relation(spark, sf_dir, "sites").select("site", "chrom", "c"), targets, "chrom", "c", "t", 10, 500, TILE)
     return rows.select("site", "chrom", "c", "target", "side", "rank", "spacing")
 
 
@@ -232,7 +242,7 @@ SELECT CASE WHEN spacing <= 160 THEN '<=160' WHEN spacing <= 200 THEN '161-200'
        count(*) AS n, round(avg(spacing), 6) AS mean FROM firsts WHERE spacing IS NOT NULL GROUP BY 1""")
 def op_overlay_spacing_classes(spark, sf_dir):
     targets = relation(spark, sf_dir, "fragments").filter("e - s >= 167").selectExpr("chrom", "s AS t").distinct()
-    near = joins.nearest_k(relation(spark, sf_dir, "sites").select("site", "chrom", "c"), targets, "chrom", "c", "t", 1, 500)
+    near = joins.nearest_k(relation(spark, sf_dir, "sites").select("site", "chrom", "c"), targets, "chrom", "c", "t", 1, 500, TILE)
     per = near.groupBy("site").agg((F.max(F.when(F.col("side") == 1, F.col("target"))) - F.max(F.when(F.col("side") == -1, F.col("target")))).alias("spacing")).filter("spacing IS NOT NULL")
     return per.groupBy(overlay.spacing_class(F.col("spacing")).alias("class")).agg(F.count("*").alias("n"), F.round(F.avg("spacing"), 6).alias("mean"))
 

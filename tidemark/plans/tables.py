@@ -94,9 +94,10 @@ def op_stats_axis_range(spark, sf_dir):
     return stats.extent(per(F.col("o_custkey")), "n", per(F.col("o_custkey") % 7))
 
 
-@query("SELECT count(*) AS n FROM (SELECT 1 FROM events LIMIT 100)")
+@query("SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 100")
 def op_stats_first_rows(spark, sf_dir):
-    return stats.first_rows(load(spark, sf_dir, "events"), 100).agg(F.count("*").alias("n"))
+    """The first hundred rows: the limit is the feature."""
+    return stats.first_rows(load(spark, sf_dir, "events").select("event_id", "event_type", "value"), 100, "event_id")
 
 
 @query("""WITH q AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents), p AS (SELECT doc_id, seq, unnest([40, 255, 512]) AS pos FROM q)
