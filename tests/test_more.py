@@ -312,3 +312,16 @@ def test_native_medians_are_the_sliding_ones(spark):
         assert got[0] == got[1] and len(got[0]) == 19 + 21 + 60 + 333
         plan = windows.running_median(frame, "v", ["block"], 20, tile=tile, native=True)._jdf.queryExecution().toString()
         assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_quantiles_by_key(spark):
+    dice = random.Random(15)
+    rows = [("hot", float(dice.randrange(300))) for _ in range(3000)] + [("one", 4.0), (None, 1.0), (None, 2.0), ("none", None)] + [("few", dice.random()) for _ in range(7)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    points = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.99, 1.0]
+    got = {r["k"]: r["q"] for r in stats.keyed_quantiles(frame, "v", points, ["k"]).collect()}
+    for k in ("hot", "one", "few", None):
+        assert got[k] == pytest.approx(np.quantile([v for x, v in rows if x == k], points))
+    assert "none" not in got
+    binned = stats.quantile_bins(frame, "v", 4, ["k"])
+    assert binned.count() == len(rows) and {r["bin"] for r in binned.filter("k = 'hot'").collect()} == {1, 2, 3, 4}

@@ -8,7 +8,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import null_safe
 from tidemark.operators.segment import bin_grid
+from tidemark.storage import stored
 
 
 def length_histogram(rows: DataFrame, keys: list[str], length: str, weight: Column | None = None) -> DataFrame:
@@ -55,6 +57,31 @@ def quantiles(rows: DataFrame, value: str, points: list[float], slices: int = 64
     return found.select(F.array(*map(point, spots)).alias("q"))
 
 
+def keyed_quantiles(rows: DataFrame, value: str, points: list[float], keys: list[str], out: str = "q") -> DataFrame:
+    """(keys, out): the exact interpolated quantiles of each key's values at ``points``; null keys are a key.
+
+    Counts of equal values are dealt by ranges of key and value, so a key of very many values is many tasks; a range hands on
+    a row for each key in it. Of the values only those at the two ranks beside each point go on."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = stored(counts.repartitionByRange(*keys, "_v").withColumn("_slice", F.spark_partition_id()), "counts")
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_total"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe(counts, sizes, [*keys, "_slice"]).withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
+    spot = lambda p: (F.col("_total") - 1) * F.lit(float(p))
+    ends = F.array(*[F.struct(F.lit(2 * k + side).alias("k"), f(spot(p)).alias("rank")) for k, p in enumerate(points) for side, f in ((0, F.floor), (1, F.ceil))])
+    hit = F.filter(ends, lambda e: e["rank"].between(F.col("_last") - F.col("_n") + 1, F.col("_last")))
+    found = ranked.select(*keys, "_total", "_v", F.explode(hit).alias("e")).groupBy(*keys, "_total").agg(F.map_from_entries(F.collect_list(F.struct("e.k", "_v"))).alias("_at"))
+
+    def point(k: int, p: float) -> Column:
+        lo, hi = F.col("_at")[2 * k], F.col("_at")[2 * k + 1]
+        return F.when(F.floor(spot(p)) == spot(p), lo).otherwise(lo * (F.ceil(spot(p)) - spot(p)) + hi * (spot(p) - F.floor(spot(p))))
+
+    return found.select(*keys, F.array(*[point(k, p) for k, p in enumerate(points)]).alias(out))
+
+
 def percentile_buckets(rows: DataFrame, score: str, keys: list[str] | None = None, out: str = "percentile") -> DataFrame:
     """rows plus the number of percentiles (1..99, interpolated) at or below the score: 0 to 99."""
     points = [k / 100.0 for k in range(1, 101)]
@@ -65,7 +92,7 @@ def percentile_buckets(rows: DataFrame, score: str, keys: list[str] | None = Non
 
 def _with_quantiles(rows: DataFrame, value: str, points: list[float], keys: list[str] | None, out: str) -> DataFrame:
     if keys:
-        return rows.join(rows.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*map(F.lit, points))).alias(out)), keys)
+        return null_safe(rows, keyed_quantiles(rows, value, points, keys, out), keys, "left")
     return rows.crossJoin(F.broadcast(quantiles(rows, value, points).withColumnRenamed("q", out)))  # one row of few numbers
 
 

@@ -18,6 +18,24 @@ def op_stats_percentile_buckets(spark, sf_dir):
     return stats.percentile_buckets(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "percentile")
 
 
+@query("""
+WITH g AS (SELECT o_orderpriority AS p, quantile_cont(o_totalprice::DOUBLE, [""" + ", ".join(f"{k / 100.0!r}" for k in range(1, 101)) + """]) AS q FROM orders GROUP BY o_orderpriority)
+SELECT o_orderkey, CAST(least(99, len(list_filter(q, lambda x: x <= o_totalprice))) AS INT) AS percentile FROM orders JOIN g ON p = o_orderpriority""")
+def op_stats_percentiles_by_key(spark, sf_dir):
+    """Percentiles inside each of a few large groups."""
+    return stats.percentile_buckets(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_totalprice", ["o_orderpriority"]).select("o_orderkey", "percentile")
+
+
+@query("""
+WITH v AS (SELECT c_custkey, c_mktsegment AS s, greatest(c_acctbal, 0)::DOUBLE AS v FROM customer),
+q AS (SELECT s, quantile_cont(v, [0.25, 0.5, 0.75]) AS q FROM v GROUP BY s)
+SELECT c_custkey, CAST(1 + (v > q[1])::INT + (v > q[2])::INT + (v > q[3])::INT AS INT) AS bin FROM v JOIN q USING (s)""")
+def op_stats_bins_by_key(spark, sf_dir):
+    """Quartiles inside each segment, ties together."""
+    rows = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.greatest("c_acctbal", F.lit(0.0)).alias("v"))
+    return stats.quantile_bins(rows, "v", 4, ["c_mktsegment"]).select("c_custkey", "bin")
+
+
 @query("""
 WITH v AS (SELECT c_custkey, greatest(c_acctbal, 0)::DOUBLE AS v FROM customer),
 q AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS q FROM v)
