@@ -70,16 +70,14 @@ def keyed_quantiles(rows: DataFrame, value: str, points: list[float], keys: list
     sizes = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_total"))
     inside = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = null_safe(counts, sizes, [*keys, "_slice"]).withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
-    spot = lambda p: (F.col("_total") - 1) * F.lit(float(p))
-    ends = F.array(*[F.struct(F.lit(2 * k + side).alias("k"), f(spot(p)).alias("rank")) for k, p in enumerate(points) for side, f in ((0, F.floor), (1, F.ceil))])
-    hit = F.filter(ends, lambda e: e["rank"].between(F.col("_last") - F.col("_n") + 1, F.col("_last")))
-    found = ranked.select(*keys, "_total", "_v", F.explode(hit).alias("e")).groupBy(*keys, "_total").agg(F.map_from_entries(F.collect_list(F.struct("e.k", "_v"))).alias("_at"))
-
-    def point(k: int, p: float) -> Column:
-        lo, hi = F.col("_at")[2 * k], F.col("_at")[2 * k + 1]
-        return F.when(F.floor(spot(p)) == spot(p), lo).otherwise(lo * (F.ceil(spot(p)) - spot(p)) + hi * (spot(p) - F.floor(spot(p))))
-
-    return found.select(*keys, F.array(*[point(k, p) for k, p in enumerate(points)]).alias(out))
+    at = F.array(*[F.lit(float(p)) for p in points])
+    spot = lambda p: (F.col("_total") - 1) * p
+    both = F.flatten(F.transform(at, lambda p, k: F.array(*[F.struct((2 * k + side).alias("k"), f(spot(p)).alias("rank")) for side, f in ((0, F.floor), (1, F.ceil))])))
+    hit = F.filter(both, lambda e: e["rank"].between(F.col("_last") - F.col("_n") + 1, F.col("_last")))
+    found = ranked.select(*keys, "_total", "_v", F.explode(hit).alias("e")).groupBy(*keys, "_total").agg(F.array_sort(F.collect_list(F.struct("e.k", "_v"))).alias("_at"))
+    side = lambda k, of: F.get("_at", 2 * k + of)["_v"]
+    mixed = lambda p, k: side(k, 0) * (F.ceil(spot(p)) - spot(p)) + side(k, 1) * (spot(p) - F.floor(spot(p)))
+    return found.select(*keys, F.transform(at, lambda p, k: F.when(F.floor(spot(p)) == spot(p), side(k, 0)).otherwise(mixed(p, k))).alias(out))
 
 
 def percentile_buckets(rows: DataFrame, score: str, keys: list[str] | None = None, out: str = "percentile") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import collapse
+from tidemark.operators import collapse, duplicates
+from tidemark.plans.pairs import ALIGNED
 from tidemark.plans.reading import CONSENSUS
 from tidemark.plans.registry import query
-from tidemark.plans.relations import load
+from tidemark.plans.relations import cte, load, relation
 
 DIGITS = "'0123456789abcdef', 'ACGTAACCGGTTACGN'"
 READS = [
@@ -54,3 +55,28 @@ def op_duplicates_consensus_routes(spark, sf_dir):
         f = F.split("line", "\n")
         rows = rows.unionByName(out[stream].select(F.lit(stream).alias("stream"), "qname", f[1].alias("seq"), f[3].alias("qual")), allowMissingColumns=True)
     return rows
+
+
+@query(cte("reads") + f""",
+r AS (SELECT {', '.join(ALIGNED)}, qname FROM reads),
+m AS (SELECT *, pos + CASE WHEN reverse THEN ref_len ELSE 0 END AS spot FROM r WHERE NOT qcfail AND NOT unmapped AND NOT paired AND starts_with(qname, 'M_')),
+best AS (SELECT grp, chrom, reverse, spot, arg_max(cigar, (n, -length(cigar), cigar)) AS cigar FROM (SELECT grp, chrom, reverse, spot, cigar, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL)
+SELECT grp, chrom, spot AS pos, arg_min(qname, (rid, qname)) AS qname, count(*) AS xp FROM m JOIN best USING (grp, chrom, reverse, spot, cigar) GROUP BY grp, chrom, reverse, spot""")
+def op_duplicates_five_prime(spark, sf_dir):
+    """Merged single reads collapsed by their 5' ends, whatever their lengths."""
+    rows = relation(spark, sf_dir, "reads").selectExpr(*ALIGNED, "qname")
+    out = duplicates.collapse(rows, five_prime=True, merged=True).filter("kind = 'single'")
+    return out.select("grp", "chrom", "pos", "qname", "xp")
+
+
+@query(f"""WITH o AS (SELECT {', '.join(READS)} FROM orders WHERE o_orderkey % 4 > 0),
+q AS (SELECT *, repeat(chr(q + 33), 11) || chr(CAST(33 + rid % 40 AS INT)) AS qual FROM o),
+best AS (SELECT grp, chrom, pos, arg_max(cigar, (n, -length(cigar), cigar)) AS cigar FROM (SELECT grp, chrom, pos, cigar, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL)
+SELECT grp, chrom, pos, arg_max(rid, ((q + 33) * 11 + 33 + rid % 40, -rid)) AS rid, arg_min(qname, rid) AS qname, CAST(max((q + 33) * 11 + 33 + rid % 40) AS BIGINT) AS quality, count(*) AS reads FROM q JOIN best USING (grp, chrom, pos, cigar) GROUP BY grp, chrom, pos""")
+def op_duplicates_quality_sum(spark, sf_dir):
+    """Representatives by the sums of their qualities' characters."""
+    rows = load(spark, sf_dir, "orders").filter("o_orderkey % 4 > 0").selectExpr(*[c.replace("VARCHAR(20)", "STRING") for c in READS])
+    rows = rows.select("rid", "qname", "grp", "chrom", "pos", "cigar", F.concat(F.repeat(F.char(F.col("q") + 33), F.lit(11)), F.char(33 + F.col("rid") % 40)).alias("qual"))
+    total = duplicates.quality_sum(F.col("qual"))
+    one = duplicates.representative(rows.withColumn("first", F.col("rid")), ["grp", "chrom", "pos"], "first", "qname", "cigar", total)
+    return one.select("grp", "chrom", "pos", "rid", "qname", duplicates.quality_sum(F.col("qual")).cast("long").alias("quality"), "reads")
