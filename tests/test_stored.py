@@ -27,6 +27,8 @@ def genome(tmp_path_factory):
         lines.append(ragged[at : at + step])
         at += step
     (top / "b.fa").write_bytes((">ragged\r\n" + "\r\n".join(lines) + "\r\n\r\n>empty\r\n>last\r\nACGT").encode())
+    (top / ".a.fa.crc").write_bytes(b"crc\n>\x80\xff\nACGT\n")
+    (top / "_SUCCESS").write_bytes(b"")
     return top, seqs | {"ragged": ragged, "last": "ACGT"}
 
 

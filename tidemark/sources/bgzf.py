@@ -27,7 +27,7 @@ def open_file(path: str):
 
 
 def found(path: str, ending: str) -> list[tuple[str, int]]:
-    """(path, size) of a file, or of those in a folder with this ending, in order."""
+    """(path, size) of a file, or of those in a folder with this ending, in order; hidden files (. and _) are left out."""
     from pyarrow import fs
 
     files, at = fs.FileSystem.from_uri(path)
@@ -36,7 +36,8 @@ def found(path: str, ending: str) -> list[tuple[str, int]]:
         raise FileNotFoundError(path)
     some = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(at))
     head = path[: len(path) - len(at)] if path.endswith(at) else ""
-    return sorted((head + x.path, x.size) for x in some if x.type == fs.FileType.File and (x is info or x.path.endswith(ending)))
+    shown = [x for x in some if x is info or x.path.endswith(ending) and not x.base_name.startswith((".", "_"))]
+    return sorted((head + x.path, x.size) for x in shown if x.type == fs.FileType.File)
 
 
 def deflated(data: bytes, level: int = 6) -> bytes:
