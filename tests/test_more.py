@@ -325,3 +325,15 @@ def test_quantiles_by_key(spark):
     assert "none" not in got
     binned = stats.quantile_bins(frame, "v", 4, ["k"])
     assert binned.count() == len(rows) and {r["bin"] for r in binned.filter("k = 'hot'").collect()} == {1, 2, 3, 4}
+
+
+def test_quantiles_between_equal_values_are_that_value(spark):
+    rows = [(k, v) for k in ("a", "b") for v in (905.11, 1417.37, 72661.29, 151203.83, 382373.65, 451076.41) for _ in range(37)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    points = [k / 100.0 for k in range(1, 101)]
+    values = sorted(v for k, v in rows if k == "a")
+    spots = [(len(values) - 1) * p for p in points]
+    want = [math.fma(values[int(s)], 1 - (s - int(s)), values[math.ceil(s)] * (s - int(s))) for s in spots]
+    assert sum(values[int(s)] == values[math.ceil(s)] == q for s, q in zip(spots, want, strict=True)) > 90
+    assert [r["q"] for r in stats.keyed_quantiles(frame, "v", points, ["k"]).collect()] == [want, want]
+    assert stats.quantiles(frame.filter("k = 'a'"), "v", points).first()["q"] == want

@@ -26,6 +26,24 @@ def fill_range(counts: DataFrame, keys: list[str], value: str, measures: list[st
     return grid.join(counts, [*keys, value], "left").fillna(0, measures)
 
 
+def between(lo: Column, hi: Column, share: Column) -> Column:
+    """lo * (1 - share) + hi * share, the first product added to the second before it is rounded, as a fused multiply-add does:
+    of equal neighbours it gives their value, where two rounded products may miss it by a digit. The part that rounding cuts
+    off the product is found from halves of its factors; where these leave the range of doubles, both products are rounded."""
+    rest, other = 1 - share, hi * share
+    halves = lambda x: (x * 134217729.0 - (x * 134217729.0 - x), x - (x * 134217729.0 - (x * 134217729.0 - x)))
+    (a, b), (c, d), product = halves(lo), halves(rest), lo * rest
+    cut = b * d - (product - a * c - b * c - a * d)
+    whole = product + other
+    part = whole - product
+    exact = whole + (((product - (whole - part)) + (other - part)) + cut)
+    return F.when(F.abs(exact) < 1e290, exact).otherwise(whole)
+
+
+def _mixed(x: Column) -> Column:
+    return F.when(x["share"] == 0, x["lo"]).otherwise(between(x["lo"], x["hi"], x["share"]))
+
+
 def quantiles(rows: DataFrame, value: str, points: list[float], slices: int = 64) -> DataFrame:
     """One row: ``q``, the exact interpolated quantiles of a column at ``points``.
 
@@ -52,9 +70,9 @@ def quantiles(rows: DataFrame, value: str, points: list[float], slices: int = 64
     def point(spot: float) -> Column:
         lo, hi = F.col("at")[int(math.floor(spot))], F.col("at")[int(math.ceil(spot))]
         share = spot - math.floor(spot)
-        return lo if not share else lo * (math.ceil(spot) - spot) + hi * share
+        return F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(float(share)).alias("share"))
 
-    return found.select(F.array(*map(point, spots)).alias("q"))
+    return found.select(F.transform(F.array(*map(point, spots)), _mixed).alias("q"))
 
 
 def keyed_quantiles(rows: DataFrame, value: str, points: list[float], keys: list[str], out: str = "q") -> DataFrame:
@@ -76,8 +94,8 @@ def keyed_quantiles(rows: DataFrame, value: str, points: list[float], keys: list
     hit = F.filter(both, lambda e: e["rank"].between(F.col("_last") - F.col("_n") + 1, F.col("_last")))
     found = ranked.select(*keys, "_total", "_v", F.explode(hit).alias("e")).groupBy(*keys, "_total").agg(F.array_sort(F.collect_list(F.struct("e.k", "_v"))).alias("_at"))
     side = lambda k, of: F.get("_at", 2 * k + of)["_v"]
-    mixed = lambda p, k: side(k, 0) * (F.ceil(spot(p)) - spot(p)) + side(k, 1) * (spot(p) - F.floor(spot(p)))
-    return found.select(*keys, F.transform(at, lambda p, k: F.when(F.floor(spot(p)) == spot(p), side(k, 0)).otherwise(mixed(p, k))).alias(out))
+    beside = F.transform(at, lambda p, k: F.struct(side(k, 0).alias("lo"), side(k, 1).alias("hi"), (spot(p) - F.floor(spot(p))).alias("share")))
+    return found.select(*keys, F.transform(beside, _mixed).alias(out))
 
 
 def percentile_buckets(rows: DataFrame, score: str, keys: list[str] | None = None, out: str = "percentile") -> DataFrame:
