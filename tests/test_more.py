@@ -337,3 +337,20 @@ def test_quantiles_between_equal_values_are_that_value(spark):
     assert sum(values[int(s)] == values[math.ceil(s)] == q for s, q in zip(spots, want, strict=True)) > 90
     assert [r["q"] for r in stats.keyed_quantiles(frame, "v", points, ["k"]).collect()] == [want, want]
     assert stats.quantiles(frame.filter("k = 'a'"), "v", points).first()["q"] == want
+
+
+def test_range_totals_are_those_of_the_pairs_without_pairing(spark):
+    dice = random.Random(5)
+    ranges = lambda n, most: [(k, dice.choice("xy"), lo := dice.randrange(-300, 300), lo + dice.randrange(most)) for k in range(n)]
+    left = spark.createDataFrame([*ranges(60, 90), (60, "x", 5, 5), (61, "z", 1, 9), (62, None, 1, 9), (63, "x", None, 9)], "id long, k string, a long, b long")
+    right = spark.createDataFrame([*ranges(400, 70), (7, "x", 5, 5), (8, "y", 1, None)], "v long, k string, c long, d long")
+    pairs = joins.range_join(left, right, "k", ("a", "b"), ("c", "d"), 64).groupBy("id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    for tile in (16, 1 << 20):
+        got = joins.range_totals(left, right, "k", ("a", "b"), ("c", "d"), ["id"], {"total": "v"}, tile)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
+    many = spark.range(3000).selectExpr("id", "1 AS k", "id % 10 AS a", "id % 10 + 5 AS b")  # nine million pairs
+    plan = registry.queries()["op_joins_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "_bin" not in plan
+    got = joins.range_totals(many, many, "k", ("a", "b"), ("a", "b"), ["k"], {})
+    want = sum(x <= y + 5 and x + 5 >= y for x in range(10) for y in range(10)) * 300 * 300
+    assert [tuple(r) for r in got.collect()] == [(1, want)]

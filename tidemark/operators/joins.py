@@ -23,6 +23,30 @@ def range_join(left: DataFrame, right: DataFrame, key: str, left_range: tuple[st
     return x.join(y, (F.col(key) == F.col("_key2")) & (F.col("_bin") == F.col("_bin2")) & meets & once).drop("_bin", "_bin2", "_key2")
 
 
+def range_totals(left: DataFrame, right: DataFrame, key: str, left_range: tuple[str, str], right_range: tuple[str, str], by: list[str], sums: dict[str, str], tile: int = 1 << 20) -> DataFrame:
+    """(by, n, sums): number and sums (new name: column) of the right rows whose range overlaps a left one of equal key, the
+    groups of ``range_join`` by left columns, without its pairs. Ranges end where they start or later.
+
+    What overlaps has started at the left end or before, less what has ended before the left start. So right rows are summed
+    by start and by end, and running sums are looked up at both bounds; tiles of positions pass on their sums by a row a tile."""
+    (a, b), (c, d) = left_range, right_range
+    place = lambda side, at: F.struct(F.lit(side).alias("_side"), F.col(at).cast("long").alias("_at"))
+    both = lambda rows, x, y, *more: rows.dropna(subset=[key, x, y]).select(F.col(key).alias("_key"), F.explode(F.array(place(0, x), place(1, y))).alias("_p"), *more).select("*", "_p.*").drop("_p")
+    totals = ["_count", *[f"_{v}" for v in sums]]
+    known = both(right, c, d, *[F.col(v).alias(f"_{name}") for name, v in sums.items()]).groupBy("_key", "_side", "_at").agg(F.count("*").alias("_count"), *[F.sum(f"_{v}").alias(f"_{v}") for v in sums])
+    asked = both(left, b, a, F.struct(*by).alias("_row"))
+    rows = known.unionByName(asked, allowMissingColumns=True).withColumn("_tile", F.floor(F.col("_at") / tile).cast("long"))
+    earlier = Window.partitionBy("_key", "_side").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy("_key", "_side", "_tile").agg(*[F.sum(t).alias(t) for t in totals]).select("_key", "_side", "_tile", *[F.sum(t).over(earlier).alias(f"{t}_before") for t in totals])
+    # Starts at a bound count, ends at a bound do not.
+    order = F.abs(F.col("_side") - F.col("_row").isNotNull().cast("int"))
+    upto = Window.partitionBy("_key", "_side", "_tile").orderBy("_at", order).rowsBetween(Window.unboundedPreceding, 0)
+    run = lambda t: (F.coalesce(F.sum(t).over(upto), F.lit(0)) + F.coalesce(f"{t}_before", F.lit(0))) * (1 - 2 * F.col("_side"))
+    out = rows.join(per, ["_key", "_side", "_tile"]).select("_row", *[run(t).alias(t) for t in totals]).filter("_row IS NOT NULL")
+    out = out.groupBy("_row").agg(*[F.sum(t).alias(t) for t in totals]).filter("_count > 0")
+    return out.select("_row.*", F.col("_count").alias("n"), *[F.col(f"_{v}").alias(v) for v in sums])
+
+
 def point_join(ranges: DataFrame, points: DataFrame, key: str, lo: str, hi: str, pos: str) -> DataFrame:
     """ranges with the points inside them, for dense points: an equi-join on every position of the range."""
     wanted = ranges.withColumn(pos, F.explode(F.sequence(lo, hi)))
