@@ -354,3 +354,20 @@ def test_range_totals_are_those_of_the_pairs_without_pairing(spark):
     got = joins.range_totals(many, many, "k", ("a", "b"), ("a", "b"), ["k"], {})
     want = sum(x <= y + 5 and x + 5 >= y for x in range(10) for y in range(10)) * 300 * 300
     assert [tuple(r) for r in got.collect()] == [(1, want)]
+
+
+def test_profile_counts_equal_windows_once(spark):
+    track = spark.range(1, 401).selectExpr("'1' AS chrom", "id AS pos", "id * id % 17 AS wps")
+    sites = spark.range(300).selectExpr("id AS site", "IF(id % 3 = 0, 'a', 'b') AS name", "'1' AS chrom", "id % 4 * 60 + 15 AS c", "IF(id % 2 = 0, '+', '-') AS strand")
+    want = overlay.aggregate(overlay.around(sites, track, "wps", 20), "wps", 5)
+    got = overlay.profile(sites, track, "wps", 20, 5)
+    order = ["name", "bin", "offset", "total"]
+    assert sorted(map(tuple, got.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
+    asked = []
+    around, overlay.around = overlay.around, lambda places, *rest: asked.append(places.count()) or around(places, *rest)
+    try:
+        registry.queries()["op_overlay_profile"](spark, "/root/testdata/sf0.01")
+        overlay.profile(sites, track, "wps", 20, 5)
+    finally:
+        overlay.around = around
+    assert asked[1] == 40

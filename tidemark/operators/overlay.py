@@ -39,6 +39,14 @@ def aggregate(aligned: DataFrame, value: str, bins: int = 10) -> DataFrame:
     return aligned.groupBy("name", site_bin(F.col("site"), bins).alias("bin"), "offset").agg(F.sum(value).alias("total"))
 
 
+def profile(sites: DataFrame, tracked: DataFrame, value: str, half: int, bins: int = 10) -> DataFrame:
+    """``aggregate`` of the windows ``around`` sites (site, name, chrom, c, strand; site is unique). Sites of one name and bin
+    at the same place and strand have the same window: it meets the track once and counts as often as there are of them."""
+    places = sites.groupBy("name", site_bin(F.col("site"), bins).alias("bin"), "chrom", "c", "strand").agg(F.min("site").alias("site"), F.count("*").alias("_sites"))
+    rows = around(places, tracked, value, half)
+    return rows.groupBy("name", "bin", "offset").agg(F.sum(F.col(value) * F.col("_sites")).alias("total"))
+
+
 def leave_one_out(profile: DataFrame) -> DataFrame:
     """profile plus ``rest``: the sum over the other bins of the same name and offset."""
     return profile.withColumn("rest", F.sum("total").over(Window.partitionBy("name", "offset")) - F.col("total"))

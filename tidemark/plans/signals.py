@@ -62,7 +62,7 @@ profile AS (SELECT name, CAST(site % 10 AS INT) AS bin, off AS "offset", CAST(su
 
 
 def _profile(spark, sf_dir):
-    return overlay.aggregate(overlay.around(relation(spark, sf_dir, "sites"), the_track(spark, sf_dir), "wps", 100), "wps")
+    return overlay.profile(relation(spark, sf_dir, "sites"), the_track(spark, sf_dir), "wps", 100)
 
 
 @query(SITES + '\nSELECT name, bin, "offset", total FROM profile')
