@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import duplicates, joins, overlay, segment, stats
+from tidemark.operators import duplicates, joins, overlay, segment, signal, stats
 from tidemark.plans import registry
 from tidemark.plans.relations import relation
 from tidemark.sources import text
@@ -371,3 +371,25 @@ def test_profile_counts_equal_windows_once(spark):
     finally:
         overlay.around = around
     assert asked[1] == 40
+
+
+def test_demultiplexing_sends_the_sheet_to_the_rows(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 9 = 0 THEN 'B' ELSE 'A' END AS k", "id")
+    sheet = spark.createDataFrame([("A", "x"), ("A", "y")], "k string, category string")
+    out = overlay.demultiplex(rows, sheet, "k")
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 2 * (5000 - 556)
+
+
+def test_equal_fragments_meet_a_position_once(spark):
+    frags = spark.range(20000).selectExpr("'1' AS chrom", "100 + id % 4 * 30 AS s", "300 + id % 2 * 50 AS e")
+    places = spark.range(1, 501).selectExpr("'1' AS chrom", "id AS pos")
+    ends = [(100 + k % 4 * 30, 300 + k % 2 * 50) for k in range(4)]
+    want = {x: sum((-1 if s > x - 60 or e < x + 60 else 1) * 5000 for s, e in ends if e > x - 60 and s < x + 60) for x in range(1, 501)}
+    met = []
+    join, joins.range_join = joins.range_join, lambda windows, some, *rest, **more: met.append(some.count()) or join(windows, some, *rest, **more)
+    try:
+        assert {r["pos"]: r["wps"] for r in signal.score_literal(frags, places).collect()} == want
+    finally:
+        joins.range_join = join
+    assert met == [4]

@@ -80,14 +80,16 @@ def full_track(fragments: DataFrame, lo: int, hi: int, protection: int = 120, ti
 
 
 def score_literal(fragments: DataFrame, positions: DataFrame, protection: int = 120, bin_size: int = 1024) -> DataFrame:
-    """The score by definition: each position against the fragments near it, by a binned equi-join. For checks."""
+    """The score by definition: each position against the fragments near it, by a binned equi-join. Equal fragments meet it once,
+    with their number. For checks."""
     from tidemark.operators.joins import range_join
 
     p = protection // 2
     windows = positions.select("chrom", "pos", (F.col("pos") - p).alias("lo"), (F.col("pos") + p).alias("hi"))
-    near = range_join(windows, fragments.select("chrom", "s", "e"), "chrom", ("lo", "hi"), ("s", "e"), bin_size, strict=True)
+    some = fragments.groupBy("chrom", "s", "e").agg(F.count("*").alias("_same"))
+    near = range_join(windows, some, "chrom", ("lo", "hi"), ("s", "e"), bin_size, strict=True)
     value = F.when((F.col("s") > F.col("lo")) | (F.col("e") < F.col("hi")), -1).otherwise(1)
-    found = near.groupBy("chrom", "pos").agg(F.sum(value).alias("wps"))
+    found = near.groupBy("chrom", "pos").agg(F.sum(value * F.col("_same")).alias("wps"))
     return positions.select("chrom", "pos").join(found, ["chrom", "pos"], "left").select("chrom", "pos", F.coalesce("wps", F.lit(0)).alias("wps"))
 
 
