@@ -376,8 +376,13 @@ def test_profile_counts_equal_windows_once(spark):
 def test_demultiplexing_sends_the_sheet_to_the_rows(spark):
     rows = spark.range(5000).selectExpr("CASE WHEN id % 9 = 0 THEN 'B' ELSE 'A' END AS k", "id")
     sheet = spark.createDataFrame([("A", "x"), ("A", "y")], "k string, category string")
-    out = overlay.demultiplex(rows, sheet, "k")
-    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if both sides were large
+    try:
+        out = overlay.demultiplex(rows, sheet, "k")
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     assert out.count() == 2 * (5000 - 556)
 
 

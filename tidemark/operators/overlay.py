@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import strand_offset
 
+SHEET = 100_000
+
 
 def site_bin(site: Column, bins: int = 10) -> Column:
     """A fixed bin of a site, from its id."""
@@ -85,8 +87,11 @@ def spacing_class(spacing: Column) -> Column:
 
 
 def demultiplex(rows: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
-    """One row for each category of the row's key (mapping: key, category); keys without one are dropped."""
-    return rows.join(mapping, key)
+    """One row for each category of the row's key (mapping: key, category); keys without one are dropped.
+
+    Keys are few and hot, so rows stay where they are and a mapping of up to SHEET rows goes to them; a longer one is
+    joined as Catalyst finds best."""
+    return rows.join(F.broadcast(mapping) if mapping.limit(SHEET + 1).count() <= SHEET else mapping, key)
 
 
 def aligned_offset(offset: Column, strand: Column) -> Column:
