@@ -17,7 +17,11 @@ SEQ = "substr(repeat('ACGT', 30), CAST(pos % 4 AS INT) + 1, qlen + 5)"
 
 def alignments(spark, sf_dir):
     """The reads in the columns of the BAM source."""
-    return relation(spark, sf_dir, "reads").selectExpr(
+    return _aligned(relation(spark, sf_dir, "reads"))
+
+
+def _aligned(reads):
+    return reads.selectExpr(
         "qname", "flag", "CAST(chrom AS STRING) AS chrom", "pos", "60 AS mapq", "array(named_struct('op', 4, 'len', 5), named_struct('op', 0, 'len', qlen)) AS cigar", "CAST(chrom AS STRING) AS mate_chrom",
         "mate_pos", "CAST(isize AS INT) AS isize", f"{SEQ} AS seq", "repeat('I', qlen + 5) AS qual", "map('RG', rg, 'XP', CAST(xp AS STRING)) AS tags",
     )
@@ -27,8 +31,8 @@ def written_bam(spark, sf_dir) -> str:
     """A folder of indexed files with the reads in order."""
     path = folder(spark, "bam")
     bam_source.register(spark)
-    ordered = alignments(spark, sf_dir).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
-    ordered.write.format("bam").mode("append").option("header", HEADER).save(path)
+    ordered = relation(spark, sf_dir, "reads").withColumn("chrom", F.col("chrom").cast("string")).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
+    _aligned(ordered).write.format("bam").mode("append").option("header", HEADER).save(path)
     return path
 
 

@@ -17,6 +17,7 @@ SIZES = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "
 ON_REFERENCE = {0, 2, 3, 7, 8}  # operations that use up the reference
 ON_READ = {0, 1, 4, 7, 8}
 CHAIN, FAR = 4, 1 << 29
+PARTS = 2000  # beyond so many parts, parts grow up to SPLIT
 
 
 def tags(raw: bytes) -> dict[str, str]:
@@ -268,33 +269,31 @@ class BamReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         files, out = found(self.path, ".bam"), []
         indexed = {p for p, _ in found(self.path if len(files) != 1 or files[0][0] != self.path else self.path.rpartition("/")[0] or ".", ".bai")} if self._bounded() else set()
+        part = max(self.split, min(SPLIT, sum(size for _, size in files) // PARTS))
         for path, size in files:
             if f"{path}.bai" in indexed:
                 _, names, lengths = header(Stream(Blocks(path), 0))
                 wanted = [w for w in self._wanted(names, lengths) if w[1] < w[2]]
                 for a, b in chunks_of(read_index(f"{path}.bai"), wanted):
-                    cuts = [a, *[k << 16 for k in range((a >> 16) + self.split, b >> 16, self.split)], b]
+                    cuts = [a, *[k << 16 for k in range((a >> 16) + part, b >> 16, part)], b]
                     out += [Chunk(path, x, y, x == a) for x, y in zip(cuts, cuts[1:], strict=False)]
             else:
-                out += [Chunk(path, a << 16, b << 16, a == 0) for a, b in split_offsets(size, self.split)]
+                out += [Chunk(path, a << 16, b << 16, a == 0) for a, b in split_offsets(size, part)]
         return out or [Chunk("", 0, 0, False)]
 
-    def _streamed(self, chunk: Chunk, blocks: Blocks, names: list, lengths: list, first: int) -> Iterator[bytes]:
-        """The records that begin in a chunk. first: the virtual offset of the file's first record."""
+    def _opened(self, chunk: Chunk, blocks: Blocks, lengths: list, first: int) -> Stream | None:
+        """A stream that stands at the first record of a chunk. first: the virtual offset of the file's first record."""
         if chunk.found or chunk.start <= first:
             start = max(chunk.start, first)
             stream = Stream(blocks, start >> 16)
             if stream.need((start & 0xFFFF) + 1):
                 stream.at = start & 0xFFFF
-        else:
-            block = blocks.next_start(chunk.start >> 16, (chunk.stop + 0xFFFF) >> 16)
-            if block is None:
-                return
-            stream = Stream(blocks, block)
-            if not stream.need(1) or not first_record(stream, lengths):
-                return
-        for _, raw in raw_records(stream, chunk.stop):
-            yield raw
+            return stream
+        block = blocks.next_start(chunk.start >> 16, (chunk.stop + 0xFFFF) >> 16)
+        if block is None:
+            return None
+        stream = Stream(blocks, block)
+        return stream if stream.need(1) and first_record(stream, lengths) else None
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
         if not partition.path:
@@ -308,7 +307,8 @@ class BamReader(DataSourceReader):
         if self.regions is not None:
             for k, a, b in self._wanted(names, lengths):
                 wanted.setdefault(k, []).append((a, b))
-        for raw in self._streamed(partition, blocks, names, lengths, head.tell()):
+        stream = self._opened(partition, blocks, lengths, head.tell())
+        for _, raw in raw_records(stream, partition.stop) if stream else ():
             ref, start, end = place(raw)
             if self.regions is not None and not any(start < b and end > a for a, b in wanted.get(ref, ())):
                 continue

@@ -7,14 +7,15 @@ fits, up to the last byte of the tags. A record belongs to the split in whose bl
 
 Filters on ``chrom`` (=, IN) and bounds on ``pos`` are applied while decoding; where a file has an index beside it
 (``x.bam.bai``), they also choose what is read at all, as does the option ``region`` (like ``chr1:1,000-2,000``, several by
-semicolons; rows that overlap one of them). Blocks are inflated one at a time, so memory does not grow with the file."""
+semicolons; rows that overlap one of them). About a megabyte of records is decoded at once, so memory does not grow with
+the file."""
 
 from __future__ import annotations
 
 from pyspark.sql.datasource import DataSource
 
-from tidemark.sources.bam import SCHEMA, BamReader
-from tidemark.sources.bam_sink import BamWriter
+from tidemark.sources.bam import SCHEMA
+from tidemark.sources.bam_arrow import BamArrowReader, BamArrowWriter
 from tidemark.sources.bgzf import SPLIT
 
 
@@ -26,11 +27,11 @@ class BamSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"], int(self.options.get("splitBytes", SPLIT)), self.options.get("region"))
+    def reader(self, schema) -> BamArrowReader:
+        return BamArrowReader(self.options["path"], int(self.options.get("splitBytes", SPLIT)), self.options.get("region"))
 
     def writer(self, schema, overwrite: bool):
-        return BamWriter(self.options["path"], self.options["header"], schema.names, overwrite, self.options.get("integerTags"))
+        return BamArrowWriter(self.options["path"], self.options["header"], schema.names, overwrite, self.options.get("integerTags"))
 
 
 def register(spark) -> None:

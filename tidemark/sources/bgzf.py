@@ -178,10 +178,10 @@ class BgzfTextReader(DataSourceReader):
 
 
 class BgzfWriter:
-    """Bytes as BGZF: ``write`` them, then ``close``."""
+    """Bytes as BGZF: ``write`` them, then ``close``. ``starts`` has the offsets of the blocks, the next one's last."""
 
     def __init__(self, stream, size: int = 65280):
-        self.stream, self.size, self.held, self.offset = stream, size, bytearray(), 0
+        self.stream, self.size, self.held, self.offset, self.starts = stream, size, bytearray(), 0, [0]
 
     def tell(self) -> int:
         """The virtual offset of what is written next."""
@@ -197,6 +197,7 @@ class BgzfWriter:
         block = deflated(data)
         self.stream.write(block)
         self.offset += len(block)
+        self.starts.append(self.offset)
 
     def flush(self) -> None:
         """Ends the block."""
