@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
-from tidemark.plans.relations import HI, cte, relation
+from tidemark.plans.relations import HI, cte, load, relation
 from tidemark.plans.shared import folder
 from tidemark.plans.signals import _peaks_sql, the_track
 from tidemark.streaming import collapse, peaks, streams
 
 
+MOST = 4_000_000  # rows that a stream takes at once
+
+
 def _events(spark, sf_dir):
     rows = streams.follow(spark, sf_dir, "events.parquet", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -52,8 +55,14 @@ def op_stream_first(spark, sf_dir):
 @query("""WITH e AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events),
 f AS (SELECT *, median(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS m FROM e)
 SELECT event_type, event_id, value, round(CASE WHEN rn < 11 THEN max(CASE WHEN rn = 11 THEN m END) OVER (PARTITION BY event_type) ELSE m END, 6) AS median FROM f QUALIFY rn <= n - 9""")
-def op_stream_running_median(spark, sf_dir):
-    return _run(streams.running_median(_events(spark, sf_dir), "event_type", "event_id", "value", 20)).withColumn("median", F.round("median", 6))
+def op_stream_running_median(spark, sf_dir, most=MOST):
+    """The stream takes at most some ``most`` events at once, in order."""
+    rows = load(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    parts = rows.count() // most + 1
+    cuts = rows.stat.approxQuantile("event_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    batch = sum((F.coalesce((F.col("event_id") > int(c)).cast("int"), F.lit(1)) for c in sorted(set(cuts))), F.lit(0))
+    out = streams.run_in_batches(rows, batch, lambda stream: streams.running_median(stream, "event_type", "event_id", "value", 20), folder(spark, "streams"))
+    return out.withColumn("median", F.round("median", 6))
 
 
 @query("""SELECT a.event_id AS event_id_1, b.event_id AS event_id_2, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts - INTERVAL 30 MINUTES AND a.ts + INTERVAL 30 MINUTES""")
@@ -108,13 +117,11 @@ sb AS (SELECT grp, chrom, reverse, spot, ref_len, arg_max(cigar, (n, -length(cig
 SELECT 'pair' AS kind, grp, chrom, chrom2, pos, pos2, arg_min(qname, (rid, qname)) AS qname, count(*) AS xp FROM p JOIN pb USING (grp, chrom, chrom2, pos, pos2, cigar) GROUP BY grp, chrom, chrom2, pos, pos2
 UNION ALL SELECT 'single', grp, chrom, NULL, spot, NULL, arg_min(qname, (rid, qname)), count(*) FROM s JOIN sb USING (grp, chrom, reverse, spot, ref_len, cigar) GROUP BY grp, chrom, reverse, spot, ref_len
 UNION ALL SELECT 'kept', grp, chrom, NULL, pos, NULL, qname, 1 FROM ok WHERE unmapped OR paired AND mate_unmapped""")
-def op_stream_collapse(spark, sf_dir):
-    """Duplicates collapsed on a stream of reads in order of position, a contig a micro-batch, to the end of input."""
-    at = folder(spark, "reads")
-    _mated(spark, sf_dir).write.parquet(f"{at}/whole")
-    rows = spark.read.parquet(f"{at}/whole")
-    for k in range(1, 8):  # a contig after the other
-        rows.filter(F.col("chrom") == k).coalesce(1).sortWithinPartitions("pos").write.mode("append").parquet(f"{at}/parts")
-    collapse.end_marks(spark, rows.schema, 1).coalesce(1).write.mode("append").parquet(f"{at}/parts")
-    stream = streams.follow(spark, f"{at}/parts", "*.parquet", rows.schema, 1)
-    return _run(collapse.collapse(stream, F.col("chrom") * 1_000_000, 600, keep=True))
+def op_stream_collapse(spark, sf_dir, most=7 * MOST):
+    """Duplicates collapsed on a stream of reads in order of position, a contig a micro-batch, or a stretch of one that has
+    some ``most`` reads, to the end of input."""
+    rows = _mated(spark, sf_dir).filter("chrom BETWEEN 1 AND 7")
+    parts = 2 * load(spark, sf_dir, "lineitem").count() // (7 * most) + 1
+    batch = F.col("chrom") * parts + F.least(F.greatest(F.floor(F.col("pos") * parts / HI), F.lit(0)), F.lit(parts - 1))
+    make = lambda stream: collapse.collapse(stream, F.col("chrom") * 1_000_000, 600, keep=True)
+    return streams.run_in_batches(rows, batch, make, folder(spark, "reads"), collapse.end_marks(spark, rows.schema, 1))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.functions.reads import outer_end
 
@@ -68,4 +69,4 @@ def end_marks(spark, schema, contig: object) -> DataFrame:
     open groups pass. They form no group that is ever given out."""
     base = {f.name: None for f in schema} | {"chrom": contig, "pos": FAR, "ref_len": 0, "reverse": False, "unmapped": False, "mate_unmapped": False, "qcfail": False, "cigar": "end"}
     kinds = [{"paired": False, "is_read1": False, "qname": "M_end"}, {"paired": True, "is_read1": True, "qname": "end1"}, {"paired": True, "is_read1": False, "qname": "end2"}]
-    return spark.createDataFrame([tuple((base | k)[f.name] for f in schema) for k in kinds], schema)
+    return spark.createDataFrame([tuple((base | k)[f.name] for f in schema) for k in kinds], StructType([StructField(f.name, f.dataType) for f in schema]))

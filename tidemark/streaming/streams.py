@@ -6,7 +6,7 @@ behind the current position. Time plays the part of the position along a contig.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.streaming.medians import CentredMedian
 
+STEP = 50_000  # rows whose medians are given out together
 
 def binned(stream: DataFrame, ts: str, keys: list[str], size: str, slide: str | None, lateness: str, *measures: Column) -> DataFrame:
     """(start, keys, measures) of tumbling or sliding windows."""
@@ -56,10 +57,12 @@ def running_median(stream: DataFrame, key: str, pos: str, value: str, size: int)
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window = CentredMedian(size, state.get if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(pos)
-        ready = [r for p, v in zip(rows[pos].tolist(), rows[value].astype(float).tolist(), strict=True) for r in window.push(p, v)]
+        rows = pd.concat([b[[pos, value]] for b in batches]).sort_values(pos)
+        for at in range(0, len(rows), STEP):
+            some = rows.iloc[at : at + STEP]
+            ready = [r for p, v in zip(some[pos].tolist(), some[value].astype(float).tolist(), strict=True) for r in window.push(p, v)]
+            yield pd.DataFrame({key: group[0], pos: [r[0] for r in ready], value: [r[1] for r in ready], "median": [r[2] for r in ready]})
         state.update(window.state)
-        yield pd.DataFrame({key: group[0], pos: [r[0] for r in ready], value: [r[1] for r in ready], "median": [r[2] for r in ready]})
 
     return stream.select(key, pos, value).groupBy(key).applyInPandasWithState(step, out, "at array<long>, held array<double>, slid boolean", "append", GroupStateTimeout.NoTimeout)
 
@@ -87,6 +90,27 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def run_in_batches(rows: DataFrame, batch: Column, build: Callable[[DataFrame], DataFrame], path: str, end: DataFrame | None = None) -> DataFrame:
+    """Runs the stream that ``build`` makes of rows arriving in the order of a whole number ``batch``: a micro-batch for each of
+    its values, and one for the rows of ``end``. The files of a batch are as many as its rows ask for; all tasks write and read
+    their share of them. Rows without a number are left out."""
+    spark, pieces = rows.sparkSession, f"{path}/parts"
+    rows.withColumn("_batch", batch.cast("long")).filter("_batch IS NOT NULL").write.partitionBy("_batch").parquet(f"{path}/whole")
+    names = spark.read.parquet(f"{path}/whole").select("_batch").distinct().collect()
+    whole = spark.read.schema(rows.select("*", F.lit(0).cast("long").alias("_batch")).schema).parquet(f"{path}/whole")
+    arriving = [whole.filter(F.col("_batch") == n).drop("_batch") for n in sorted(int(r[0]) for r in names)] + ([] if end is None else [end])
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    try:
+        for k, some in enumerate(arriving or [rows.limit(0)]):
+            some.write.mode("append").parquet(pieces)
+            spark.conf.set(empty, before if k + 1 == len(arriving) else "false")  # what is open waits for the next rows
+            out = run_once(build(follow(spark, pieces, "*.parquet", rows.schema, 1 << 30)), f"{path}/out", f"{path}/state")
+    finally:
+        spark.conf.set(empty, before)
+    return out
+
+
 def follow(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 8) -> DataFrame:
     """A stream of the Parquet files of a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
