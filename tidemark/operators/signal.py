@@ -93,15 +93,27 @@ def score_literal(fragments: DataFrame, positions: DataFrame, protection: int =
     return positions.select("chrom", "pos").join(found, ["chrom", "pos"], "left").select("chrom", "pos", F.coalesce("wps", F.lit(0)).alias("wps"))
 
 
-def region_track(tracked: DataFrame, regions: DataFrame, drop_empty: bool = True) -> DataFrame:
+def region_track(tracked: DataFrame, regions: DataFrame, drop_empty: bool = True, tile: int = 1 << 10) -> DataFrame:
     """(cid, rank, chrom, pos, cov, ends, wps): the track of each region (cid, chrom, lo, hi, strand), positions
-    without signal as zeros, ranked from the 5' end; regions without coverage are dropped."""
-    wanted = regions.select("cid", "strand", "chrom", F.explode(F.sequence("lo", "hi")).alias("pos"))
-    rows = wanted.join(tracked, ["chrom", "pos"], "left").fillna(0, ["cov", "ends", "wps"])
-    along = F.when(F.col("strand") == "-", -F.col("pos")).otherwise(F.col("pos"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cid").orderBy(along)))
-    out = ranked.select("cid", "rank", "chrom", "pos", "cov", "ends", "wps")
+    without signal as zeros, ranked from the 5' end; regions without coverage are dropped. A cid is one region.
+
+    The track is packed by tiles of positions, zeros filled in, so a region is joined by its tiles and cuts its cells out of
+    them. A rank follows from the region's ends; positions of regions are neither dealt nor sorted."""
+    names, zero = ["cov", "ends", "wps"], F.lit(0).cast("long")
+    cells = tracked.select(F.col("chrom").alias("_chrom"), "pos", *names).withColumn("_tile", F.floor(F.col("pos") / tile).cast("long"))
+    gaps = cells.select("_chrom", "_tile").distinct().select("_chrom", F.explode(F.sequence(F.col("_tile") * tile, F.col("_tile") * tile + tile - 1)).alias("pos"), *[zero.alias(c) for c in names], "_tile")
+    filled = cells.unionByName(gaps).groupBy("_chrom", "_tile", "pos").agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in names])
+    packed = filled.groupBy("_chrom", "_tile").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_cells"))
+    wanted = regions.filter("lo <= hi").select("cid", "strand", "chrom", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / tile).cast("long"), F.floor(F.col("hi") / tile).cast("long"))).alias("_own"))
+    start = F.col("_own") * tile
+    wanted = wanted.withColumns({"_first": F.greatest(F.col("lo").cast("long"), start), "_last": F.least(F.col("hi").cast("long"), start + tile - 1)})
+    rows = wanted.join(packed, (F.col("chrom") == F.col("_chrom")) & (F.col("_own") == F.col("_tile")), "left")
+    none = F.transform(F.sequence("_first", "_last"), lambda p: F.struct(p.alias("pos"), *[zero.alias(c) for c in names]))
+    inside = F.slice("_cells", (F.col("_first") - start + 1).cast("int"), (F.col("_last") - F.col("_first") + 1).cast("int"))
+    rows = rows.select("cid", "strand", "chrom", "lo", "hi", F.coalesce(inside, none).alias("_inside"))
     if drop_empty:
-        covered = out.groupBy("cid").agg(F.sum("cov").alias("_sum")).filter("_sum > 0").select("cid")
-        out = out.join(covered, "cid", "left_semi")
-    return out
+        some = rows.select("cid", F.aggregate("_inside", zero, lambda a, c: a + c["cov"]).alias("_sum"))
+        rows = rows.join(some.groupBy("cid").agg(F.sum("_sum").alias("_sum")).filter("_sum > 0").select("cid"), "cid", "left_semi")
+    rows = rows.select("cid", "strand", "chrom", "lo", "hi", F.inline("_inside"))
+    rank = F.when(F.col("strand") == "-", F.col("hi") - F.col("pos")).otherwise(F.col("pos") - F.col("lo")) + 1
+    return rows.select("cid", rank.cast("int").alias("rank"), "chrom", "pos", *names)
