@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.duplicates import consensus, dominant, pair_keys, single_keys
 from tidemark.sources.sinks import fastq_lines
+from tidemark.storage import stored
 
 OF_A_READ = ["chrom", "pos", "reverse", "seq", "qual", "mapq", "xp", "qcfail", "zq"]
 
@@ -40,19 +41,25 @@ def call(rows: DataFrame) -> DataFrame:
     earlier counts added, and ``unmapped`` where no read has the called sequence.
 
     The row is the last read that has it, or else the first of all with the group's smallest mapping quality; its name is
-    always the first read's."""
-    called = consensus(rows.filter(F.length("seq") > 0), ["gid", "side"], "seq", "qual").withColumnRenamed("reads", "n")
-    both = rows.join(called, ["gid", "side"])
-    at, rest = F.struct("order", "name"), F.struct("chrom", "pos", "reverse", "mapq", "qcfail", "zq")
-    agrees = F.col("seq") == F.col("consensus")
-    per = both.groupBy("gid", "kind", "grp", "side", "consensus", "consensus_qual", "n").agg(
-        F.max_by(rest, F.when(agrees, at)).alias("_last"), F.min_by(rest, at).alias("_first"), F.min_by("name", at).alias("qname"),
+    always the first read's. A first sum holds numbers only, so it needs no sort; whole rows are then compared among those of
+    the first and the last number. Both tables with a row a group and side are written, so their size is known before rows are
+    joined with them: rows are dealt out only where there are too many groups to broadcast. The rows are read three times."""
+    keys, agrees = ["gid", "side"], F.col("seq") == F.col("consensus")
+    called = stored(consensus(rows.filter(F.length("seq") > 0), keys, "seq", "qual").withColumnRenamed("reads", "n"), "consensus")
+    per = rows.join(called, keys).groupBy(*keys, "consensus", "consensus_qual", "n").agg(
+        F.min("order").alias("_from"), F.max(F.when(agrees, F.col("order"))).alias("_to"),
         F.min("mapq").alias("_least"), F.sum(F.coalesce("xp", F.lit(0))).alias("_before"), (~F.bool_or(agrees)).alias("unmapped"),
     )
+    per = stored(per, "groups")
+    at, rest = F.struct("order", "name"), F.struct("chrom", "pos", "reverse", "mapq", "qcfail", "zq")
+    of_all = F.struct("kind", "grp", "consensus", "consensus_qual", "n", "_least", "_before", "unmapped")
+    ends = rows.join(per, keys).filter(F.col("order").isNull() | (F.col("order") == F.col("_from")) | (agrees & (F.col("order") == F.col("_to"))))
+    found = ends.groupBy(*keys).agg(F.first(of_all).alias("_all"), F.max_by(rest, F.when(agrees, at)).alias("_last"), F.min_by(rest, at).alias("_first"), F.min_by("name", at).alias("qname"))
+    found = found.select(*keys, "_all.*", "_last", "_first", "qname")
     chosen = F.when(F.col("unmapped"), F.col("_first")).otherwise(F.col("_last"))
     fields = [chosen.getField(c).alias(c) for c in ("chrom", "pos", "reverse", "qcfail", "zq")]
     mapq = F.when(F.col("unmapped"), F.col("_least")).otherwise(chosen.getField("mapq")).alias("mapq")
-    return per.select("gid", "kind", "grp", "side", "qname", *fields, mapq, F.col("consensus").alias("seq"), F.col("consensus_qual").alias("qual"), "unmapped", "n", (F.col("n") + F.col("_before")).cast("long").alias("xp"))
+    return found.select("gid", "kind", "grp", "side", "qname", *fields, mapq, F.col("consensus").alias("seq"), F.col("consensus_qual").alias("qual"), "unmapped", "n", (F.col("n") + F.col("_before")).cast("long").alias("xp"))
 
 
 def passed(called: DataFrame, include_failed: bool = False, rescue_failed: bool = False, min_count: int | None = None) -> DataFrame:
@@ -69,18 +76,21 @@ def passed(called: DataFrame, include_failed: bool = False, rescue_failed: bool
 
 
 def consensus_collapse(reads: DataFrame, group: str = "grp", name: str = "qname", order: str = "rid", five_prime: bool = False, merged: bool = False, include_failed: bool = False, rescue_failed: bool = False, min_count: int | None = None) -> DataFrame:
-    """The whole collapse in consensus mode: the rows of ``call`` that ``passed`` keeps.
+    """The whole collapse in consensus mode: the rows of ``call`` that ``passed`` keeps. The members are written to a table first,
+    so mates are joined once.
 
     reads: group, name, order, chrom, pos, reverse, ref_len, cigar, seq, qual, mapq, xp, zq, is_read1, paired, unmapped,
     mate_unmapped, qcfail."""
     rows = reads if include_failed or rescue_failed else reads.filter(~F.col("qcfail"))
-    return passed(call(members(rows, group, name, order, five_prime, merged)), include_failed, rescue_failed, min_count)
+    chosen = stored(members(rows, group, name, order, five_prime, merged), "members")
+    return passed(call(chosen), include_failed, rescue_failed, min_count)
 
 
 def routes(called: DataFrame) -> dict[str, DataFrame]:
     """Where called reads go: ``alignments``; and as FASTQ lines (qname, line), for a new alignment, the pairs of which either
-    side is unmapped (``r1``, ``r2``, names ending in /1 and /2) and unmapped single reads (``sr``)."""
-    rows = called.withColumn("_again", F.max(F.col("unmapped").cast("int")).over(Window.partitionBy("gid")) == 1)
+    side is unmapped (``r1``, ``r2``, names ending in /1 and /2) and unmapped single reads (``sr``). Called reads, a row a group and
+    side, are written to a table, so that no way calls them again."""
+    rows = stored(called.withColumn("_again", F.max(F.col("unmapped").cast("int")).over(Window.partitionBy("gid")) == 1), "called")
     again = rows.filter("_again").withColumn("qname", F.when(F.col("side") > 0, F.concat("qname", F.lit("/"), F.col("side").cast("string"))).otherwise(F.col("qname")))
     out = {"alignments": rows.filter(~F.col("_again")).drop("_again")}
     return out | {stream: fastq_lines(again.filter(F.col("side") == side)) for stream, side in (("r1", 1), ("r2", 2), ("sr", 0))}

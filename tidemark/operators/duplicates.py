@@ -56,19 +56,21 @@ def consensus(rows: DataFrame, keys: list[str], seq: str, qual: str) -> DataFram
     """(keys, consensus, consensus_qual, reads): per position the base that the reads' error probabilities leave
     least doubt about. Reads of a group have equal lengths; N is no evidence; quality is capped at 60.
 
-    Grouped by position, not by group: a group of any depth is spread over its positions and summed map-side."""
-    cells = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.struct(i.alias("at"), F.substring(F.col(seq), i, F.lit(1)).alias("base"), (F.ascii(F.substring(F.col(qual), i, F.lit(1))) - OFFSET).alias("q")))
+    Grouped by position, not by group: a group of any depth is spread over its positions and summed map-side. Sums hold
+    numbers of fixed width only, bases as code points: so a hash table of groups and positions takes them, and cells are not sorted."""
+    cells = F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.struct(i.alias("at"), F.ascii(F.substring(F.col(seq), i, F.lit(1))).alias("base"), (F.ascii(F.substring(F.col(qual), i, F.lit(1))) - OFFSET).alias("q")))
     rows = rows.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
     q = F.when(F.col("q") == 0, F.lit(-0.1)).otherwise(F.col("q") / F.lit(-10.0))
     other = F.log10(1 - F.pow(F.lit(10.0), q)) - F.log10(F.lit(3.0))
     # Rounded, so that bases with equal evidence tie whatever the order of summation; the first by letter is called then.
-    sums = [F.round(F.sum(F.when(F.col("base") == "N", F.lit(0.0)).when(F.col("base") == b, q).otherwise(other)), 10).alias(f"_{b}") for b in "ACGT"]
-    per = rows.groupBy(*keys, "at").agg(*sums, F.count_if(F.col("base") != "N").alias("_known"), F.count("*").alias("reads"), F.min("q").alias("_worst"), F.min("base").alias("_only"), F.min("q").alias("_q"))
+    sums = [F.round(F.sum(F.when(F.col("base") == ord("N"), F.lit(0.0)).when(F.col("base") == ord(b), q).otherwise(other)), 10).alias(f"_{b}") for b in "ACGT"]
+    per = rows.groupBy(*keys, "at").agg(*sums, F.count_if(F.col("base") != ord("N")).alias("_known"), F.count("*").alias("reads"), F.min("q").alias("_worst"), F.min("base").alias("_only"), F.min("q").alias("_q"))
     total = F.log10(F.greatest(F.lit(1e-9), sum((F.pow(F.lit(10.0), F.col(f"_{b}")) for b in "ACGT"), F.lit(0.0))))
     best = F.array_min(F.array(*[F.struct((F.col(f"_{b}") - total).alias("v"), F.lit(b).alias("b")) for b in "ACGT"]))
     per = per.withColumn("_best", best)
     sure = F.col("_best.v") < 0
-    base = F.when(F.col("reads") == 1, F.col("_only")).when(F.col("_known") == 0, F.lit("N")).when(sure, F.col("_best.b")).otherwise(F.lit("N"))
+    only = F.when(F.col("_only") == 0, "").otherwise(F.decode(F.unhex(F.lpad(F.hex("_only"), 8, "0")), "UTF-32"))
+    base = F.when(F.col("reads") == 1, only).when(F.col("_known") == 0, F.lit("N")).when(sure, F.col("_best.b")).otherwise(F.lit("N"))
     quality = F.when((F.col("reads") == 1) | (F.col("_known") == 0), F.col("_q")).when(sure, F.round(F.least(F.lit(60.0), -10 * F.col("_best.v")))).otherwise(F.lit(0)).cast("int")
     cells = F.array_sort(F.collect_list(F.struct("at", base.alias("b"), F.char(quality + OFFSET).alias("q"))))
     out = per.groupBy(*keys).agg(cells.alias("_c"), F.max("reads").alias("reads"))
