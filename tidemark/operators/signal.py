@@ -97,9 +97,36 @@ def region_track(tracked: DataFrame, regions: DataFrame, drop_empty: bool = True
     """(cid, rank, chrom, pos, cov, ends, wps): the track of each region (cid, chrom, lo, hi, strand), positions
     without signal as zeros, ranked from the 5' end; regions without coverage are dropped. A cid is one region.
 
+    A rank follows from the region's ends; positions of regions are neither dealt nor sorted."""
+    zero = F.lit(0).cast("long")
+    rows = _cut(tracked, regions, tile)
+    if drop_empty:
+        some = rows.select("cid", F.aggregate("_inside", zero, lambda a, c: a + c["cov"]).alias("_sum"))
+        rows = rows.join(some.groupBy("cid").agg(F.sum("_sum").alias("_sum")).filter("_sum > 0").select("cid"), "cid", "left_semi")
+    rows = rows.select("cid", "strand", "chrom", "lo", "hi", F.inline("_inside"))
+    rank = F.when(F.col("strand") == "-", F.col("hi") - F.col("pos")).otherwise(F.col("pos") - F.col("lo")) + 1
+    return rows.select("cid", rank.cast("int").alias("rank"), "chrom", "pos", *_CELL)
+
+
+def region_pieces(tracked: DataFrame, regions: DataFrame, tile: int = 1 << 10) -> DataFrame:
+    """(cid, at, cov, ends, wps): each region's part of a tile as arrays, positions without signal as zeros; ``at`` is the rank of
+    the first value, and both count from the 5' end. Regions without coverage stay; those without a cid are left out."""
+    back = F.col("strand") == "-"
+    at = F.when(back, F.col("hi") - F.col("_last")).otherwise(F.col("_first") - F.col("lo")) + 1
+    turned = F.when(back, F.reverse("_inside")).otherwise(F.col("_inside"))
+    rows = _cut(tracked, regions.dropna(subset=["cid"]), tile).select("cid", at.cast("long").alias("at"), turned.alias("_inside"))
+    return rows.select("cid", "at", *[F.col(f"_inside.{c}").alias(c) for c in _CELL])
+
+
+_CELL = ["cov", "ends", "wps"]
+
+
+def _cut(tracked: DataFrame, regions: DataFrame, tile: int) -> DataFrame:
+    """(cid, strand, chrom, lo, hi, _first, _last, _inside): the cells of each region in each of its tiles.
+
     The track is packed by tiles of positions, zeros filled in, so a region is joined by its tiles and cuts its cells out of
-    them. A rank follows from the region's ends; positions of regions are neither dealt nor sorted."""
-    names, zero = ["cov", "ends", "wps"], F.lit(0).cast("long")
+    them."""
+    names, zero = _CELL, F.lit(0).cast("long")
     cells = tracked.select(F.col("chrom").alias("_chrom"), "pos", *names).withColumn("_tile", F.floor(F.col("pos") / tile).cast("long"))
     gaps = cells.select("_chrom", "_tile").distinct().select("_chrom", F.explode(F.sequence(F.col("_tile") * tile, F.col("_tile") * tile + tile - 1)).alias("pos"), *[zero.alias(c) for c in names], "_tile")
     filled = cells.unionByName(gaps).groupBy("_chrom", "_tile", "pos").agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in names])
@@ -110,10 +137,4 @@ def region_track(tracked: DataFrame, regions: DataFrame, drop_empty: bool = True
     rows = wanted.join(packed, (F.col("chrom") == F.col("_chrom")) & (F.col("_own") == F.col("_tile")), "left")
     none = F.transform(F.sequence("_first", "_last"), lambda p: F.struct(p.alias("pos"), *[zero.alias(c) for c in names]))
     inside = F.slice("_cells", (F.col("_first") - start + 1).cast("int"), (F.col("_last") - F.col("_first") + 1).cast("int"))
-    rows = rows.select("cid", "strand", "chrom", "lo", "hi", F.coalesce(inside, none).alias("_inside"))
-    if drop_empty:
-        some = rows.select("cid", F.aggregate("_inside", zero, lambda a, c: a + c["cov"]).alias("_sum"))
-        rows = rows.join(some.groupBy("cid").agg(F.sum("_sum").alias("_sum")).filter("_sum > 0").select("cid"), "cid", "left_semi")
-    rows = rows.select("cid", "strand", "chrom", "lo", "hi", F.inline("_inside"))
-    rank = F.when(F.col("strand") == "-", F.col("hi") - F.col("pos")).otherwise(F.col("pos") - F.col("lo")) + 1
-    return rows.select("cid", rank.cast("int").alias("rank"), "chrom", "pos", *names)
+    return rows.select("cid", "strand", "chrom", "lo", "hi", "_first", "_last", F.coalesce(inside, none).alias("_inside"))

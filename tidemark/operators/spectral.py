@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.recurrence import recursive_filter
 
 FILTER = [1 / k for k in range(5, 101, 4)]
+AT_ONCE = 64  # regions that a task transforms together
 
 
 def smooth_length(n: int) -> int:
@@ -57,21 +58,56 @@ def periodogram(values: np.ndarray, pad: float = 0.3, share: float = 0.3) -> tup
     return keep / size, flat[..., keep] / (1 - 5 / 8 * share * 2)
 
 
-def spectra(rows: DataFrame, key: str, order: str, values: list[str], lo: float = 120, hi: float = 280, least: int = 600) -> DataFrame:
-    """(key, freq, values): spectrum of each series of a region at periods in [lo, hi]; ``freq`` is the rounded
-    period. One region's rows are one task's group: regions have a set length. Shorter ones give nothing."""
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"{key} {fields[key]}, freq int, " + ", ".join(f"{v} double" for v in values)
+def spectra(pieces: DataFrame, key: str, order: str, values: list[str], lo: float = 120, hi: float = 280, least: int = 600, some: str | None = None) -> DataFrame:
+    """(key, freq, values): spectrum of each series of a region at periods in [lo, hi]; ``freq`` is the rounded period. Shorter
+    regions give nothing, nor do those whose values of the column ``some`` do not sum to more than zero.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < least:
-            return pd.DataFrame({c: [] for c in (key, "freq", *values)})
-        pdf = pdf.sort_values(order)
-        freq, power = periodogram(prefilter(pdf[values].to_numpy(float).T))
+    pieces: key, order and arrays of values (``signal.region_pieces``). Pieces, not positions, are dealt out by region and
+    sorted; a task puts regions together one after another and transforms some at once, so none is held whole but those."""
+    fields = {f.name: f.dataType.simpleString() for f in pieces.schema}
+    schema = f"{key} {fields[key]}, freq int, " + ", ".join(f"{v} double" for v in values)
+    some_at = values.index(some) if some else None
+
+    def whole(batches):
+        """(type of the key, key, values by positions) of each region, from pieces in order."""
+        kind, last, held = None, None, []
+        for batch in batches:
+            kind = batch.column(0).type
+            cells = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in batch.columns[1:]]
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                if held and k != last:
+                    yield kind, last, np.concatenate(held, -1)
+                    held = []
+                last = k
+                held.append(np.array([v[at[i] : at[i + 1]] for at, v in cells], float))
+        if held:
+            yield kind, last, np.concatenate(held, -1)
+
+    def found(kind: pa.DataType, keys: list, series: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.stack(series)
+        freq, power = periodogram(prefilter(x.reshape(-1, x.shape[-1])))
         inside = (1 / freq >= lo) & (1 / freq <= hi)
-        return pd.DataFrame({key: pdf[key].iloc[0], "freq": np.round(1 / freq[inside]).astype(int), **dict(zip(values, power[:, inside], strict=True))})
-
-    return rows.select(key, order, *values).groupBy(key).applyInPandas(one, schema)
+        power = power[:, inside].reshape(len(keys), len(values), -1)
+        periods = np.round(1 / freq[inside]).astype(np.int32)
+        columns = [pa.array(np.tile(periods, len(keys)))] + [pa.array(power[:, j].ravel()) for j in range(len(values))]
+        return pa.RecordBatch.from_arrays([pa.array([k for k in keys for _ in periods], kind), *columns], names=[key, "freq", *values])
+
+    def run(batches):
+        waiting: dict[int, tuple[list, list]] = {}  # by length
+        for kind, k, x in whole(batches):
+            n = x.shape[-1]
+            if n < least or some_at is not None and not x[some_at].sum() > 0:
+                continue
+            keys, series = waiting.setdefault(n, ([], []))
+            keys.append(k)
+            series.append(x)
+            if sum(len(s) for _, s in waiting.values()) >= AT_ONCE:
+                yield from (found(kind, *w) for w in waiting.values())
+                waiting = {}
+        yield from (found(kind, *w) for w in waiting.values())
+
+    dealt = pieces.select(key, order, *values).repartition(key).sortWithinPartitions(key, order)
+    return dealt.select(key, *values).mapInArrow(run, schema)
 
 
 def dft_power(signal: Column, periods: list[int]) -> Column:

@@ -271,6 +271,7 @@ flat AS (SELECT cid, m, k, (lag(p) OVER w / 4 + p / 2 + lead(p) OVER w / 4) / 0.
 SELECT cid, CAST(round(1350 / k::DOUBLE) AS INT) AS freq, """ + ", ".join(f"round(log10(max(s) FILTER (m = '{m}' AND s > 0)), 6) AS log_{m}" for m in ("cov", "starts", "wps")) + " FROM flat WHERE k BETWEEN 5 AND 11 GROUP BY cid, k")
 def op_spectral_spectra(spark, sf_dir):
     """Spectra of the regions' coverage, ends per coverage and scores, as decimal logarithms to six places."""
-    rows = signal.region_track(the_track(spark, sf_dir), relation(spark, sf_dir, "regions")).withColumn("starts", ratio_or_zero(F.col("ends"), F.col("cov")))
-    found = spectral.spectra(rows, "cid", "rank", ["cov", "starts", "wps"])
+    rows = signal.region_pieces(the_track(spark, sf_dir), relation(spark, sf_dir, "regions"))
+    rows = rows.withColumn("starts", F.zip_with("ends", "cov", ratio_or_zero))
+    found = spectral.spectra(rows, "cid", "at", ["cov", "starts", "wps"], some="cov")
     return found.select("cid", "freq", *[F.round(F.log10(F.when(F.col(c) > 0, F.col(c))), 6).alias(f"log_{c}") for c in ("cov", "starts", "wps")])
